@@ -1,9 +1,9 @@
 """Near copies: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-Exact texts are first reduced to one row each, and texts of the same words to one class. A class is the set of its
-shingles numbered by occurrence, so that the weighted Jaccard similarity of counts is that of plain sets, and sampling
-an element with weight idf(shingle) is sampling the TF-IDF vector. Inverse document frequencies come from all
-documents, in a table of fixed size indexed by shingle hash (a proven bound for the broadcast).
+Texts of the same shingles are first reduced to one class. A class is the set of its shingles numbered by occurrence,
+so that the weighted Jaccard similarity of counts is that of plain sets, and sampling an element with its inverse
+document frequency as weight is sampling the TF-IDF vector. Inverse document frequencies come from all
+documents, in a table of fixed size indexed by element hash (a proven bound for the broadcast).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canonical import canonical_text
@@ -30,8 +30,8 @@ class NearDupConfig:
     words_per_shingle: int = 5
     threshold: float = 0.8
     min_words: int = 1
-    bands: int = 25
-    rows_per_band: int = 4
+    bands: int = 36
+    rows_per_band: int = 5
     df_bits: int = 18
     seed: int = 20240
 
@@ -59,10 +59,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _elements(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document no, shingle hash, element hash) of all shingles, and the number of words of each document.
+def _elements(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document no, element) of all shingles, sorted, and the number of words of each document.
 
-    An element is a shingle with its occurrence number within the document; the first occurrence keeps the shingle's hash.
+    An element is a 32-bit hash of a shingle and its occurrence number within the document.
     """
     lists = _words(texts)
     idx, h = _hash_unique(lists.flatten())
@@ -83,51 +83,48 @@ def _elements(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     doc, w = doc[order], w[order]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
     occ = (np.arange(len(w)) - start).astype(np.uint64)
-    return doc, w, np.where(occ == 0, w, _mix(w + occ * np.uint64(0x9E3779B97F4A7C15))), n_words
+    element = (_mix(w + occ * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((element, doc))
+    return doc[order], element[order], n_words
 
 
 def _tokenized(df: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(h, cls, elements, shingles) of each text with at least min_words words; h and text are the input."""
+    """(g, id, cls, elements) of each text with at least min_words words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            doc, shingle, element, n_words = _elements(b.column("text").to_pylist(), cfg.words_per_shingle)
-            ok = (n_words >= max(1, cfg.min_words))
-            order = np.lexsort((element, doc))
-            doc, shingle, element = doc[order], shingle[order], element[order]
-            keep = ok[doc]
-            doc, shingle, element = doc[keep], shingle[keep], element[keep]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ok)))]).astype(np.int32)
-            raw = element.tobytes()
-            rows = np.flatnonzero(ok)
-            cls = np.fromiter((xxhash.xxh64_intdigest(raw[8 * offsets[i] : 8 * offsets[i + 1]]) for i in rows), np.uint64, len(rows))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([offsets[rows], offsets[-1:]]), pa.int32()), pa.array(element.view(np.int64)))
-            sh = pa.ListArray.from_arrays(pa.array(np.concatenate([offsets[rows], offsets[-1:]]), pa.int32()), pa.array(shingle.view(np.int64)))
-            h = [b.column(c).take(pa.array(rows)) for c in ("h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*h, pa.array(cls.view(np.int64)), lists, sh], names=["h1", "h2", "cls", "elements", "shingles"])
-
-    return df.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, cls long, elements array<long>, shingles array<long>")
+            doc, element, n_words = _elements(b.column("text").to_pylist(), cfg.words_per_shingle)
+            ok = n_words >= max(1, cfg.min_words)
+            doc, element = doc[ok[doc]], element[ok[doc]]
+            sizes = np.bincount(doc, minlength=len(ok))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            raw, rows = element.tobytes(), np.flatnonzero(ok)
+            cls = np.fromiter((xxhash.xxh3_64_intdigest(raw[4 * offsets[i] : 4 * offsets[i + 1]]) for i in rows), np.uint64, len(rows))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([offsets[rows], offsets[-1:]]), pa.int32()), pa.array(element.view(np.int32)))
+            own = [b.column(c).take(pa.array(rows)) for c in ("g", "id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cls.view(np.int64)), lists], names=["g", "id", "cls", "elements"])
+
+    return df.select("g", "id", "text").mapInArrow(run, "g string, id long, cls long, elements array<int>")
 
 
 def _document_frequencies(classes: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """Documents per shingle-hash bucket (2**bits numbers, whatever the corpus) and the number of documents."""
+    """Documents per element-hash bucket (2**bits numbers, whatever the corpus) and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(1 << bits, np.int64), 0
         for b in batches:
-            sh, el, n = b.column("shingles").flatten().to_numpy(), b.column("elements").flatten().to_numpy(), b.column("n").to_numpy()
-            weight = np.repeat(n, np.diff(b.column("shingles").offsets.to_numpy()))
-            first = sh == el  # each shingle once per document
-            total += np.bincount((sh[first].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), weights=weight[first], minlength=1 << bits).astype(np.int64)
+            n, lists = b.column("n").to_numpy(), b.column("elements")
+            bucket = (lists.flatten().to_numpy().view(np.uint32) >> np.uint32(32 - bits)).astype(np.int64)
+            total += np.bincount(bucket, weights=np.repeat(n, np.diff(lists.offsets.to_numpy())), minlength=1 << bits).astype(np.int64)
             docs += int(n.sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1]]), pa.int64()), pa.array(np.concatenate([total[at], [docs]]), pa.int64())], names=["bucket", "n"])
 
-    rows = classes.select("shingles", "elements", "n").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = classes.select("elements", "n").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
     df = np.zeros(1 << bits, np.float32)
     df[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -154,18 +151,18 @@ def _sample_values(element: np.ndarray, weight: np.ndarray, k: int, seed: int) -
 
 def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
     """(band, cls): for each class and band a hash of the band's number and samples."""
-    k, shift = cfg.bands * cfg.rows_per_band, np.uint64(64 - cfg.df_bits)
+    shift = np.uint32(32 - cfg.df_bits)
     shared = classes.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                el = b.column("elements").flatten().to_numpy().view(np.uint64)
-                sh = b.column("shingles").flatten().to_numpy().view(np.uint64)
+                el = b.column("elements").flatten().to_numpy().view(np.uint32)
                 sizes = np.diff(b.column("elements").offsets.to_numpy())
-                uniq, first, inv = np.unique(el, return_index=True, return_inverse=True)
-                weight = (1 + np.log((1 + docs) / (1 + shared.value[(sh[first] >> shift).astype(np.int64)]))).astype(np.float32)
+                uniq, inv = np.unique(el, return_inverse=True)
+                weight = (1 + np.log((1 + docs) / (1 + shared.value[uniq >> shift]))).astype(np.float32)
+                uniq = uniq.astype(np.uint64)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 keys = np.empty((len(sizes), cfg.bands), np.uint64)
                 for j in range(cfg.bands):  # samples of one band at a time bound the memory
@@ -178,7 +175,7 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls)], names=["band", "cls"])
 
-    return classes.select("cls", "elements", "shingles").mapInArrow(run, "band long, cls long")
+    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -193,17 +190,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataF
                 continue
             la, lb = b.column("ea"), b.column("eb")
             na, nb = np.diff(la.offsets.to_numpy()), np.diff(lb.offsets.to_numpy())
-            no = np.arange(b.num_rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            # an element of a pair is in both sets if its hash, mixed with the pair's number, occurs twice
-            x = np.concatenate([_mix(la.flatten().to_numpy().view(np.uint64) + np.repeat(no, na)), _mix(lb.flatten().to_numpy().view(np.uint64) + np.repeat(no, nb))])
-            pair = np.concatenate([np.repeat(np.arange(b.num_rows), na), np.repeat(np.arange(b.num_rows), nb)])
-            order = np.argsort(x, kind="stable")
-            xs, ps = x[order], pair[order]
-            twice = np.flatnonzero((xs[1:] == xs[:-1]) & (ps[1:] == ps[:-1]))
-            shared = np.bincount(ps[twice], minlength=b.num_rows)
-            sim = shared / np.maximum(1, na + nb - shared)
-            ok = np.flatnonzero(shared >= cfg.threshold * (na + nb - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(sim[ok])], names=["a", "b", "similarity"])
+            no = np.arange(b.num_rows, dtype=np.uint64) << np.uint64(32)
+            # within a pair, an element that occurs twice is in both sets
+            x = np.concatenate([la.flatten().to_numpy().view(np.uint32) + np.repeat(no, na), lb.flatten().to_numpy().view(np.uint32) + np.repeat(no, nb)])
+            x.sort()
+            twice = x[1:][x[1:] == x[:-1]]
+            shared = np.bincount((twice >> np.uint64(32)).astype(np.int64), minlength=b.num_rows)
+            union = na + nb - shared
+            ok = pa.array(np.flatnonzero(shared >= cfg.threshold * union - 1e-9))
+            sim = pa.array(shared / np.maximum(1, union))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(ok), b.column("b").take(ok), sim.take(ok)], names=["a", "b", "similarity"])
 
     return both.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, similarity double")
 
@@ -211,24 +207,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataF
 def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (group, id, cls) of all texts with min_words words, links (a, b, similarity), a < b.
 
-    Texts of the same shingles form one class. Null and empty texts, and shorter ones than min_words, have no class.
-    Repeated rows count once. An empty input gives empty results. Links are the pairs of classes whose similarity
-    reaches the threshold, as found through at least one band in common.
+    Texts of the same shingles form one class, by a 64-bit hash of their elements. Null and empty texts, and shorter
+    ones than min_words, have no class. Repeated rows count once. An empty input gives empty results. Links are the
+    pairs of classes whose similarity reaches the threshold, as found through at least one band in common. A hot band
+    is a plain sort-merge join of two shuffles, which AQE splits.
     """
-    rows = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("_id").isNotNull())
-    h = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")]
-    long_enough = F.length("text") >= 2 * cfg.min_words - 1  # a word has a letter and a blank after it
-    distinct = rows.where(long_enough).select(*h, "text").groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    tokens = materialize(_tokenized(distinct, cfg), "neardup_tokens")
-    where = tokens.select("h1", "h2", "cls")
-    members = rows.where(long_enough).select("_g", "_id", *h).distinct().join(where, ["h1", "h2"]).select(F.col("_g").alias(group), F.col("_id").alias(id_col), "cls").distinct()
-    first = tokens.groupBy("cls").agg(F.min(F.struct("h1", "h2")).alias("k"), F.count(F.lit(1)).alias("n"))
-    # most classes have one text; the texts beside the first of a class are left out by an anti join of those few
-    extra = tokens.select("h1", "h2", "cls").join(first.where("n > 1"), "cls").where("struct(h1, h2) <> k").select("h1", "h2")
-    classes = tokens.join(extra, ["h1", "h2"], "left_anti")
-    freq, docs = _document_frequencies(tokens.withColumn("n", F.lit(1).cast("long")), cfg.df_bits)
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    rows = rows.where(F.length("text") >= 2 * cfg.min_words - 1)  # a word has a letter and a blank after it
+    first = Window.partitionBy("cls").orderBy("g", "id")
+    tokens = _tokenized(rows, cfg).withColumn("rn", F.row_number().over(first))
+    tokens = materialize(tokens.select("g", "id", "cls", F.when(F.col("rn") == 1, F.col("elements")).alias("elements")), "neardup_tokens")
+    members = tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct()
+    classes = tokens.where(F.col("elements").isNotNull())
+    freq, docs = _document_frequencies(classes.withColumn("n", F.lit(1).cast("long")), cfg.df_bits)
     bands = _bands(classes, freq, docs, cfg)
-    pairs = bands.select("band", F.col("cls").alias("a")).join(bands.select("band", F.col("cls").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    pairs = bands.select("band", F.col("cls").alias("a")).join(bands.select("band", F.col("cls").alias("b")), "band").where("a < b")
+    # shuffled by a once, for the distinct pairs and for the join with a's elements
+    pairs = pairs.select("a", "b").repartition("a").dropDuplicates(["a", "b"])
     return members, _verified(pairs, classes, cfg)
 
 
@@ -236,7 +231,6 @@ def near_duplicate_pairs(df: DataFrame, group: str, id_col: str, text: str, cfg:
     """Pairs (group, id_a, id_b), id_a < id_b, of different rows of one group that are near or exact copies."""
     members, links = near_duplicate_classes(df, group, id_col, text, cfg)
     links = materialize(links.select("a", "b"), "neardup_links")
-    members = materialize(members, "neardup_members")
     a = members.select(group, F.col("cls").alias("a"), F.col(id_col).alias("_ia"))
     b = members.select(group, F.col("cls").alias("b"), F.col(id_col).alias("_ib"))
     between = a.join(links, "a").join(b, [group, "b"]).where(F.col("_ia") != F.col("_ib"))
