@@ -79,9 +79,9 @@ _E = rf"(?![{_L}0-9])"
 _UNIT = rf"(?:{'|'.join(UNITS)})\.? ?#?\d+[A-Za-z]?"
 _alt = "|".join
 
-_EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?@ ?| ?[(\[{{<] ?(?:at|AT) ?[)\]}}>] ?| (?:at|AT) )[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.| ?[(\[{{<] ?(?:dot|DOT) ?[)\]}}>] ?| (?:dot|DOT) )[A-Za-z0-9][A-Za-z0-9-]*)+"
-)
+_USER, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*", "[A-Za-z0-9][A-Za-z0-9-]*"
+_DOT = r" ?[(\[{<] ?(?:dot|DOT) ?[)\]}>] ?| (?:dot|DOT) "
+_EMAIL = re.compile(rf"{_USER}(?:(?: ?@ ?| ?[(\[{{<] ?(?:at|AT) ?[)\]}}>] ?){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+| (?:at|AT) {_LABEL}(?:(?:{_DOT}){_LABEL})+)")
 _MAYBE_MAIL = re.compile(r"@|[(\[{<] ?at ?[)\]}>]| dot ", re.I)
 _PHONE = re.compile(r"(?<![\w+.(/-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![\w/-]|\.\d)|(?<=[　-￮(=:])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![A-Za-z0-9/-]|\.\d)")
 _ID = re.compile(
