@@ -30,8 +30,8 @@ class NearDupConfig:
     words_per_shingle: int = 5
     threshold: float = 0.8
     min_words: int = 1
-    bands: int = 36
-    rows_per_band: int = 5
+    bands: int = 52
+    rows_per_band: int = 6
     df_bits: int = 18
     seed: int = 20240
 
@@ -150,7 +150,7 @@ def _sample_values(element: np.ndarray, weight: np.ndarray, k: int, seed: int) -
 
 
 def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
-    """(band, cls): for each class and band a hash of the band's number and samples."""
+    """(band, cls, size): for each class and band a hash of the band's number and samples, and the class's elements."""
     shift = np.uint32(32 - cfg.df_bits)
     shared = classes.sparkSession.sparkContext.broadcast(freq)
 
@@ -173,9 +173,10 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, c].view(np.uint32).astype(np.uint64))
                     keys[:, j] = key
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls)], names=["band", "cls"])
+                size = pa.array(np.repeat(sizes, cfg.bands).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), size], names=["band", "cls", "size"])
 
-    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long")
+    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, size int")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -221,7 +222,9 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     classes = tokens.where(F.col("elements").isNotNull())
     freq, docs = _document_frequencies(classes.withColumn("n", F.lit(1).cast("long")), cfg.df_bits)
     bands = _bands(classes, freq, docs, cfg)
-    pairs = bands.select("band", F.col("cls").alias("a")).join(bands.select("band", F.col("cls").alias("b")), "band").where("a < b")
+    left, right = (bands.select("band", F.col("cls").alias(c), F.col("size").alias(f"n{c}")) for c in "ab")
+    # sets of too different sizes cannot reach the threshold
+    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9)))
     # shuffled by a once, for the distinct pairs and for the join with a's elements
     pairs = pairs.select("a", "b").repartition("a").dropDuplicates(["a", "b"])
     return members, _verified(pairs, classes, cfg)

@@ -36,6 +36,10 @@ class Segment(NamedTuple):
 _ODD = re.compile("[ ­̀-Ͽа-֏ЅІЈА-Я  -― -  ⁠　ﬀ-ﬆ︀-️﻿！-～]")
 
 
+_OWN_CYRILLIC = re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯ]")
+_CYRILLIC_WORD, _LATIN = re.compile(r"\w*[Ѐ-ԯ]\w*"), re.compile("[A-Za-z]")
+
+
 @lru_cache(1)
 def _plain_chars() -> dict[str, str]:
     table = {b: a for latin, other in LOOKALIKES.values() for a, b in zip(latin, other)}
@@ -52,7 +56,15 @@ def plain_view(text: str) -> tuple[str, list[int] | None]:
     if text.isascii() or not _ODD.search(text):
         return text, None
     out, at, table = [], [], _plain_chars()
+    if _OWN_CYRILLIC.search(text):  # Russian stays Russian; only words that mix scripts are made plain
+        keep = {i for m in _CYRILLIC_WORD.finditer(text) if not _LATIN.search(m.group()) for i in range(*m.span())}
+    else:
+        keep = frozenset()
     for i, ch in enumerate(text):
+        if i in keep:
+            out.append(ch)
+            at.append(i)
+            continue
         cat = unicodedata.category(ch)
         if cat in ("Cf", "Mn"):
             continue
@@ -83,9 +95,9 @@ _USER, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*", "[A-Za-z0-
 _DOT = r" ?[(\[{<] ?(?:dot|DOT) ?[)\]}>] ?| (?:dot|DOT) "
 _EMAIL = re.compile(rf"{_USER}(?:(?: ?@ ?| ?[(\[{{<] ?(?:at|AT) ?[)\]}}>] ?){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+| (?:at|AT) {_LABEL}(?:(?:{_DOT}){_LABEL})+)")
 _MAYBE_MAIL = re.compile(r"@|[(\[{<] ?at ?[)\]}>]| dot ", re.I)
-_PHONE = re.compile(r"(?<![\w+.(/-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![\w/-]|\.\d)|(?<=[　-￮(=:])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![A-Za-z0-9/-]|\.\d)")
+_PHONE = re.compile(r"(?<![\w+.(/-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![A-Za-z0-9_/-]|\.\d)|(?<=[　-￮(=:])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![A-Za-z0-9/-]|\.\d)")
 _ID = re.compile(
-    rf"{_B}(?<![.+/-])(?:\d{{3}}[ -]\d{{2}}[ -]\d{{4}}|[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-Z]|[A-Z]{{1,2}}\d{{6,9}}[A-Z]?|\d{{1,2}}\.\d{{3}}\.\d{{3}}-[\dkKxX]|\d{{8}}[A-Z]|\d{{9}})(?![\w/]|[.-]\d)"
+    rf"{_B}(?<![.+/-])(?:\d{{3}}[ -]\d{{2}}[ -]\d{{4}}|[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-Z]|[A-Z]{{1,2}}\d{{6,9}}[A-Z]?|\d{{1,2}}\.\d{{3}}\.\d{{3}}-[\dkKxX]|\d{{8}}[A-Z]|\d{{9}})(?![A-Za-z0-9_/]|[.-]\d)"
 )
 _NUMBERED = rf"\d{{1,5}}[A-Za-z]?,? "
 _ADDRESS = re.compile(
@@ -184,6 +196,7 @@ def features(text: str, seg: Segment) -> list[str]:
             out.append("N|title inside")
         if left and left[-1] in (".", "!", "?", ":"):
             out.append(f"N|sentence|{known[0]}")
+        out += [f"N|bare={w}|{known[1]}" for w in words if len(w) == 1 and w.isalpha()]
         if any(p.isupper() and len(p) > 1 for p in parts) and not all(p.isupper() for p in parts):
             out.append("N|mixed case")
     else:

@@ -97,12 +97,12 @@ def _address(r: random.Random) -> str:
 # Fixed grammar: {NAME} and the like stand for generated segments, other marks for words.
 _CARRIERS = """
 Contact mail: {EMAIL}|Please forward it to {EMAIL} and cc {EMAIL}.|Reach {NAME} at {EMAIL} about the {noun}.|Write to {EMAIL} {adv}.|mail={EMAIL}|E-mail {NAME} ({EMAIL}).|The copy went to {EMAIL}, not to us.
-Call {PHONE} after {time}.|My new number is {PHONE}, use it after {time}.|Emergency contact: {NAME} ({PHONE}).|{NAME} signed the {adj} {noun}; call {PHONE} if it is lost.|{word} signed the {noun}; call {PHONE} if it is lost.|phone {PHONE}|tel={PHONE};|Ring me on {PHONE}, please.|Text {PHONE} or call {PHONE}.|请联系{NAME}，电话{PHONE}。|新号码：{PHONE}|Mobile: {PHONE}
+Call {PHONE} after {time}.|My new number is {PHONE}, use it after {time}.|Emergency contact: {NAME} ({PHONE}).|{NAME} signed the {adj} {noun}; call {PHONE} if it is lost.|{word} signed the {noun}; call {PHONE} if it is lost.|phone {PHONE}|tel={PHONE};|Ring me on {PHONE}, please.|Text {PHONE} or call {PHONE}.|请联系{NAME}，电话{PHONE}。|新号码：{PHONE}|证件号{ID}属于{NAME}。|邮箱是{EMAIL}，地址{ADDRESS}。|Mobile: {PHONE}
 The form lists {ID} as identity number and {PHONE} as phone.|id={ID}; tel={PHONE}; mail={EMAIL}|Passport or ID on file for {NAME}: {ID}.|Verify holder {NAME}, social number {ID}, before the {noun} opens.|My passport number is {ID}.|Holder {word}, social number {ID}, was checked.|SSN {ID} is on the {noun}.|For the lease I gave {ADDRESS} and {ID}.|For the lease I gave {ID} and {ADDRESS}.|identity card {ID}
 Delivery address is {ADDRESS}; ring twice.|Send the {noun} to {ADDRESS}, {word}.|{NAME} moved to {ADDRESS} in {month}.|{word} moved to {ADDRESS} in {month}.|She lives at {ADDRESS}.|We met at {ADDRESS} on Monday.|合同寄到{ADDRESS}，抄送{EMAIL}。|Ship it to {ADDRESS}.|Send the {noun} to {ADDRESS}, {word} {place}.
 I met {NAME} near the {noun} {adv}.|{NAME} {verb} the {adj} {noun}.|Ask {NAME} about the {noun}.|Dr. {NAME} called {adv}.|Dr. {NAME} {verb} the {noun}.|{NAME}'s {noun} was {verb} {adv}.|The {noun} belongs to {NAME}.|We saw {NAME}, who {verb} it.|{NAME} lives in {word}, as noted by the {noun} team.|{NAME} uses {word}, as noted by the {noun} team.|Note from {NAME}: the {noun} is {adj}.|{NAME} and {NAME} {verb} the {noun}.|{NAME} on call for {word}, as noted by the {noun} team.|{NAME} prefers tea, as noted by the {noun} team.|Sent by {NAME}.|user: {NAME} {verb} it.|Mr {NAME} and Ms {NAME} {verb} the {noun}.|今天见到了{NAME}。
 Checksum {long} matches the {noun}.|Trace id {trace} and build {version} were kept.|The grid reads {version}.{small} and shard {small}/{small}.|Order {code} has {small} lines of {small} units.|Ticket {code} says the {adj} {noun} in {word} was {verb}, not {verb}.|Policy {code} now covers {word}: every {noun} is {verb} {adv}.|Use handle {noun}@{noun} in the {word} shell.|Ping @{noun}_{noun} on the board, room {small}.|Hash {long} and serial {trace} differ.|Version {version} is out.|Invoice {long} shows {small} credits.|Commit {long} was {verb}.|Batch {trace} failed.
-Migration step {small} covers {word}, {word} and the {adj} {noun} they share.|We passed {word}, {word} and {word} {place}.|The {noun} lists {word}, {word} and {small} {noun}s.|Between {word}, {word} and the {noun} lies {word}.|Walk {small} steps down the {word} road, then rest.|Ask the {word} {place} {noun} desk, not {word} support.|{word} keeps the {adj} {noun} for {word} at {word}, lot {small}.|{word} {org} Ltd {verb} the {noun}.|{word} {product} {small} {verb} the {noun}.|Trip to {word} {place} on {month} {small}.|If {word} fails again, roll back to {version} and tell {word} {place} that the {noun} is {adj}.|They chose {word} {place} over {word} since its {noun} is {adj}.|The {adj} {noun} for {word} was {verb} before the {noun} reached {word} {place} on Monday.|Deadline for the {word} {noun} moved to {month} {small}.|During the {month} review the {noun} team {verb} {small} {noun}s for {word}.|Our {adj} run of {word} {version} {verb} {small} rows.|Old plan: check the {noun}. New plan: keep the {noun} with {word} in {month}.|Latency of {word} fell to {small} ms once the {noun} was {verb}.|Session notes: {noun} and {noun} were {verb} while {word} waited.|I prefer {word} over the {noun} when we work from {word} {place} in {month}.|We {verb} the {word} {org} {noun}.|{word} uses {word} {version} now.|Between {month} and {month} the {noun} cost us {small} hours.|Assistant suggested replacing the {noun}, citing {word} report {small}.|Backup window for {word} starts {time}.|The {word} {org} team {verb} it in {month}.|Reminder: {word} {product} meets {word} {org} in {word}.|User asked whether the {noun} near {word} {place} is {adj}.|Nobody at {word} had {verb} the {noun}, so {word} kept it.|Allergic reaction after tea in {word} {place}; avoid it.|Emergency contact: none.|Plan Enterprise for {word}, status open.|Dear Sir, Good Morning.|Happy Birthday to {word}!|{word} {word} {small} {version}.|Build {version} of {word} {verb} the {noun}.
+Migration step {small} covers {word}, {word} and the {adj} {noun} they share.|We passed {word}, {word} and {word} {place}.|The {noun} lists {word}, {word} and {small} {noun}s.|Between {word}, {word} and the {noun} lies {word}.|Walk {small} steps down the {word} road, then rest.|Ask the {word} {place} {noun} desk, not {word} support.|{word} keeps the {adj} {noun} for {word} at {word}, lot {small}.|{word} {org} Ltd {verb} the {noun}.|{word} {product} {small} {verb} the {noun}.|Trip to {word} {place} on {month} {small}.|If {word} fails again, roll back to {version} and tell {word} {place} that the {noun} is {adj}.|They chose {word} {place} over {word} since its {noun} is {adj}.|The {adj} {noun} for {word} was {verb} before the {noun} reached {word} {place} on Monday.|Deadline for the {word} {noun} moved to {month} {small}.|During the {month} review the {noun} team {verb} {small} {noun}s for {word}.|Our {adj} run of {word} {version} {verb} {small} rows.|Old plan: check the {noun}. New plan: keep the {noun} with {word} in {month}.|Latency of {word} fell to {small} ms once the {noun} was {verb}.|Session notes: {noun} and {noun} were {verb} while {word} waited.|I prefer {word} over the {noun} when we work from {word} {place} in {month}.|We {verb} the {word} {org} {noun}.|{word} uses {word} {version} now.|Between {month} and {month} the {noun} cost us {small} hours.|Assistant suggested replacing the {noun}, citing {word} report {small}.|Backup window for {word} starts {time}.|The {word} {org} team {verb} it in {month}.|Reminder: {word} {product} meets {word} {org} in {word}.|User asked whether the {noun} near {word} {place} is {adj}.|Nobody at {word} had {verb} the {noun}, so {word} kept it.|Allergic reaction after tea in {word} {place}; avoid it.|Emergency contact: none.|Plan Enterprise for {word}, status open.|Actually, I prefer the {adj} {noun}.|FYI, A {adj} {noun} arrived {adv}.|As said, I {verb} the {noun}.|I Think so.|A {adj} {noun} from {word} was {verb}.|Update: A {noun} for {word} {place}.|Actually, Correction: the {noun} moved.|FYI, Ticket {code} was {verb}.|Note: If {word} fails, call back.|Dear Sir, Good Morning.|Happy Birthday to {word}!|{word} {word} {small} {version}.|Build {version} of {word} {verb} the {noun}.
 """
 _VERBS = "checked signed packed moved opened closed stored booked fixed sent flagged copied kept renewed tested".split()
 
@@ -123,7 +123,7 @@ def generate(count: int, seed: int) -> list[tuple[str, list[Segment]]]:
         text, segs = "", []
         for _ in range(r.choice((1, 1, 2, 3))):
             carrier = r.choice(carriers)
-            pos = 0
+            pos, loud = 0, r.random() < 0.08
             if text:
                 text += r.choice((" ", " ", " ", "\n", ", "))
             while pos < len(carrier):
@@ -135,10 +135,10 @@ def generate(count: int, seed: int) -> list[tuple[str, list[Segment]]]:
                         segs.append(Segment(len(text), len(text) + len(value), key))
                     else:
                         value = fill[key]()
-                    text += value
+                    text += value.upper() if loud and key not in make else value
                     pos = end + 1
                 else:
-                    text += carrier[pos]
+                    text += carrier[pos].upper() if loud else carrier[pos]
                     pos += 1
         out.append((text, segs))
     return out
