@@ -78,9 +78,8 @@ def _scripts_of(ch: str) -> frozenset[str]:
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 # Letters of the scripts that have look-alikes of Latin ones; a text without them needs no script resolution.
 _OTHER_SCRIPT = re.compile("[Ͱ-֏ἀ-῿]")
-_ZWJ_INSIDE = re.compile(ZWJ)
-# Texts of these characters only are in their final form but for composition.
-_PLAIN = re.compile(r"[\x00-\x0c\x0e-\x7e¡-¬®-ͮ、-〠぀-ヿ一-鿿‒-‧Ѐ-ԯ]*")
+# Any character outside of these needs work beyond composition; a text without one is in its final form if composed.
+_SPECIAL = re.compile(r"[^\x00-\x0c\x0e-\x7e¡-¬®-ͮ、-〠぀-ヿ一-鿿‒-‧]")
 
 
 def _pictograph(ch: str) -> bool:
@@ -129,11 +128,12 @@ def canonical_text(text: str | None) -> str | None:
     """
     if text is None or text.isascii() and "\r" not in text and "\x7f" not in text:
         return text
-    if not (_PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text)):
-        text = text.replace("\r\n", "\n").replace("\r", "\n").translate(_char_table()).replace("\x7f", "")
-        if ZWJ in text:
-            text = _join_only_pictographs(text)
-        text = unicodedata.normalize("NFC", text)
+    if _SPECIAL.search(text) is None:
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    text = text.replace("\r\n", "\n").replace("\r", "\n").translate(_char_table()).replace("\x7f", "")
+    if ZWJ in text:
+        text = _join_only_pictographs(text)
+    text = unicodedata.normalize("NFC", text)
     if _OTHER_SCRIPT.search(text):
         text = unicodedata.normalize("NFC", _one_script(text))
     return text

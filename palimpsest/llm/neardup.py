@@ -79,15 +79,18 @@ def _elements(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             s = np.where(left > k, _mix(s * np.uint64(31) + nxt), s)
         keep = (left >= n) | (pos == 0)  # a text shorter than a shingle is one shingle
         doc, w = doc[keep], s[keep]
-    order = np.lexsort((w, doc))
-    doc, w = doc[order], w[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
-    occ = (np.arange(len(w)) - start).astype(np.uint64)
-    element = (_mix(w + occ * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((element, doc))
-    return doc[order], element[order], n_words
+    # one 64-bit key of document and hash sorts faster than two columns; equal hashes follow each other
+    top = doc.astype(np.uint64) << np.uint64(32)
+    key = top | (w >> np.uint64(32))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    occ = (np.arange(len(key)) - start).astype(np.uint64)
+    low = np.uint64(0xFFFFFFFF)
+    key = (key & ~low) | (_mix((key & low) * np.uint64(0xD6E8FEB86659FD93) + occ * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))
+    key.sort()
+    return (key >> np.uint64(32)).astype(np.int64), (key & low).astype(np.uint32), n_words
 
 
 def _tokenized(df: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -149,15 +152,27 @@ def _sample_values(element: np.ndarray, weight: np.ndarray, k: int, seed: int) -
     return (ln_c - r * (t - beta) - r).astype(np.float32)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Larger batches of about so many rows: values of the elements they share are drawn once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
     """(band, cls, size): for each class and band a hash of the band's number and samples, and the class's elements."""
     shift = np.uint32(32 - cfg.df_bits)
     shared = classes.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
+        for b in _joined(batches, 20_000):
+            if b.num_rows:
                 el = b.column("elements").flatten().to_numpy().view(np.uint32)
                 sizes = np.diff(b.column("elements").offsets.to_numpy())
                 uniq, inv = np.unique(el, return_inverse=True)
