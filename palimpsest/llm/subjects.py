@@ -29,7 +29,7 @@ _SMALL = {"en": "the of and is to was for that it you in with not are which".spl
 class SubjectConfig:
     """max_train_docs bounds the labelled documents that are fitted; everything else covers all documents."""
 
-    max_train_docs: int = 20_000
+    max_train_docs: int = 6_000
     em_rounds: int = 4
     min_count: int = 3
     min_gain: float = 0.7
