@@ -75,7 +75,8 @@ def _scripts_of(ch: str) -> frozenset[str]:
     return _script_maps()[1].get(ch) or frozenset([_script(ch)])
 
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+# Runs of letters of scripts that are written with blanks between words; Chinese and Japanese letters end a run.
+_TOKEN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ʯ̀-ͯͰ-῿Ⱡ-ⷿꙀ-ퟻ豈-﫿]+")
 # Letters of the scripts that have look-alikes of Latin ones; a text without them needs no script resolution.
 _OTHER_SCRIPT = re.compile("[Ͱ-֏ἀ-῿]")
 # Any character outside of these needs work beyond composition; a text without one is in its final form if composed.
@@ -115,7 +116,7 @@ def _one_script(text: str) -> str:
             best = max(rest, key=lambda s: (rest[s], s)) if rest else "Latin"
         else:
             best = max(options, key=lambda s: (use.get(s, 0), s == "Latin", s))
-        return "".join(spell[ch].get(best, ch) if ch in spell else ch for ch in token)
+        return "".join(spell[ch].get(best) or spell[ch]["Latin"] if ch in spell else ch for ch in token)
 
     return _TOKEN.sub(pick, text)
 
