@@ -61,23 +61,48 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
+_MARK = "\x01"
+
+
+def stemmed_text(text: Column | str) -> Column:
+    """Lower-case text with every ASCII word stemmed, in two passes of one regular expression each.
+
+    The shortest prefix of four letters or more before a suffix is kept, which is the first suffix of the list that
+    fits. Words that end in ied or ies get their y behind a mark, so that the second pass leaves them alone.
+    """
+    rest = "|".join(x for x in SUFFIXES if x not in ("ied", "ies"))
+    marked = F.regexp_replace(F.lower(_c(text)), "(?<![a-z0-9])([a-z0-9]{4,}?)(?:ied|ies)(?![a-z0-9])", f"$1{_MARK}y")
+    return F.translate(F.regexp_replace(marked, f"(?<![a-z0-9])([a-z0-9]{{4,}}?)(?:{rest})(?![a-z0-9{_MARK}])", "$1"), _MARK, "")
+
+
 def content_words(text: Column | str) -> Column:
     """Stemmed ASCII words of more than one letter that are no stop words."""
-    words = F.transform(F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+"), F.lit(0)), stem)
-    return F.filter(words, lambda w: ~w.isin(RETRIEVAL_STOP) & (F.length(w) > 1))
+    return F.filter(F.regexp_extract_all(stemmed_text(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(RETRIEVAL_STOP) & (F.length(w) > 1))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with value evaluated once: bound as the variable of a lambda over a one-element array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def retrieval_terms(text: Column | str) -> Column:
     """Content words followed by their adjacent pairs."""
-    w = content_words(text)
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
-    return F.concat(w, pairs)
+
+    def both(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b)))
+
+    return _once(content_words(text), both)
 
 
 def char_terms(text: Column | str) -> Column:
     """Padded character trigrams of words of four letters or more."""
     words = F.filter(F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(RETRIEVAL_STOP) & (F.length(w) >= 4))
-    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.lit("c3:"), F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(3))))))
+
+    def grams(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.concat(F.lit("c3:"), F.substr(p, i, F.lit(3))))
+
+    return F.flatten(F.transform(words, lambda w: _once(F.concat(F.lit("^"), w, F.lit("$")), grams)))
 
 
 def has_cue(text: Column | str, cues: list[str]) -> Column:

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialize
+
 FANOUT_BITS = 4
 
 
@@ -32,7 +34,8 @@ def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: st
     one = F.when(F.col("_lo") == F.col("_hi"), F.xxhash64(*keys, "_lo")).otherwise(F.xxhash64(*keys, F.col(snap), "_lo", "_hi"))
     level = per_key.groupBy(snap, "leaf").agg(F.bit_xor(one).alias("digest"), F.count(F.lit(1)).alias("size")).withColumnRenamed("leaf", "node")
     order = rows.select(snap).distinct().withColumn("_no", F.row_number().over(Window.orderBy(snap)))
-    level = level.join(F.broadcast(order), snap).select("_no", "node", "digest", "size")  # one row per snapshot
+    order = materialize(order, "merkle_order")  # one row per snapshot
+    level = materialize(level.join(F.broadcast(order), snap).select("_no", "node", "digest", "size"), "merkle_leaves")
     levels = [level]
     for _ in range(0, leaf_bits, FANOUT_BITS):
         level = (
@@ -51,7 +54,7 @@ def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: st
         up = parents.select("_no", F.col("node").alias("_up"))
         return differing(children).withColumn("_up", F.shiftright("node", FANOUT_BITS)).join(up, ["_no", "_up"], "left_semi").select("_no", "node")
 
-    found = reduce(descend, reversed(levels[:-1]), differing(levels[-1]))
+    found = materialize(reduce(descend, reversed(levels[:-1]), differing(levels[-1])), "merkle_changed")
     return found.join(F.broadcast(order), "_no").select(snap, F.col("node").alias("leaf"))
 
 
@@ -70,7 +73,7 @@ def version_history(
         *[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("_val"), at.alias("_at"), tie.alias("_tie"), snap.alias("_snap"), chunk.alias("_chunk")
     ).where(F.col("_at").isNotNull())
     rows = rows.groupBy(*names, "_chunk", "_snap", "_at", "_val").agg(F.min("_tie").alias("_tie"))
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(*names), F.lit(1 << leaf_bits)))
+    rows = materialize(rows.withColumn("leaf", F.pmod(F.xxhash64(*names), F.lit(1 << leaf_bits))), "history_rows")
     changed = merkle_changed_leaves(rows, names, "_snap", "_val", leaf_bits)
     rows = rows.join(changed, ["_snap", "leaf"], "left_semi")
     order = [F.col("_at"), F.col("_tie"), _mark("_val")]

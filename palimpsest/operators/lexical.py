@@ -9,28 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialize
+
 K1, B = 1.35, 0.72
 
 
-def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(id, term, tf, dl): counts of each term, and the length of the document in terms; empty documents are left out."""
-    rows = docs.select(id_col, terms.alias("_t")).where(F.size("_t") > 0)
-    return rows.select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+#: Query terms up to this number are broadcast to the scan of the documents; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def bm25_scores(docs: DataFrame, id_col: str, terms: Column, queries: DataFrame, query_id: str, query_terms: Column, k1: float = K1, b: float = B) -> DataFrame:
     """(query, id, score) of all documents that share a term with a query.
 
-    Document frequency, mean length and number of documents count all rows of ``docs``, empty ones included. The query
-    side is small next to the documents and unique terms of it are joined; AQE broadcasts it only when its measured
-    size allows.
+    Document frequency, mean length and number of documents count all rows of ``docs``, empty ones included; ids are
+    unique. Texts are read and cut into terms once: of each document only its counts of query terms, and of all its
+    other terms together, leave that stage.
     """
-    tc = term_counts(docs, id_col, terms)
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.greatest(F.size(terms), F.lit(0))) / F.count(F.lit(1))).alias("avgdl"))
-    q = queries.select(query_id, F.explode(query_terms).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = tc.join(q.select("term").distinct(), "term", "left_semi")
+    q = materialize(queries.select(query_id, F.explode(query_terms).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")), "bm25_query")
+    wanted = q.select("term").distinct().withColumn("hit", F.col("term"))
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    uses = docs.select(F.col(id_col), F.explode_outer(terms).alias("term")).join(wanted, "term", "left")
+    uses = materialize(uses.groupBy(id_col, "hit").agg(F.count("term").alias("tf")), "bm25_uses")
+    lengths = uses.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    hits = uses.where("hit is not null").withColumnRenamed("hit", "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").join(q, "term").crossJoin(F.broadcast(totals))  # totals is one row
+    scored = hits.join(lengths, id_col).join(df, "term").join(q, "term").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1.0 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * norm)
