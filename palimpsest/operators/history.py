@@ -27,15 +27,16 @@ def _mark(c: str) -> Column:
 def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: str, leaf_bits: int = 12) -> DataFrame:
     """(snap, leaf) whose digest differs from that of the snapshot before it.
 
-    ``rows`` has a leaf column. A key with several values in one snapshot makes its leaf differ always, as the order
-    of those values matters. The first snapshot differs throughout. The tree is small: leaves x snapshots rows.
+    ``rows`` has the columns leaf and _chunk and is already partitioned by them, so that its groups need no shuffle. A
+    key with several values in one snapshot makes its leaf differ always, as the order of those values matters. The
+    first snapshot differs throughout. The tree is small: at most leaves x snapshots rows.
     """
-    per_key = rows.groupBy("leaf", snap, *keys).agg(F.min(_mark(value)).alias("_lo"), F.max(_mark(value)).alias("_hi"))
+    per_key = rows.groupBy("leaf", "_chunk", snap, *keys).agg(F.min(_mark(value)).alias("_lo"), F.max(_mark(value)).alias("_hi"))
     one = F.when(F.col("_lo") == F.col("_hi"), F.xxhash64(*keys, "_lo")).otherwise(F.xxhash64(*keys, F.col(snap), "_lo", "_hi"))
-    level = per_key.groupBy(snap, "leaf").agg(F.bit_xor(one).alias("digest"), F.count(F.lit(1)).alias("size")).withColumnRenamed("leaf", "node")
-    order = rows.select(snap).distinct().withColumn("_no", F.row_number().over(Window.orderBy(snap)))
-    order = materialize(order, "merkle_order")  # one row per snapshot
-    level = materialize(level.join(F.broadcast(order), snap).select("_no", "node", "digest", "size"), "merkle_leaves")
+    level = per_key.groupBy("leaf", "_chunk", snap).agg(F.bit_xor(one).alias("digest"), F.count(F.lit(1)).alias("size"))
+    level = materialize(level.select(snap, F.col("leaf").alias("node"), "digest", "size"), "merkle_leaves")
+    order = materialize(level.select(snap).distinct().withColumn("_no", F.row_number().over(Window.orderBy(snap))), "merkle_order")  # one row per snapshot
+    level = level.join(F.broadcast(order), snap).select("_no", "node", "digest", "size")
     levels = [level]
     for _ in range(0, leaf_bits, FANOUT_BITS):
         level = (
@@ -58,31 +59,50 @@ def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: st
     return found.join(F.broadcast(order), "_no").select(snap, F.col("node").alias("leaf"))
 
 
+#: Changed leaves up to this number are broadcast to the rows; more are joined by shuffle.
+BROADCAST_LEAVES = 2_000_000
+
+
 def version_history(
-    df: DataFrame, keys: list[str], value: Column, at: Column, tie: Column, snap: Column, chunk: Column, leaf_bits: int = 12
+    df: DataFrame, keys: list[str], value: Column, at: Column, tie: Column, snap: Column, chunk: Column | None = None, pick: Column | None = None, leaf_bits: int = 12
 ) -> DataFrame:
     """Rows (keys, held_value, from_at, to_at): one row per version, to_at null while it holds.
 
     value is null where a row ends the version that holds and starts none. Rows are ordered by ``at``, equal times by
-    ``tie`` and then by value; equal successive values are one version. ``snap`` names the snapshot or update period
-    of a row and must grow with ``at``; ``chunk`` is snap or coarser. Rows whose ``at`` is null do not count. Null key
-    values form a key of their own. Repeated rows change nothing. An empty input gives an empty result.
+    ``tie`` and then by value; equal successive values are one version. With ``pick``, only the row of the greatest
+    pick counts of a key and time. ``snap`` names the snapshot or update period of a row and must grow with ``at``;
+    ``chunk`` is snap or coarser and spreads a hot key over tasks. Without a chunk a key is one group, which suits
+    keys of one row per snapshot. Rows whose ``at`` is null do not count. Null key values form a key of their own.
+    Repeated rows change nothing. An empty input gives an empty result.
+
+    One shuffle by (leaf, chunk) serves the duplicates, the tree and the diff, as all of them group by more than that.
     """
     names = [f"_k{i}" for i in range(len(keys))]
+    stitched = chunk is not None
     rows = df.select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("_val"), at.alias("_at"), tie.alias("_tie"), snap.alias("_snap"), chunk.alias("_chunk")
-    ).where(F.col("_at").isNotNull())
-    rows = rows.groupBy(*names, "_chunk", "_snap", "_at", "_val").agg(F.min("_tie").alias("_tie"))
-    rows = materialize(rows.withColumn("leaf", F.pmod(F.xxhash64(*names), F.lit(1 << leaf_bits))), "history_rows")
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("_val"), at.alias("_at"), tie.alias("_tie"), snap.alias("_snap"),
+        (chunk if stitched else F.lit(0)).alias("_chunk"), (pick if pick is not None else F.lit(0)).alias("_pick"),
+    ).where(F.col("_at").isNotNull())
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(*names), F.lit(1 << leaf_bits))).repartition("leaf", "_chunk")
+    own = ["leaf", "_chunk", *names, "_snap", "_at"]
+    if pick is not None:
+        rows = rows.groupBy(*own).agg(F.max(F.struct("_pick", "_val", "_tie")).alias("_x")).select(*own, "_x._val", "_x._tie")
+    else:
+        rows = rows.groupBy(*own, "_val").agg(F.min("_tie").alias("_tie"))
     changed = merkle_changed_leaves(rows, names, "_snap", "_val", leaf_bits)
+    if changed.count() <= BROADCAST_LEAVES:
+        changed = F.broadcast(changed)
     rows = rows.join(changed, ["_snap", "leaf"], "left_semi")
     order = [F.col("_at"), F.col("_tie"), _mark("_val")]
-    in_chunk = Window.partitionBy(*names, "_chunk").orderBy(*order)
+    in_chunk = Window.partitionBy("leaf", "_chunk", *names).orderBy(*order)
     steps = rows.withColumn("_prev", F.lag(_mark("_val")).over(in_chunk))
     steps = steps.where(F.col("_prev").isNull() | (F.col("_prev") != _mark("_val")))
     steps = steps.withColumn("_rn", F.row_number().over(in_chunk)).withColumn("_next", F.lead("_at").over(in_chunk))
+    out = [F.col("_val").alias("held_value"), F.col("_at").alias("from_at")]
+    if not stitched:
+        return steps.where(F.col("_val").isNotNull()).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *out, F.col("_next").alias("to_at"))
     first, last = F.min_by(F.struct("_at", "_next", _mark("_val").alias("m")), "_rn"), F.max_by(_mark("_val"), "_rn")
-    chunks = steps.groupBy(*names, "_chunk").agg(first.alias("_f"), last.alias("_last"))
+    chunks = steps.groupBy("leaf", "_chunk", *names).agg(first.alias("_f"), last.alias("_last"))
     by_key = Window.partitionBy(*names).orderBy("_chunk")
     fresh = F.coalesce(F.lag("_last").over(by_key) != F.col("_f.m"), F.lit(True))
     chunks = chunks.withColumn("_fresh", fresh).withColumn("_change", F.when(F.col("_fresh"), F.col("_f._at")).otherwise(F.col("_f._next")))
@@ -91,9 +111,7 @@ def version_history(
     c = chunks.select(*[F.col(n).alias(f"c{n}") for n in names], F.col("_chunk").alias("c_chunk"), "_fresh", "_later")
     same = reduce(lambda a, b: a & b, [steps[n].eqNullSafe(c[f"c{n}"]) for n in names], steps["_chunk"] == c["c_chunk"])
     joined = steps.join(c, same).where(F.col("_val").isNotNull() & ((F.col("_rn") > 1) | F.col("_fresh")))
-    return joined.select(
-        *[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_val").alias("held_value"), F.col("_at").alias("from_at"), F.coalesce("_next", "_later").alias("to_at")
-    )
+    return joined.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *out, F.coalesce("_next", "_later").alias("to_at"))
 
 
 def state_history(records: DataFrame) -> DataFrame:
@@ -104,14 +122,11 @@ def state_history(records: DataFrame) -> DataFrame:
     are ignored; a blank state is none.
     """
     state = F.lower(F.trim("state"))
-    kept = (
-        records.select("tenant_id", "memory_id", "snapshot_at", "loaded_at", state.alias("state"))
-        .where(F.col("snapshot_at").isNotNull() & F.col("memory_id").isNotNull() & (F.col("state") != ""))
-        .groupBy("memory_id", "snapshot_at")
-        .agg(F.max(F.struct("loaded_at", "state", "tenant_id")).alias("x"))
-        .select("x.tenant_id", F.col("memory_id").cast("string").alias("entity"), "snapshot_at", "x.state")
+    kept = records.select("tenant_id", F.col("memory_id").cast("string").alias("entity"), "snapshot_at", "loaded_at", state.alias("state")).where(
+        F.col("memory_id").isNotNull() & (F.col("state") != "")
     )
-    return version_history(kept, ["tenant_id", "entity"], F.col("state"), F.col("snapshot_at"), F.lit(0), F.col("snapshot_at"), F.lit(0))
+    at = F.col("snapshot_at")
+    return version_history(kept, ["tenant_id", "entity"], F.col("state"), at, F.lit(0), at, pick=F.struct("loaded_at", "state"))
 
 
 def fact_history(facts: DataFrame) -> DataFrame:

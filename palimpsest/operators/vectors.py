@@ -16,35 +16,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.coalesce(s, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def exact_neighbours(vectors: DataFrame, id_col: str, vec: str, every: int, k: int, block: int = 512) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows (id, v) packed into about equal blocks of at most a few times ``size`` rows, by hash of the id."""
+    n = max(1, -(-rows.count() // size))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_b")).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vs"))
+    return packed.drop("_b")
+
+
+def exact_neighbours(vectors: DataFrame, id_col: str, vec: str, every: int, k: int, block: int = 2048) -> DataFrame:
     """(query, id, score, rank): the k best rows of all for each row whose id is divisible by ``every``.
 
-    The stated query set is broadcast in blocks against all rows: every task scores a batch of rows against a block of
-    queries as one matrix product and keeps k per query, so that partial results stay small; a window merges them.
-    Null vectors have no neighbours; ties go to the lower id.
+    The stated query set meets all rows block by block: both are packed into blocks of bounded size, each pair of
+    blocks is one matrix product in some task, and leaves k rows per query for the window that merges them. Nothing
+    goes through the driver. Null and empty vectors have no neighbours; ties go to the lower id.
     """
-    rows = vectors.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    queries = rows.where(F.col("id") % every == 0).orderBy("id").toPandas()
-    spark = vectors.sparkSession
-    out = None
-    for at in range(0, max(1, len(queries)), block):
-        part = queries.iloc[at : at + block]
-        shared = spark.sparkContext.broadcast((part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            for b in batches:
-                if not len(b) or not len(qid):
-                    continue
-                ids = b["id"].to_numpy()
-                s = np.round(q @ np.stack(b["v"].to_numpy()).astype(np.float64).T, 6)
+    rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vec) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
+    pairs = _blocks(rows.where(F.col("id") % every == 0), block, "q").crossJoin(_blocks(rows, block, "r"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qid, qv, ids, v in b[["q_ids", "q_vs", "r_ids", "r_vs"]].itertuples(index=False, name=None):
+                s = np.round(np.stack(qv).astype(np.float64) @ np.stack(v).astype(np.float64).T, 6)
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : k + 1]
-                yield pd.DataFrame({"query": np.repeat(qid, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                yield pd.DataFrame({"query": np.repeat(qid, order.shape[1]), "id": np.asarray(ids)[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
-        found = rows.mapInPandas(run, "query long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    found = pairs.mapInPandas(run, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    return out.where("query <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.where("query <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def weighted_centroids(vectors: DataFrame, group: str, vec: str, weight: Column) -> DataFrame:

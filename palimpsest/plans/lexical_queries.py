@@ -119,7 +119,7 @@ def cooccurring_terms(spark: SparkSession, d: str) -> DataFrame:
     n = docs.agg(F.greatest(F.lit(8.0), 0.4 * F.count(F.lit(1))).alias("cap"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     query = _queries(spark, d).select("subject", F.explode(F.array_distinct(T.content_words("query"))).alias("anchor"))
-    anchored = terms.join(F.broadcast(query), F.col("term") == F.col("anchor")).select("subject", "doc_id").distinct()
+    anchored = terms.join(query, F.col("term") == F.col("anchor")).select("subject", "doc_id").distinct()
     size = anchored.groupBy("subject").agg(F.count(F.lit(1)).alias("anchors"))
     over = anchored.join(terms, "doc_id").groupBy("subject", "term").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= 2")
     own = query.select("subject", F.col("anchor").alias("term"))
