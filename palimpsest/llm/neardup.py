@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canonical import canonical_text
+from palimpsest.operators.graph import connected_components
 from palimpsest.session import materialize
 
 
@@ -255,3 +256,18 @@ def near_duplicate_pairs(df: DataFrame, group: str, id_col: str, text: str, cfg:
     within = a.join(b.withColumnRenamed("b", "a"), [group, "a"]).where(F.col("_ia") < F.col("_ib"))
     pair = [F.col(group), F.least("_ia", "_ib").alias("id_a"), F.greatest("_ia", "_ib").alias("id_b")]
     return between.select(*pair).unionByName(within.select(*pair)).distinct()
+
+
+def near_duplicate_groups(df: DataFrame, group: str, id_col: str, text: str, cfg: NearDupConfig) -> DataFrame:
+    """(group, id, class_id, group_id, links): one row per text with its class, its group of linked classes, and links.
+
+    A group is a connected component of the links between classes; a class without links is a group of its own. Exact
+    copies share a class and are not expanded into pairs; links counts the other classes that the text's class is
+    similar to. Components are found in rounds over tables in the shared folder.
+    """
+    members, links = near_duplicate_classes(df, group, id_col, text, cfg)
+    links = materialize(links.select(F.lit(0).alias("p"), "a", "b"), "neardup_links")
+    comps = connected_components(links, "p", "a", "b").select(F.col("node").alias("cls"), "component")
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    out = members.join(comps, "cls", "left").join(degree, "cls", "left")
+    return out.select(group, id_col, F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

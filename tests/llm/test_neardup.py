@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from palimpsest.llm.neardup import NearDupConfig, near_duplicate_classes, near_duplicate_pairs
+from palimpsest.llm.neardup import NearDupConfig, near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs
 
 SCHEMA = "src string, id long, text string, cls string, elements string"
 CFG = NearDupConfig(words_per_shingle=1, threshold=0.7, min_words=30, bands=52, rows_per_band=6)
@@ -67,3 +67,17 @@ def test_empty_and_very_long(spark):
     long = " ".join(f"t{i % 5000}" for i in range(60000))
     df = spark.createDataFrame([("w", 1, long, "", ""), ("w", 2, long + " end", "", "")], SCHEMA)
     assert near_duplicate_pairs(df, "src", "id", "text", CFG).count() == 1
+
+
+def test_groups_follow_links(spark):
+    docs = [[f"w{i}" for i in range(40)]]
+    for k in range(6):
+        docs.append([w if i != k * 6 else f"new{k}" for i, w in enumerate(docs[-1])])
+    rows = [("w", i, " ".join(d), "", "") for i, d in enumerate(docs)] + [("w", 50, " ".join(f"z{i}" for i in range(40)), "", ""), ("w", 51, rows_text(docs[0]), "", "")]
+    got = {r.id: r for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "src", "id", "text", CFG).collect()}
+    assert len({got[i].group_id for i in range(7)}) == 1 and got[50].group_id != got[0].group_id and got[50].links == 0
+    assert got[51].class_id == got[0].class_id and got[0].links >= 1
+
+
+def rows_text(d):
+    return " ".join(reversed(d))
