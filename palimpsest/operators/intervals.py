@@ -37,7 +37,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, slice_
         F.coalesce(F.col(end).cast("timestamp"), far).alias("_to"),
     ).where(F.col("_from").isNotNull() & (F.col("_to") > F.col("_from")))
     sliced = rows.withColumn("_slice", F.floor(F.unix_seconds("_from") / F.lit(86400 * slice_days)))
-    periods = _merge(_merge(sliced, [*names, "_slice"]).drop("_slice"), names)
+    # the explicit exchange keeps the optimizer from taking the first merge for a mere distinct and dropping it
+    periods = _merge(_merge(sliced, [*names, "_slice"]).drop("_slice").repartition(*names), names)
     by_key = Window.partitionBy(*names).orderBy("_from", "_to")
     touching = periods.withColumn(
         "_new", F.when(F.lag("_to").over(by_key) >= F.col("_from"), F.lit(0)).otherwise(F.lit(1))
