@@ -31,8 +31,8 @@ class NearDupConfig:
     words_per_shingle: int = 5
     threshold: float = 0.8
     min_words: int = 1
-    bands: int = 52
-    rows_per_band: int = 6
+    bands: int = 76
+    rows_per_band: int = 7
     df_bits: int = 18
     seed: int = 20240
 
@@ -177,16 +177,17 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                 el = b.column("elements").flatten().to_numpy().view(np.uint32)
                 sizes = np.diff(b.column("elements").offsets.to_numpy())
                 uniq, inv = np.unique(el, return_inverse=True)
+                inv = inv.astype(np.int32)
                 weight = (1 + np.log((1 + docs) / (1 + shared.value[uniq >> shift]))).astype(np.float32)
                 uniq = uniq.astype(np.uint64)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 keys = np.empty((len(sizes), cfg.bands), np.uint64)
                 for j in range(cfg.bands):  # samples of one band at a time bound the memory
-                    v = _sample_values(uniq, weight, cfg.rows_per_band, cfg.seed + 7919 * j)
-                    least = np.minimum.reduceat(v[inv], starts, axis=0)
+                    v = np.ascontiguousarray(_sample_values(uniq, weight, cfg.rows_per_band, cfg.seed + 7919 * j).T)
                     key = np.full(len(sizes), j + 1, np.uint64)
-                    for c in range(cfg.rows_per_band):
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, c].view(np.uint32).astype(np.uint64))
+                    for column in v:
+                        least = np.minimum.reduceat(column.take(inv), starts)
+                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least.view(np.uint32).astype(np.uint64))
                     keys[:, j] = key
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
                 size = pa.array(np.repeat(sizes, cfg.bands).astype(np.int32))

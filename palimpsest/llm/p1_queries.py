@@ -8,7 +8,7 @@ from palimpsest.llm.neardup import NearDupConfig, near_duplicate_groups, near_du
 from palimpsest.llm.sources import texts
 
 #: The problem's own measure: single words in any order, counted with repetition, 70 % shared, 30 words at least.
-CONFIG = NearDupConfig(words_per_shingle=1, threshold=0.7, min_words=30, bands=52, rows_per_band=6)
+CONFIG = NearDupConfig(words_per_shingle=1, threshold=0.7, min_words=30, bands=76, rows_per_band=7)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
