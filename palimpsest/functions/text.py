@@ -105,9 +105,12 @@ def char_terms(text: Column | str) -> Column:
     return F.flatten(F.transform(words, lambda w: _once(F.concat(F.lit("^"), w, F.lit("$")), grams)))
 
 
-def has_cue(text: Column | str, cues: list[str]) -> Column:
-    """A Latin cue counts as a whole token, a Chinese or many-word cue as a substring."""
-    lower, tokens = F.lower(_c(text)), memory_tokens(text)
+def has_cue(text: Column | str, cues: list[str], tokens: Column | None = None) -> Column:
+    """A Latin cue counts as a whole token, a Chinese or many-word cue as a substring.
+
+    ``tokens``, if given, are the text's memory tokens, so that several cues share them.
+    """
+    lower, tokens = F.lower(_c(text)), memory_tokens(text) if tokens is None else tokens
     loose = [c for c in cues if " " in c or not c.isascii()]
     strict = [c for c in cues if c not in loose]
     out = F.arrays_overlap(tokens, _strings(strict)) if strict else F.lit(False)

@@ -42,14 +42,15 @@ def decayed(df: DataFrame, now: Column, mass: str = "mass", confidence: str = "c
 
 def write_features(df: DataFrame, text: str, source: str, importance: str, entities: str, nearest: Column) -> DataFrame:
     """Nine features of a write and the gate's probability; nearest is the greatest similarity to what is stored."""
+    df = df.withColumn("_tokens", T.memory_tokens(text))  # cut once for all cues
     actions = F.lit(0.0)
     for c in T.ACTION_CUES:
-        actions = actions + T.has_cue(text, [c]).cast("double")
+        actions = actions + T.has_cue(text, [c], F.col("_tokens")).cast("double")
     feats = {
         "explicit": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(importance), F.lit(0.0)))),
         "novelty": 1.0 - nearest,
-        "future_value": F.when(T.has_cue(text, T.FUTURE_CUES), 0.55).otherwise(0.0),
-        "correction": F.when(T.has_cue(text, T.CORRECTION_CUES), 1.0).otherwise(0.0),
+        "future_value": F.when(T.has_cue(text, T.FUTURE_CUES, F.col("_tokens")), 0.55).otherwise(0.0),
+        "correction": F.when(T.has_cue(text, T.CORRECTION_CUES, F.col("_tokens")), 1.0).otherwise(0.0),
         "source_trust": source_trust(source),
         "relation_density": F.least(F.lit(1.0), F.size(T.text_entities(text, entities)) / 5.0),
         "actionability": F.least(F.lit(1.0), 0.35 * actions),
@@ -60,7 +61,7 @@ def write_features(df: DataFrame, text: str, source: str, importance: str, entit
     score = F.lit(GATE_BIAS)
     for name, w in GATE_WEIGHTS.items():
         score = score + w * F.col(name)
-    return out.withColumn("probability", T.bounded_sigmoid(score))
+    return out.withColumn("probability", T.bounded_sigmoid(score)).drop("_tokens")
 
 
 def retention_score(now: Column, mass: str = "mass", trust: str = "source_trust", utility: str = "utility", updated: str = "updated_at") -> Column:
