@@ -151,7 +151,7 @@ def is_ascii(col: Column | str) -> Column:
 
 
 def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the consistent form of a text column; plain ASCII rows never leave the JVM's own path."""
+    """Add the consistent form of a text column; null stays null."""
     return df.withColumn(out, _canonical_udf(F.col(text)))
 
 
