@@ -191,7 +191,9 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                     keys[:, j] = key
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
                 size = pa.array(np.repeat(sizes, cfg.bands).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), size], names=["band", "cls", "size"])
+                out = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), size], names=["band", "cls", "size"])
+                for at in range(0, out.num_rows, 100_000):  # the JVM holds one batch at a time
+                    yield out.slice(at, 100_000)
 
     return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, size int")
 
