@@ -123,8 +123,8 @@ def delivery_replays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blind_index_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Keyed digests of the first 32 different tokens of each memory: a search index that shows no words."""
-    m = read_table(spark, d, "memories").where("text is not null").select("memory_id", F.explode(F.slice(F.array_distinct(T.memory_tokens("text")), 1, 32)).alias("t"))
+    """Keyed digests of all different tokens of each memory: a search index that shows no words."""
+    m = read_table(spark, d, "memories").where("text is not null").select("memory_id", F.explode(F.array_distinct(T.memory_tokens("text"))).alias("t"))
     return m.select("memory_id", V.hmac_sha256(F.col("t"), b"index-key").alias("term"))
 
 
