@@ -1,9 +1,14 @@
 """Queries over small written tables, where a cut would lose results."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import governance
-from palimpsest.plans import graph_queries
+from palimpsest.plans import graph_queries, lifecycle_queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_blind_index_covers_every_token(spark, tmp_path):
@@ -14,3 +19,10 @@ def test_blind_index_covers_every_token(spark, tmp_path):
     assert got.groupBy("memory_id").count().orderBy("memory_id").collect() == [(1, 50), (2, 1)]
     last = spark.range(1).select(governance.hmac_sha256(F.lit("word49"), b"index-key")).first()[0]
     assert {r.memory_id for r in got.where(F.col("term") == last).collect()} == {1, 2}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+def test_hashed_neighbours_on_the_embeddings_table(spark):
+    want = {(r.query, r.id) for r in lifecycle_queries.cosine_topk(spark, SF).collect()}
+    found = {(r.query, r.id) for r in lifecycle_queries.sign_hash_candidates(spark, SF).collect()}
+    assert len(found & want) >= 0.9 * len(want)
