@@ -1,9 +1,10 @@
-"""Near copies: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
+"""Near copies: improved consistent weighted sampling over shingles, banded, verified by weighted Jaccard.
 
 Texts of the same shingles are first reduced to one class. A class is the set of its shingles numbered by occurrence,
-so that the weighted Jaccard similarity of counts is that of plain sets, and sampling an element with its inverse
-document frequency as weight is sampling the TF-IDF vector. Inverse document frequencies come from all
-documents, in a table of fixed size indexed by element hash (a proven bound for the broadcast).
+so that the weighted Jaccard similarity of counts is that of plain sets. Elements are sampled with a power of their
+inverse document frequency as weight. Power 0 samples the very similarity that is verified, so that the chance of a
+wanted pair does not hang on how rare its edited words are; power 1 samples the TF-IDF vector. Inverse document
+frequencies come from all documents, in a table of fixed size indexed by element hash (a proven bound for the broadcast).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class NearDupConfig:
     min_words: int = 1
     bands: int = 76
     rows_per_band: int = 7
+    idf_power: float = 0.0
     df_bits: int = 18
     seed: int = 20240
 
@@ -166,10 +168,25 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _sketches(element: np.ndarray, inv: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits per document, one of each of 64 least hashes: two documents differ in a bit with chance (1 - similarity) / 2."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(64):
+        h = (_mix(element * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed + 104729 * (j + 1))) >> np.uint64(32)).astype(np.uint32)
+        out |= (np.minimum.reduceat(h.take(inv), starts) & np.uint32(1)).astype(np.uint64) << np.uint64(j)
+    return out
+
+
+def _sketch_limit(threshold: float) -> int:
+    """Differing bits of 64 that a pair at the threshold exceeds with a chance of about 0.0003."""
+    p = (1 - threshold) / 2
+    return int(64 * p + 3.7 * (64 * p * (1 - p)) ** 0.5)
+
+
 def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
-    """(band, cls, size): for each class and band a hash of the band's number and samples, and the class's elements."""
+    """(band, cls, size, sketch): for each class and band a hash of the band's number and samples; its elements and sketch."""
     shift = np.uint32(32 - cfg.df_bits)
-    shared = classes.sparkSession.sparkContext.broadcast(freq)
+    shared = classes.sparkSession.sparkContext.broadcast(freq) if cfg.idf_power else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _joined(batches, 20_000):
@@ -178,7 +195,9 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                 sizes = np.diff(b.column("elements").offsets.to_numpy())
                 uniq, inv = np.unique(el, return_inverse=True)
                 inv = inv.astype(np.int32)
-                weight = (1 + np.log((1 + docs) / (1 + shared.value[uniq >> shift]))).astype(np.float32)
+                weight = np.ones(len(uniq), np.float32)
+                if shared:
+                    weight = ((1 + np.log((1 + docs) / (1 + shared.value[uniq >> shift]))) ** cfg.idf_power).astype(np.float32)
                 uniq = uniq.astype(np.uint64)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 keys = np.empty((len(sizes), cfg.bands), np.uint64)
@@ -191,11 +210,12 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                     keys[:, j] = key
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
                 size = pa.array(np.repeat(sizes, cfg.bands).astype(np.int32))
-                out = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), size], names=["band", "cls", "size"])
+                sketch = pa.array(np.repeat(_sketches(uniq, inv, starts, cfg.seed).view(np.int64), cfg.bands))
+                out = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), size, sketch], names=["band", "cls", "size", "sketch"])
                 for at in range(0, out.num_rows, 100_000):  # the JVM holds one batch at a time
                     yield out.slice(at, 100_000)
 
-    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, size int")
+    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, size int, sketch long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -239,11 +259,12 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     tokens = materialize(tokens.select("g", "id", "cls", F.when(F.col("rn") == 1, F.col("elements")).alias("elements")), "neardup_tokens")
     members = tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct()
     classes = tokens.where(F.col("elements").isNotNull())
-    freq, docs = _document_frequencies(classes.withColumn("n", F.lit(1).cast("long")), cfg.df_bits)
+    freq, docs = _document_frequencies(classes.withColumn("n", F.lit(1).cast("long")), cfg.df_bits) if cfg.idf_power else (np.zeros(0, np.float32), 0)
     bands = _bands(classes, freq, docs, cfg)
-    left, right = (bands.select("band", F.col("cls").alias(c), F.col("size").alias(f"n{c}")) for c in "ab")
-    # sets of too different sizes cannot reach the threshold
+    left, right = (bands.select("band", F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    # sets of too different sizes cannot reach the threshold, and those of too different sketches hardly ever
     pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9)))
+    pairs = pairs.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= _sketch_limit(cfg.threshold))
     # shuffled by a once, for the distinct pairs and for the join with a's elements
     pairs = pairs.select("a", "b").repartition("a").dropDuplicates(["a", "b"])
     return members, _verified(pairs, classes, cfg)
