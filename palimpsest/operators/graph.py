@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.session import materialize
 
 
@@ -65,6 +66,33 @@ def shared_entity_edges(rows: DataFrame, part: list[str], id_col: str, entities:
     return kept.groupBy(*part, "a", "b", "weight").agg(F.count(F.lit(1)).alias("_k")).where("_k = 2").drop("_k")
 
 
+def similar_sets(rows: DataFrame, part: str, tokens: str, least: float, left: str, right: str) -> DataFrame:
+    """(part, left, right): ordered pairs of rows of one part whose token sets have a Jaccard similarity of ``least`` or more.
+
+    Exact: equal sets are one class, and two classes can only be similar if they share one of their rarest tokens, as many
+    as a set may miss and one more (prefix filter). Sets of too different sizes are not compared. ``tokens`` are distinct;
+    empty sets are similar to nothing. left and right are structs of the row's columns.
+    """
+    rows = rows.where(F.size(tokens) > 0).withColumn("_c", F.array_sort(tokens))
+    rows = materialize(rows.withColumn("_k", F.sha2(F.array_join("_c", " "), 256)), "sets")
+    sets = materialize(rows.groupBy(part, "_k").agg(F.first("_c").alias("_c")), "set_classes")
+    words = sets.select(part, "_k", F.explode("_c").alias("_w"))
+    rank = words.groupBy(part, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    by_rank = words.join(rank, [part, "_w"]).groupBy(part, "_k").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_o"))
+    n = F.size("_o")
+    keys = by_rank.select(part, "_k", n.alias("_z"), F.explode(F.slice("_o", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("_o"))
+    keys = materialize(keys.select(part, "_k", "_z", F.col("_o._w").alias("_w")), "set_keys")
+    x, y = (keys.select(part, "_w", F.col("_k").alias(f"_k{s}"), F.col("_z").alias(f"_z{s}")) for s in "xy")
+    near = x.join(y, [part, "_w"]).where("_kx < _ky").where(F.least("_zx", "_zy") >= F.greatest("_zx", "_zy") * least - 1e-9).select(part, "_kx", "_ky").distinct()
+    c = sets.select(part, "_k", "_c")
+    near = near.join(c.toDF(part, "_kx", "_cx"), [part, "_kx"]).join(c.toDF(part, "_ky", "_cy"), [part, "_ky"])
+    near = materialize(near.where(T.jaccard(F.col("_cx"), F.col("_cy")) >= least).select(part, "_kx", "_ky"), "set_links")
+    links = near.unionByName(near.select(part, F.col("_ky").alias("_kx"), F.col("_kx").alias("_ky"))).unionByName(sets.select(part, F.col("_k").alias("_kx"), F.col("_k").alias("_ky")))
+    cols = [c for c in rows.columns if c not in (part, "_k", "_c")]
+    side = lambda k, name: rows.select(part, F.col("_k").alias(k), F.struct(*cols).alias(name))
+    return side("_kx", left).join(links, [part, "_kx"]).join(side("_ky", right), [part, "_ky"]).select(part, left, right)
+
+
 def connected_components(edges: DataFrame, part: str, src: str, dst: str, rounds: int = 40) -> DataFrame:
     """(part, node, component): the least node reachable, by alternating neighbour and pointer steps.
 

@@ -81,13 +81,12 @@ def chunk_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consolidation_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Memories of one scope with equal first three tokens and a token overlap of 0.8 or more: which one is kept."""
+    """Memories of one scope with a token overlap of 0.8 or more and no conflict: which one is kept."""
     m = read_table(spark, d, "memories").where("text is not null and scope is not null and mass is not null").select("scope", "memory_id", "mass", "text", F.array_distinct(T.memory_tokens("text")).alias("tok"))
-    m = m.withColumn("k", F.array_join(F.slice("tok", 1, 3), " ")).where("size(tok) >= 3")
-    a, b = (m.select("scope", "k", *[F.col(c).alias(f"{c}_{s}") for c in ("memory_id", "mass", "text", "tok")]) for s in "ab")
-    p = a.join(b, ["scope", "k"]).where("memory_id_a < memory_id_b").where((T.jaccard(F.col("tok_a"), F.col("tok_b")) >= 0.8) & ~C.conflict("text_a", "text_b"))
-    first = F.col("mass_a") >= F.col("mass_b")
-    return p.select("scope", F.when(first, F.col("memory_id_a")).otherwise(F.col("memory_id_b")).alias("kept"), F.when(first, F.col("memory_id_b")).otherwise(F.col("memory_id_a")).alias("merged"))
+    p = G.similar_sets(m, "scope", "tok", 0.8, "a", "b")
+    p = p.where("a.memory_id < b.memory_id").where(~C.conflict("a.text", "b.text"))
+    first = F.col("a.mass") >= F.col("b.mass")
+    return p.select("scope", F.when(first, F.col("a.memory_id")).otherwise(F.col("b.memory_id")).alias("kept"), F.when(first, F.col("b.memory_id")).otherwise(F.col("a.memory_id")).alias("merged"))
 
 
 def sealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
