@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import lifecycle as C
 from palimpsest.operators import vectors as V
-from palimpsest.session import read_table
+from palimpsest.session import materialize, read_table
 
 NOW = "2026-03-01 00:00:00"
 
@@ -58,12 +58,16 @@ def text_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Gate probability of every write, with the token overlap to the write before it in its scope as similarity."""
+    """Gate probability of every write, with the greatest token overlap to any earlier write of its scope as similarity."""
     w = read_table(spark, d, "memory_writes").where("text is not null and write_id is not null")
     w = w.groupBy("write_id").agg(*[F.min(c).alias(c) for c in ("tenant_id", "scope", "text", "source", "explicit_importance", "entities", "written_at")])
-    w = w.withColumn("_tok", F.array_distinct(T.memory_tokens("text")))
-    before = F.lag("_tok").over(Window.partitionBy("tenant_id", "scope").orderBy("written_at", "write_id"))
-    w = w.withColumn("near", F.coalesce(T.jaccard(F.col("_tok"), before), F.lit(0.0)))
+    order = Window.partitionBy("tenant_id", "scope").orderBy("written_at", "write_id")
+    t = w.select("tenant_id", "scope", "write_id", F.transform(F.array_distinct(T.memory_tokens("text")), lambda x: F.xxhash64(x)).alias("tok"), F.row_number().over(order).alias("ord"))
+    t = materialize(t, "gate_tokens")
+    a, b = (t.toDF(*[f"{c}_{s}" for c in t.columns]) for s in "ab")
+    pairs = a.join(b, F.col("tenant_id_a").eqNullSafe(F.col("tenant_id_b")) & F.col("scope_a").eqNullSafe(F.col("scope_b")) & (F.col("ord_b") < F.col("ord_a")))
+    near = pairs.groupBy(F.col("write_id_a").alias("write_id")).agg(F.max(T.jaccard(F.col("tok_a"), F.col("tok_b"))).alias("near"))
+    w = w.join(near, "write_id", "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
     return C.write_features(w, "text", "source", "explicit_importance", "entities", F.col("near")).select("write_id", F.round("near", 6).alias("redundancy"), F.round("probability", 6).alias("probability"))
 
 
