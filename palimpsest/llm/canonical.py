@@ -80,7 +80,7 @@ _TOKEN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ʯ̀-ͯͰ-῿Ⱡ-ⷿꙀ-ퟻ豈-﫿]
 # Letters of the scripts that have look-alikes of Latin ones; a text without them needs no script resolution.
 _OTHER_SCRIPT = re.compile("[Ͱ-֏ἀ-῿]")
 # Any character outside of these needs work beyond composition; a text without one is in its final form if composed.
-_SPECIAL = re.compile(r"[^\x00-\x0c\x0e-\x7e¡-¬®-ͮ、-〠぀-ヿ一-鿿‒-‧]")
+_SPECIAL = re.compile(r"[^\x00-\x0c\x0e-\x7e¡-¬®-\u034e\u0350-\u036e、-〠぀-ヿ一-鿿‒-‧]")
 
 
 def _pictograph(ch: str) -> bool:
