@@ -96,8 +96,8 @@ def similar_sets(rows: DataFrame, part: str, tokens: str, least: float, left: st
 def connected_components(edges: DataFrame, part: str, src: str, dst: str, rounds: int = 40) -> DataFrame:
     """(part, node, component): the least node reachable, by alternating neighbour and pointer steps.
 
-    Every round is written to the shared folder; it ends when nothing changes. Rounds grow with the logarithm of the
-    longest path, and no component is gathered in one task.
+    Every round is written to the shared folder; it ends when nothing changes. A long chain may need a round per hop;
+    running out of rounds is an error, never a split component. No component is gathered in one task.
     """
     both = edges.select(part, F.col(src).alias("u"), F.col(dst).alias("v")).unionByName(edges.select(part, F.col(dst).alias("u"), F.col(src).alias("v"))).where("u <> v").distinct()
     both = materialize(both, "cc_edges")
@@ -110,8 +110,8 @@ def connected_components(edges: DataFrame, part: str, src: str, dst: str, rounds
         step = materialize(step, "cc_round")
         label = step.drop("old")
         if step.where("old <> component").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def label_propagation(edges: DataFrame, part: str, src: str, dst: str, weight: str, rounds: int = 6) -> DataFrame:
