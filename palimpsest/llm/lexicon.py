@@ -18,6 +18,32 @@ GIVEN_NAMES: dict[str, str] = {
     "yusuf": "yus", "zachary": "zach", "zoe": "zo",
 }
 
+# Common Russian given names, in the nominative.
+RUSSIAN_GIVEN = frozenset(
+    "александр алексей андрей анна антон борис вера виктор виктория владимир галина дарья денис дмитрий евгений екатерина елена иван игорь ирина кирилл ксения "
+    "лариса лев людмила максим мария михаил надежда наталья николай нина оксана олег ольга павел пётр петр полина роман светлана сергей софия степан татьяна фёдор юлия юрий яна".split()
+)
+
+# More given names, without short forms.
+OTHER_GIVEN = frozenset(
+    "mary jane anna jan hans karl otto pierre jean luc marie claire juan jose luis carlos pablo diego ana lucia carmen giovanni marco luca paolo giulia francesca ahmed ali omar fatima mohammed "
+    "hassan aisha ravi arjun anil sunita deepa wei ming hiroshi yuki kenji akira min jun lars erik anders sven astrid piotr pawel katarzyna miguel joao pedro andre bruno chinedu amara kwame "
+    "ibrahim mehmet emre ayse sean liam siobhan niamh emma olivia noah lucas ethan mia ava grace chloe lily ruby harper mason logan owen ryan kevin brian jason justin brandon tyler".split()
+)
+
+# Words before technical numbers.
+TECHNICAL = frozenset("checksum hash digest trace request build commit serial batch invoice order tracking sku lot job run session part port parcel shard row md5 sha crc revision case version release firmware transaction ticket".split())
+
+# Capitalized words that belong to organisations, places, products, calendars or sentences, not to persons.
+NOT_NAMES = frozenset(
+    "systems robotics foods holdings research studios works partners logistics analytics publishing instruments software labs laboratory bank university college school hospital clinic "
+    "institute museum library airport station harbour harbor mills fen cross point ridge bay valley park bridge island river lake mountain city town village county district region "
+    "gateway console planner indexer server toolkit suite cloud engine studio desktop database manager monitor platform service api app edition enterprise guild hub group team department "
+    "office committee council ministry agency january february march april june july august september october november december monday tuesday wednesday thursday friday saturday "
+    "sunday the this that these those a an and but or if when while after before please dear hello hi thanks note update reminder correction actually yes no ticket order invoice policy "
+    "version build release report project plan user assistant customer north south east west new old upper lower great street road lane avenue square hotel restaurant cafe market shop store".split()
+)
+
 # Titles before a name.
 TITLES = frozenset("dr doctor prof professor mr mrs ms mx miss sir dame herr frau monsieur madame sr sra señor señora rev".split())
 

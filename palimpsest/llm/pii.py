@@ -1,9 +1,9 @@
 """Personal data in free text, by a semi-Markov conditional random field.
 
-Candidate segments (bounded spans that could be an e-mail address, phone number, identity number, street address or
-personal name) get whole-span features: their shape, their words, and the words around them. The field scores every
-set of segments that do not overlap; bounded-entity dynamic programming finds the best one and thereby boundaries and
-types together. Weights are trained here, by maximum conditional likelihood on generated sentences (pii_training).
+The lattice holds the spans of a bounded number of tokens that could be an e-mail address, phone number, identity number,
+street address or personal name. They get whole-span features: their shape, their words, and the words around them. The
+field scores every set of segments that do not overlap; bounded-entity dynamic programming finds the best one and thereby
+boundaries and types together. Weights are trained here, by maximum conditional likelihood on generated sentences (pii_training).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canonical import LOOKALIKES
-from palimpsest.llm.lexicon import GIVEN_NAMES, LEGAL_FORMS, TITLES
+from palimpsest.llm.lexicon import GIVEN_NAMES, LEGAL_FORMS, NOT_NAMES, OTHER_GIVEN, RUSSIAN_GIVEN, TECHNICAL, TITLES
 
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
@@ -75,141 +75,462 @@ def plain_view(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-# --- candidate segments ----------------------------------------------------------------------------------------------
+# --- tokens and the lattice of bounded spans --------------------------------------------------------------------------
 
 # Words for streets, before or after their names, and for parts of a building.
 STREET_AFTER = "Street St Road Rd Lane Ln Way Terrace Avenue Ave Court Ct Close Drive Dr Place Pl Row Gardens Crescent Square Boulevard Blvd Hill Walk Mews Parkway Highway".split()
-STREET_BEFORE = "rue avenue boulevard place impasse chemin allée quai Calle Avenida Paseo Plaza Camino Via Viale Piazza Rua".split()
+STREET_BEFORE = "rue avenue boulevard place impasse chemin allée quai Calle Avenida Paseo Plaza Camino Via Viale Piazza Rua улица ул проспект".split()
 STREET_JOINED = "straße strasse weg gasse platz allee ufer damm ring".split()
 UNITS = "Flat Apt Apartment Unit Suite Room Floor No".split()
+# Small words inside family names and street names.
+PARTICLES = frozenset("de la las los del der den van von zu zum zur da das do dos du des di della le el al bin ibn ben ter ten y e".split())
+# The most frequent Chinese family names, and endings of Russian family names (with their cases).
+HAN_SURNAMES = frozenset("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤")
+HAN_COMPOUND = frozenset("欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐".split())
+RUSSIAN_ENDINGS = tuple("ов ова ову овым овой ове ев ева еву евым евой еве ин ина ину иным иной ёв ёва ский ская скому ского ской ским енко чук ук".split())
+
+_L = "A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ"
+_TOKEN = re.compile(rf"[{_L}]+(?:['’](?![sS](?![{_L}]))[{_L}]+|-[{_L}]{{2,}})*|\d+|[^\s]")
+_MAYBE_MAIL = re.compile(r"@|[(\[{<] ?at ?[)\]}>]|\bdot\b", re.I)
+_OPEN, _CLOSE = "([{<", ")]}>"
+_STREET_WORDS = frozenset((*STREET_AFTER, *STREET_BEFORE))
+_UNIT_WORDS = frozenset(UNITS)
+#: Most tokens of a segment of each type: the segments of a text are bounded spans, whatever stands in them.
+MOST = {"NAME": 9, "PHONE": 16, "ID": 9, "ADDRESS": 14, "EMAIL": 24}
+
+
+class Tokens(NamedTuple):
+    """Tokens of a text: words (with inner hyphens), digit runs and single other characters.
+
+    kind: C capitalized word, I single capital, l other word, H Chinese character, d digits, else the character.
+    """
 
-_L = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UP = "A-ZÀ-ÖØ-Þ"
-_CAP = rf"[{_UP}][{_L}'’-]*[{_L}]"
-_B = rf"(?<![{_L}0-9])"  # letters of other scripts may touch a segment
-_E = rf"(?![{_L}0-9])"
-_UNIT = rf"(?:{'|'.join(UNITS)})\.? ?#?\d+[A-Za-z]?"
-_alt = "|".join
-
-_USER, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*", "[A-Za-z0-9][A-Za-z0-9-]*"
-_DOT = r" ?[(\[{<] ?(?:dot|DOT) ?[)\]}>] ?| (?:dot|DOT) "
-_EMAIL = re.compile(rf"{_USER}(?:(?: ?@ ?| ?[(\[{{<] ?(?:at|AT) ?[)\]}}>] ?){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+| (?:at|AT) {_LABEL}(?:(?:{_DOT}){_LABEL})+)")
-_MAYBE_MAIL = re.compile(r"@|[(\[{<] ?at ?[)\]}>]| dot ", re.I)
-_PHONE = re.compile(r"(?<![\w+.(/-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![A-Za-z0-9_/-]|\.\d)|(?<=[　-￮(=:])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?![A-Za-z0-9/-]|\.\d)")
-_ID = re.compile(
-    rf"{_B}(?<![.+/-])(?:\d{{3}}[ -]\d{{2}}[ -]\d{{4}}|[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-Z]|[A-Z]{{1,2}}\d{{6,9}}[A-Z]?|\d{{1,2}}\.\d{{3}}\.\d{{3}}-[\dkKxX]|\d{{8}}[A-Z]|\d{{9}})(?![A-Za-z0-9_/]|[.-]\d)"
-)
-_NUMBERED = rf"\d{{1,5}}[A-Za-z]?,? "
-_ADDRESS = re.compile(
-    rf"{_B}(?:{_UNIT},? )?(?:"
-    rf"{_NUMBERED}(?:{_CAP} ){{1,3}}(?:{_alt(STREET_AFTER)})\b"
-    rf"|{_NUMBERED}(?:{_alt(STREET_BEFORE)}) (?:de la |de |du |des |del |d')?{_CAP}(?: {_CAP})?"
-    rf"|(?:{_alt(STREET_BEFORE)}) (?:de la |de |del )?{_CAP},? \d{{1,5}}[A-Za-z]?{_E}"
-    rf"|[{_UP}][{_L}'-]*(?:{_alt(STREET_JOINED)}) \d{{1,5}}[A-Za-z]?{_E}"
-    rf")(?:,? {_UNIT}{_E})?"
-)
-_NAME_RUN = re.compile(rf"{_B}(?:[{_UP}]\.? |{_CAP},? )(?:[{_UP}]\.? )?(?:{_CAP}|[{_UP}]\.?){_E}(?: [{_UP}](?:\.|{_E}))?")
-_WORD = re.compile(rf"[{_L}]+|[Ѐ-ԯ]+|[一-鿿]|\d+|[^\s]")
-
+    text: str
+    word: list[str]
+    start: list[int]
+    end: list[int]
+    kind: list[str]
+
+
+def tokens(text: str) -> Tokens:
+    word, start, end, kind = [], [], [], []
+    for m in _TOKEN.finditer(text):
+        w = m.group()
+        c = w[0]
+        if c.isdigit():
+            k = "d"
+        elif c.isalpha():
+            if "一" <= c <= "鿿":
+                k = "H"
+            elif c.isupper():
+                k = "C" if len(w) > 1 else "I"
+            else:
+                k = "l"
+        else:
+            k = c
+        word.append(w)
+        start.append(m.start())
+        end.append(m.end())
+        kind.append(k)
+    return Tokens(text, word, start, end, kind)
+
+
+def _gap(t: Tokens, i: int) -> bool:
+    """Whether token i follows token i - 1 on the same line (side by side or after blanks)."""
+    a, b = t.end[i - 1], t.start[i]
+    return a == b or t.text[a:b].isspace() and "\n" not in t.text[a:b]
+
+
+def _open_before(t: Tokens, i: int, glue: str) -> bool:
+    """Whether a segment may begin at token i: nothing of a longer word or number touches it."""
+    if i == 0 or t.end[i - 1] != t.start[i]:
+        return True
+    k = t.kind[i - 1]
+    return k not in "CIld" and k not in glue
+
+
+def _open_after(t: Tokens, j: int, glue: str) -> bool:
+    """Whether a segment may end before token j."""
+    if j >= len(t.word) or t.start[j] != t.end[j - 1]:
+        return True
+    k = t.kind[j]
+    if k in "CIld" or k in glue:
+        return False
+    return not (k in ".,:" and j + 1 < len(t.word) and t.start[j + 1] == t.end[j] and t.kind[j + 1] == "d" and t.kind[j - 1] == "d")
+
+
+def _name_spans(t: Tokens, i: int, n: int) -> Iterator[int]:
+    k = t.kind
+    if k[i] == "H":
+        if t.word[i] in HAN_SURNAMES or (i + 1 < n and t.word[i] + t.word[i + 1] in HAN_COMPOUND):
+            for size in (2, 3, 4) if i + 1 < n and t.word[i] + t.word[i + 1] in HAN_COMPOUND else (2, 3):
+                if i + size <= n and all(k[x] == "H" and (x == i or t.start[x] == t.end[x - 1]) for x in range(i, i + size)):
+                    yield i + size
+        return
+    if not _open_before(t, i, "@_/\\#&.-"):
+        return
+    parts = words = 0
+    comma = False
+    j, top = i, min(n, i + MOST["NAME"])
+    while j < top:
+        if j > i and not _gap(t, j):
+            return
+        kj = k[j]
+        if kj == "C" or kj == "I":
+            parts += 1
+            words += kj == "C"
+            j += 1
+            if kj == "I" and j < n and k[j] == "." and t.start[j] == t.end[j - 1]:
+                j += 1
+            if parts > 1 and words and _open_after(t, j, "@_&"):
+                yield j
+            if parts == 5:
+                return
+        elif kj == "l" and t.word[j] in PARTICLES:
+            j += 1
+        elif kj == "," and parts and not comma and t.start[j] == t.end[j - 1]:
+            comma = True
+            j += 1
+        else:
+            return
+
+
+def _number_spans(t: Tokens, i: int, n: int) -> Iterator[tuple[int, str]]:
+    """Ends of phone and identity numbers that begin at token i."""
+    k = t.kind
+    head = k[i]
+    phone = head in "+(d"
+    ident = head == "d" or head in "CI" and len(t.word[i]) <= 3 and t.word[i].isupper()
+    if not _open_before(t, i, "+._/\\#-@" if head != "(" else "_"):
+        return
+    digits = letters = depth = last = 0
+    j, top = i, min(n, i + MOST["PHONE"])
+    while j < top and (phone or ident):
+        if j > i and (not _gap(t, j) or t.start[j] - t.end[j - 1] > 1):
+            return
+        kj = k[j]
+        if kj == "d":
+            digits += len(t.word[j])
+            last = j + 1
+        elif kj in "CI" and len(t.word[j]) <= 3 and t.word[j].isupper():
+            letters += len(t.word[j])
+            phone = False
+            last = j + 1
+        elif kj == "(":
+            depth += 1
+            ident = False
+        elif kj == ")":
+            depth -= 1
+            ident = False
+        elif kj in "./-":
+            if t.start[j] != t.end[j - 1] or j + 1 >= n or t.start[j + 1] != t.end[j]:
+                return  # a separator stands between two parts
+        elif kj == "+" and j == i:
+            ident = False
+        else:
+            return
+        j += 1
+        if digits > 18 or depth < 0 or letters > 4:
+            return
+        ident = ident and j - i <= MOST["ID"]
+        phone = phone and digits <= 15
+        if last == j and _open_after(t, j, "_/-@") and not depth:
+            if phone and 7 <= digits:
+                yield j, "PHONE"
+            if ident and digits >= 5 and 6 <= digits + letters <= 18:
+                yield j, "ID"
+
+
+def _address_spans(t: Tokens, i: int, n: int) -> Iterator[int]:
+    k = t.kind
+    if not (k[i] == "C" or k[i] == "d" and len(t.word[i]) <= 5 or k[i] == "l" and t.word[i] in _STREET_WORDS) or not _open_before(t, i, "+._/\\#-@"):
+        return
+    number = words = 0
+    j, top = i, min(n, i + MOST["ADDRESS"])
+    while j < top:
+        if j > i and not _gap(t, j):
+            return
+        kj, w = k[j], t.word[j]
+        if kj == "d":
+            if len(w) > 5 or not number and j > i and t.start[j] == t.end[j - 1] and k[j - 1] not in "#-":
+                return
+            number += 1
+            j += 1
+            if j < n and t.start[j] == t.end[j - 1] and k[j] in "Il" and len(t.word[j]) == 1:
+                j += 1  # 12a
+        elif kj == "C" or kj == "I" and j > i:
+            words += kj == "C"
+            j += 1
+            if j < n and k[j] == "." and t.start[j] == t.end[j - 1] and len(w) <= 4:
+                # St. and No. keep their dot inside; a span may also end before it
+                if number and words and kj == "C":
+                    yield j
+                j += 1
+                continue
+        elif kj == "l" and (w in PARTICLES or w in _STREET_WORDS or w == "d" or w.startswith(("d'", "l'"))) or kj in ",#" and j > i or kj in "'-" and j > i and t.start[j] == t.end[j - 1]:
+            j += 1
+            continue
+        else:
+            return
+        if number and words and _open_after(t, j, "_/@-"):
+            yield j
+
+
+def _han_address_spans(t: Tokens, i: int, n: int) -> Iterator[tuple[int, int]]:
+    """Spans around a number that is followed by the sign for a house number: up to eight characters before it."""
+    if t.kind[i] != "d" or i + 1 >= n or t.word[i + 1] not in "号弄":
+        return
+    e = i + 2
+    while e < n and (t.kind[e] == "d" or t.word[e] in "室楼栋单元层号") and t.start[e] == t.end[e - 1]:
+        e += 1
+    for s in range(i - 1, max(-1, i - 9), -1):
+        if t.kind[s] != "H" or t.end[s] != t.start[s + 1]:
+            return
+        if i - s >= 2:
+            yield s, e
+
+
+def _mail_spans(t: Tokens, a: int, n: int) -> Iterator[tuple[int, int]]:
+    """Spans of an e-mail address around the sign or word for 'at' at token a."""
+    k, w = t.kind, t.word
+    s0, e0 = a, a + 1
+    if s0 and e0 < n and k[s0 - 1] in _OPEN and k[e0] in _CLOSE:
+        s0, e0 = s0 - 1, e0 + 1
+    bare = s0 == a and k[a] != "@"
+
+    def joint(x: int, step: int) -> int:
+        """Tokens of a disguised or plain joint of two labels at x, walking by step."""
+        if not 0 <= x < n:
+            return 0
+        if w[x] == "." or k[x] in "_%+-":
+            return 1
+        if w[x].lower() == "dot":
+            return 1
+        y = x + 2 * step
+        return 3 if 0 <= y < n and w[x + step].lower() == "dot" and k[x] in _OPEN + _CLOSE and k[y] in _OPEN + _CLOSE else 0
+
+    starts, x = [], s0 - 1
+    while x >= 0 and len(starts) < 6 and s0 - x < 14:
+        if k[x] not in "CIld":
+            break
+        while x and k[x - 1] in "CIld" and t.end[x - 1] == t.start[x]:
+            x -= 1
+        starts.append(x)
+        size = joint(x - 1, -1)
+        if not size or k[x - 1] in "._%+-" and t.end[x - 1] != t.start[x]:
+            break
+        if k[x - 1] in "._%+-" and x >= 2 and k[x - 2] in "._%+-":
+            break
+        x -= 1 + size
+    # a start inside a run of glued labels is none
+    starts = [x for x in starts if _open_before(t, x, "._%+-@")]
+    ends, y, dots = [], e0, 0
+    while y < n and len(ends) < 6 and y - e0 < 14:
+        if k[y] not in "CIld":
+            break
+        while y + 1 < n and k[y + 1] in "CIld" and t.start[y + 1] == t.end[y]:
+            y += 1
+        y += 1
+        if dots:
+            ends.append(y)
+        size = joint(y, 1)
+        if not size or w[y] == "." and (t.start[y] != t.end[y - 1] or y + 1 >= n or t.start[y + 1] != t.end[y]):
+            break
+        dots += k[y] not in "_%+-"
+        y += size
+    ends = [y for y in ends if _open_after(t, y, "_@")]
+    for s in starts:
+        for e in ends:
+            if not bare or any(w[x].lower() == "dot" for x in range(a, e)):
+                yield s, e
+
+
+class Span(NamedTuple):
+    """Tokens first to last (excluded) as a segment of a type."""
+
+    first: int
+    last: int
+    kind: str
 
-def _fold(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)) if not word.isascii() else word.lower()
 
+def lattice(t: Tokens) -> list[Span]:
+    """All bounded spans of a plain view that could be personal data.
 
-@lru_cache(1)
-def _given() -> frozenset[str]:
-    return frozenset(x for k, v in GIVEN_NAMES.items() for x in (k, *v.split()))
-
-
-def _name_candidates(text: str) -> Iterator[Segment]:
-    """Runs of two capitalized parts, with a middle initial; each position may start one, so runs may overlap."""
-    at = 0
-    while m := _NAME_RUN.search(text, at):
-        s, e = m.start(), m.end()
-        span = m.group()
-        if span.endswith(("'s", "’s")):
-            e -= 2
-        words = span.split(" ")
-        one = [w.rstrip(".,") for w in words]
-        if sum(len(w) > 1 for w in one) >= 1 and len(one) >= 2:
-            yield Segment(s, e, "NAME")
-            if len(words) > 2:
-                # the same start with fewer parts, as the last may belong to what follows
-                cut = s + len(" ".join(words[:2]))
-                yield Segment(s, cut, "NAME")
-        at = s + len(words[0]) + 1
-
-
-def candidates(text: str) -> list[Segment]:
-    """Segments of a plain view that could be personal data."""
-    out: list[Segment] = []
-    if _MAYBE_MAIL.search(text):
-        out += [Segment(m.start(), m.end(), "EMAIL") for m in _EMAIL.finditer(text)]
-    for m in _PHONE.finditer(text):
-        n = sum(c.isdigit() for c in m.group())
-        if 7 <= n <= 15:
-            out.append(Segment(m.start(), m.end(), "PHONE"))
-    out += [Segment(m.start(), m.end(), "ID") for m in _ID.finditer(text)]
-    out += [Segment(m.start(), m.end(), "ADDRESS") for m in _ADDRESS.finditer(text)]
-    out += _name_candidates(text)
-    return list(dict.fromkeys(out))
+    A span is left out only for what no item of its type can be: a name without a capital, a number without digits, an
+    address without number or name, a mail address without 'at' and 'dot'. Order, shape and wording are left to the field.
+    """
+    n, out = len(t.word), []
+    mail = _MAYBE_MAIL.search(t.text) is not None
+    for i, k in enumerate(t.kind):
+        if k == "C":
+            out += [Span(i, j, "NAME") for j in _name_spans(t, i, n)]
+            out += [Span(i, j, "ADDRESS") for j in _address_spans(t, i, n)]
+            if len(t.word[i]) <= 3:
+                out += [Span(i, j, kind) for j, kind in _number_spans(t, i, n)]
+        elif k == "I":
+            out += [Span(i, j, "NAME") for j in _name_spans(t, i, n)]
+            out += [Span(i, j, kind) for j, kind in _number_spans(t, i, n)]
+        elif k == "d":
+            out += [Span(i, j, kind) for j, kind in _number_spans(t, i, n)]
+            out += [Span(i, j, "ADDRESS") for j in _address_spans(t, i, n)]
+            out += [Span(s, e, "ADDRESS") for s, e in _han_address_spans(t, i, n)]
+        elif k in "+(":
+            out += [Span(i, j, kind) for j, kind in _number_spans(t, i, n)]
+        elif k == "H":
+            out += [Span(i, j, "NAME") for j in _name_spans(t, i, n)]
+        elif k == "l" and t.word[i] in PARTICLES:
+            out += [Span(i, j, "NAME") for j in _name_spans(t, i, n)]
+        elif k == "l" and t.word[i] in _STREET_WORDS:
+            out += [Span(i, j, "ADDRESS") for j in _address_spans(t, i, n)]
+        if mail and (k == "@" or t.word[i].lower() == "at"):
+            out += [Span(s, e, "EMAIL") for s, e in _mail_spans(t, i, n)]
+    return out
 
 
 # --- whole-span features ---------------------------------------------------------------------------------------------
 
-_DIGIT = re.compile(r"\d")
 
-
-def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    left = [w.lower() for w in _WORD.findall(text[max(0, start - 32) : start])][-3:]
-    right = [w.lower() for w in _WORD.findall(text[end : end + 24])][:2]
-    return left, right
+@lru_cache(100_000)
+def _fold(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)) if not word.isascii() else word.lower()
 
 
-def features(text: str, seg: Segment) -> list[str]:
-    """Features of a whole segment under its type."""
-    span, k = text[seg.start : seg.end], seg.kind[0]
-    left, right = _around(text, seg.start, seg.end)
-    out = [f"{k}|bias"]
-    out += [f"{k}|l1={left[-1]}" if left else f"{k}|start"]
-    out += [f"{k}|l={w}" for w in left if len(w) > 1]
-    out += [f"{k}|r1={right[0]}" if right else f"{k}|end"]
-    out += [f"{k}|r={w}" for w in right if len(w) > 1]
+@lru_cache(1)
+def _given() -> frozenset[str]:
+    return frozenset(x for k, v in GIVEN_NAMES.items() for x in (k, *v.split())) | OTHER_GIVEN | RUSSIAN_GIVEN
+
+
+@lru_cache(100_000)
+def _known(part: str) -> str:
+    """1 for a given name, s for the ending of a Russian family name, 0 for other words."""
+    given = _given()
+    p = _fold(part)
+    if p in given or "-" in p and p.split("-")[0] in given or p[-1:] in "уае" and (p[:-1] in given or p[:-1] + "а" in given) and "Ѐ" <= p[0]:
+        return "1"
+    return "s" if "Ѐ" <= p[0] and p.endswith(RUSSIAN_ENDINGS) else "0"
+
+
+@lru_cache(100_000)
+def _shape(span: str) -> str:
+    return re.sub(r"\d+", lambda m: str(len(m.group())), re.sub("[A-Z]", "A", span))
+
+
+def _is_title(t: Tokens, i: int) -> bool:
+    return i >= 0 and (t.word[i].lower() in TITLES or t.word[i] == "." and i > 0 and t.word[i - 1].lower() in TITLES)
+
+
+def features(t: Tokens, s: Span) -> list[str]:
+    """Features of a whole segment under its type: its words, shape and bounds, and the words around it."""
+    i, j = s.first, s.last
+    k = s.kind[0]
+    word, n = t.word, len(t.word)
+    out = [k]
+    l1 = word[i - 1].lower() if i else "^"
+    r1 = word[j].lower() if j < n else "$"
+    out.append(f"{k}<{l1}")
+    out.append(f"{k}>{r1}")
+    for x in range(max(0, i - 4), i):
+        if t.kind[x] in "lCI" or t.kind[x] == "H":
+            out.append(f"{k}l{word[x].lower()}")
+    if i > 1:
+        out.append(f"{k}2{word[i - 2].lower()}_{l1}")
+    for x in range(j, min(n, j + 2)):
+        if t.kind[x] in "lCIH":
+            out.append(f"{k}r{word[x].lower()}")
     if k == "N":
-        words = span.replace(",", " ,").split()
-        parts = [w.rstrip(".") for w in words if w != ","]
-        first, last = _fold(parts[0]), _fold(parts[-1])
-        given = _given()
-        comma = "," in words
-        initials = [len(p) == 1 for p in parts]
+        if t.kind[i] == "H":
+            alone = (i == 0 or t.kind[i - 1] != "H") + 2 * (j == n or t.kind[j] != "H")
+            out += ["NH", f"NHa{alone}", f"NHn{j - i}|{alone}", f"NH<{l1}", f"NHc{word[i]}", f"NHe{word[j - 1]}", f"NH>{r1}"]
+            if i > 1:
+                out.append(f"NH2{word[i - 2]}{l1}")
+            return out
+        parts = [x for x in range(i, j) if t.kind[x] in "CI"]
+        comma = any(word[x] == "," for x in range(i, j))
+        known = "".join(_known(word[x]) for x in (parts[0], parts[-1]))
+        form = "".join("i" if t.kind[x] == "I" else "w" for x in parts)
         order = "c" if comma else "n"
-        known = "1" if first in given else "0", "1" if last in given else "0"
-        out += [f"N|{order}|known={known[0]}{known[1]}", f"N|{order}|init={''.join('i' if i else 'w' for i in initials)}"]
-        dotted = any(len(w) == 2 and w[1] == "." for w in words)
-        out.append(f"N|dot={dotted}|{order}|{known[0]}{known[1]}|{''.join('i' if i else 'w' for i in initials)}")
-        out += [f"N|w0={first}", f"N|wl={last}"] if not ("1" in known) else []
-        if left and (left[-1] in TITLES or (len(left) > 1 and left[-1] == "." and left[-2] in TITLES)):
-            out.append("N|titled")
-        if right and right[0] in LEGAL_FORMS or last in LEGAL_FORMS:
-            out.append("N|legal")
+        small = any(t.kind[x] == "l" for x in range(i, j))
+        out += [f"N{order}{known}", f"N{order}{form}", f"N{order}{known}{form}", f"N{order}{known}{form}{small}"]
+        if len(parts) > 2:
+            out.append(f"N{order}m" + "".join(_known(word[x]) for x in parts))
+        first, last = _fold(word[parts[0]]), _fold(word[parts[-1]])
+        if i == 0 or t.kind[i - 1] in ".!?:;" or t.text[t.end[i - 1]] == "\n":
+            out.append(f"N^{order}{known}{form}")
+        if "1" not in known:
+            out += [f"Nw{first}", f"Nw{last}"]
+        if _is_title(t, i - 1):
+            out.append("Nt")
+        if r1 in LEGAL_FORMS or last in LEGAL_FORMS:
+            out.append("Ng")
         if first in TITLES:
-            out.append("N|title inside")
-        if left and left[-1] in (".", "!", "?", ":"):
-            out.append(f"N|sentence|{known[0]}")
-        out += [f"N|bare={w}|{known[1]}" for w in words if len(w) == 1 and w.isalpha()]
-        if any(p.isupper() and len(p) > 1 for p in parts) and not all(p.isupper() for p in parts):
-            out.append("N|mixed case")
+            out.append("Nti")
+        if first in NOT_NAMES:
+            out.append("Nnf")
+        if last in NOT_NAMES or any(_fold(word[x]) in NOT_NAMES for x in parts[1:-1]):
+            out.append("Nnl")
+        if word[parts[-1]] in _STREET_WORDS and j - i > 1:
+            out.append("Nst")
+        if j < n and t.kind[j] in "CI" and t.start[j] - t.end[j - 1] == 1:
+            out.append(f"Nc>{_known(word[j])}{order}")
+        if i and t.kind[i - 1] in "CI" and t.start[i] - t.end[i - 1] == 1:
+            out.append(f"Nc<{_known(word[i - 1])}{order}")
+        if j < n and t.kind[j] == "d" or j + 1 < n and r1 == "-" and t.kind[j + 1] == "d":
+            out.append("Nd")
+        upper = [word[x].isupper() for x in parts if t.kind[x] == "C"]
+        if any(upper) and not all(upper):
+            out.append("Nmix")
+        for x in parts:
+            if t.kind[x] == "I" and (x + 1 >= n or word[x + 1] != "."):
+                out.append(f"Nb{word[x]}{known}")
+        return out
+    span = t.text[t.start[i] : t.end[j - 1]]
+    if k in "PI":
+        shape = _shape(span)
+        digits = sum(c.isdigit() for c in span)
+        seps = "".join(sorted({c for c in span if not c.isalnum()}))
+        out += [f"{k}s{shape}", f"{k}d{digits}", f"{k}p{seps}", f"{k}d{digits}{seps}", f"{k}h{span[0] if not span[0].isdigit() else '0' if span[0] == '0' else 'd'}"]
+        if any(word[x].lower() in TECHNICAL for x in range(max(0, i - 3), i)):
+            out += [f"{k}tech", f"{k}tech{shape}"]
+        if "A" in shape:
+            out.append(f"{k}a{shape.count('A')}")
+        if i and t.kind[i - 1] in "d+)" and t.start[i] - t.end[i - 1] <= 1:
+            out.append(f"{k}cut<")
+        if j < n and t.kind[j] in "d(" and t.start[j] - t.end[j - 1] <= 1:
+            out.append(f"{k}cut>")
+    elif k == "E":
+        low = span.lower()
+        plain = "@" in span
+        out += [f"Eat{plain}", f"Edot{plain}{' dot ' in low or '(dot' in low or '[dot' in low}", f"Eend{low.rsplit('.', 1)[-1].rsplit(' ', 1)[-1][:6]}", f"Ebl{plain}{min(6, span.count(' '))}"]
+        if i > 1 and word[i - 1].lower() == "dot":
+            out.append("Emore<")
+        if j < n and (word[j].lower() == "dot" or word[j] in "([{" and j + 1 < n and word[j + 1].lower() == "dot" or word[j] == "." and j + 1 < n and t.start[j + 1] == t.end[j]):
+            out.append("Emore>")
+        if t.kind[i] == "l" and word[i] in ("me", "us", "him", "her", "them", "it", "mail", "email", "write", "contact", "is"):
+            out.append("Esmall")
     else:
-        shape = _DIGIT.sub("0", span)
-        if k in "PI":
-            coarse = re.sub(r"[A-Z]", "A", re.sub(r"0+", lambda m: f"0{len(m.group())}", shape))
-            out += [f"{k}|shape={coarse}", f"{k}|digits={sum(c == '0' for c in shape)}", f"{k}|seps={''.join(sorted(set(re.sub(r'[0A-Za-z]', '', shape))))}", f"{k}|head={span[:1] if not span[:1].isdigit() else 'd0' if span[0] == '0' else 'd'}"]
-            out.append(f"{k}|groups={shape.count('0') and len(re.findall('0+', shape))}")
-        elif k == "E":
-            out += [f"E|at={'plain' if '@' in span else 'word'}", f"E|dots={min(3, span.lower().count('dot') + span.count('.'))}"]
-        else:
-            out += [f"A|type={w.lower()}" for w in (*STREET_AFTER, *STREET_BEFORE) if w in span.split()]
-            out.append(f"A|unit={bool(re.search(_UNIT, span))}|joined={any(j in span for j in STREET_JOINED)}")
+        inside = word[i:j]
+        street = [w for w in inside if w in _STREET_WORDS]
+        joined = any(w.lower().endswith(tuple(STREET_JOINED)) and len(w) > 6 for w in inside)
+        unit = sum(w in _UNIT_WORDS for w in inside)
+        numbers = sum(t.kind[x] == "d" for x in range(i, j))
+        head = "d" if t.kind[i] == "d" else "u" if word[i] in _UNIT_WORDS else "s" if word[i] in STREET_BEFORE else "j" if joined and word[i].lower().endswith(tuple(STREET_JOINED)) else "H" if t.kind[i] == "H" else "w"
+        tail = "d" if t.kind[j - 1] == "d" or j > 1 and t.kind[j - 2] == "d" and t.start[j - 1] == t.end[j - 2] else "s" if word[j - 1] in _STREET_WORDS else "w"
+        kind = "b" if any(w in STREET_BEFORE for w in street) else "a" if street else "j" if joined else "h" if t.kind[i] == "H" else "n"
+        out += [f"A{kind}", f"A{kind}{head}{tail}", f"Au{kind}{head}{tail}{min(2, unit)}{min(3, numbers)}", f"An{kind}{min(3, numbers)}", f"Ac{kind}{inside.count(',')}", f"Aw{min(9, j - i)}{kind}"]
+        if j < n and (word[j] in _UNIT_WORDS or word[j] == "," and j + 1 < n and word[j + 1] in _UNIT_WORDS):
+            out.append("Amore>")
+        if j < n and word[j] in _STREET_WORDS:
+            out.append("Ast>")
+        if i and (t.kind[i - 1] == "d" or word[i - 1] in _UNIT_WORDS) and t.start[i] - t.end[i - 1] <= 1:
+            out.append("Amore<")
+        if i > 2 and word[i - 1] == "," and t.kind[i - 2] == "d" and word[i - 3] in _UNIT_WORDS:
+            out.append("Aunit<")
+        if any(word[x] in _UNIT_WORDS and (x + 1 >= j or t.kind[x + 1] not in "d#.") for x in range(i, j)):
+            out.append("Aopen")
+        if head == "H":
+            out += [f"AH{word[i]}", f"AH<{l1}", f"AHs{inside[-3] if len(inside) > 2 else ''}"]
+            if any(w in "路街道巷弄" for w in inside):
+                out.append("AHstreet")
     return out
 
 
@@ -238,12 +559,15 @@ def best_segments(segs: list[Segment], scores: list[float]) -> list[Segment]:
 def find_segments(text: str, weights: dict[str, float]) -> list[tuple[str, str, int, int]]:
     """(type, stored characters, start, end) of the personal data in a text, in order."""
     view, at = plain_view(text)
-    segs = candidates(view)
-    if not segs:
+    t = tokens(view)
+    spans = lattice(t)
+    if not spans:
         return []
     get = weights.get
-    scores = [sum(get(f, 0.0) for f in features(view, s)) for s in segs]
-    found = best_segments(segs, scores)
+    scored = [(s, v) for s in spans if (v := sum([get(f, 0.0) for f in features(t, s)])) > 0]
+    if not scored:
+        return []
+    found = best_segments([Segment(t.start[s.first], t.end[s.last - 1], s.kind) for s, _ in scored], [v for _, v in scored])
     if at is None:
         return [(s.kind, text[s.start : s.end], s.start, s.end) for s in found]
     # a segment ends after its last character, marks that belong to it included

@@ -4,7 +4,7 @@ import pytest
 
 from palimpsest.llm.names import channel, link_spellings, parse_name, spelling_pairs
 from palimpsest.llm.pii import Segment, best_segments, find_segments, pii_items, redact_text, redacted
-from palimpsest.llm.pii_training import generate, trained_weights
+from palimpsest.llm.pii_training import _CARRIERS, generate, trained_weights
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +12,7 @@ def weights():
     return trained_weights()
 
 
-def test_held_out_accuracy(weights):
+def test_generated_accuracy(weights):
     tp = fp = fn = 0
     for text, truth in generate(800, 4242):
         got = {Segment(a, b, k) for k, _, a, b in find_segments(text, weights)}
@@ -20,6 +20,69 @@ def test_held_out_accuracy(weights):
     assert tp / (tp + fp) >= 0.97 and tp / (tp + fn) >= 0.96
 
 
+# Written by hand, apart from the grammar that trains the field: text with the items in brackets after a type.
+WRITTEN = """
+Yesterday [N:Maria de la Cruz] dropped off the keys.
+[N:Jan van der Berg] has resigned, which nobody expected.
+The invitation was for [N:Mary-Jane Watson] and her sister.
+Please contact [N:王伟] at [P:13812345678].
+Отдайте пропуск [N:Ивану Петрову] до вечера.
+if anything breaks call [P:5551234]
+you can mail me at [E:john DOT smith AT acme DOT com] or not at all
+Shipping label: [N:Robert K. Hale], [A:17 Juniper Lane], Fort Wayne.
+We are now at [A:Calle Mayor 12], right above the bakery.
+Her mailbox [E:h.lindqvist@uni-web.example] bounces since Tuesday.
+The clerk typed [I:078-05-1120] into the social security field.
+Passport [I:X1234567] expires in 2031.
+[N:O'Brien, Sean] owes us two signatures.
+Fax the contract to [P:(212) 555-0187] before noon.
+Our neighbours at [A:Lindenstraße 44b] complained about the noise.
+The parcel for [N:Elena García] waits at the counter.
+Dial [P:+44 20 7946 0958] and ask for the night desk.
+[N:Thomas Müller] plays for Bayern.
+contact=[E:ops.team@example.org]
+She moved from [A:Flat 9, 221B Baker Street] to the coast.
+The build 12.4.118 finished in 48 minutes.
+Berlin, Hamburg and Munich were cold.
+Acme Robotics Ltd bought Northwind Foods.
+Order 8841-22-17 shipped on 2024-05-01.
+Chapter 12 explains why Newton was wrong.
+Commit 88412217301 broke the nightly run.
+Golden Gate Bridge is painted again.
+See Table 4 and Figure 12 for details.
+Windows Server 2019 needs a restart.
+The Monday Meeting was moved to April 12.
+我们周末去爬山，方法很简单。
+""".strip().splitlines()
+
+
+def test_sentences_written_by_hand(weights):
+    import re
+
+    types = {"N": "NAME", "P": "PHONE", "E": "EMAIL", "I": "ID", "A": "ADDRESS"}
+    right = found = wanted = 0
+    for line in WRITTEN:
+        want = {(types[k], v) for k, v in re.findall(r"\[([NPEIA]):([^\]]+)\]", line)}
+        got = {(k, v) for k, v, _, _ in find_segments(re.sub(r"\[[NPEIA]:([^\]]+)\]", r"\1", line), weights)}
+        right, found, wanted = right + len(want & got), found + len(got), wanted + len(want)
+    assert right / wanted >= 0.9 and right / found >= 0.9
+
+
+def test_no_training_sentence_stands_in_the_tables():
+    import glob
+    import re
+
+    import duckdb
+
+    files = [f for t in ("memory_writes", "fact_frames") for f in glob.glob(f"/root/testdata/sf0.001/{t}.parquet")]
+    if not files:
+        pytest.skip("test tables are not there")
+    column = {"memory_writes": "text", "fact_frames": "evidence"}
+    text = "\n".join(r[0] for f in files for r in duckdb.sql(f"select {column[f.rsplit('/', 1)[1][:-8]]} from '{f}'").fetchall() if r[0])
+    pieces = [p.strip(" .,:;") for p in re.split(r"\{\w+\}|\||\n", _CARRIERS)]
+    assert [p for p in pieces if len(p.split()) >= 3 and p in text] == []
+
+
 def test_best_segments_is_optimal():
     import itertools
     import random
