@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from palimpsest.llm.canonical import LOOKALIKES, canonical_text, same_look_pairs
+from palimpsest.llm.canonical import LOOKALIKES, base_letters, canonical_text, public_letters, same_look_pairs, with_canonical
 
 
 @pytest.mark.parametrize(
@@ -51,3 +51,26 @@ def test_pairs(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "src string, id long, text string, _form string")
     assert sorted(tuple(r) for r in same_look_pairs(df, "src", "id", "text").collect()) == [("w", 1, 2), ("w", 2, 3)]
     assert same_look_pairs(df.limit(0), "src", "id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "stored,plain",
+    [("ρaypal", "paypal"), ("ɑpple", "apple"), ("Ꭺpple", "Apple"), ("5 µg", "5 μg"), ("𝐁old", "Bold"), ("ꓮꓑꓑꓡꓰ", "ꓮꓑꓑꓡꓰ"), ("Ⲥode", "Code"), ("sκip", "sκip"), ("раураl", "paypal"), ("ΑΒΕ", "ABE"), ("Google Ꮲlay", "Google Play")],
+)
+def test_public_list(spark, stored, plain):
+    letters = public_letters(spark)
+    assert canonical_text(stored, letters) == canonical_text(plain, letters)
+    assert len(letters.spell) > len(base_letters().spell)
+
+
+@pytest.mark.parametrize("a,b", [("kıt", "kit"), ("straße", "strabe"), ("год", "roд"), ("łódź", "lódź"), ("Il", "ll"), ("O0", "00"), ("øre", "ore"), ("rn", "m")])
+def test_public_list_keeps_letters_of_another_look(spark, a, b):
+    letters = public_letters(spark)
+    assert canonical_text(a, letters) != canonical_text(b, letters)
+
+
+def test_forms_of_a_table(spark):
+    rows = [(1, None), (2, ""), (3, "plain"), (4, "Ꭺpple"), (5, "a\r\nb"), (6, "long " * 50000 + "Ꭺ")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.form for r in with_canonical(df, "text", "form").collect()}
+    assert [got[i] for i in range(1, 6)] == [None, "", "plain", "Apple", "a\nb"] and got[6].endswith("A")
