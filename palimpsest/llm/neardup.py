@@ -17,10 +17,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.canonical import canonical_text
+from palimpsest.llm.canonical import Letters, canonical_text, public_letters
 from palimpsest.operators.graph import connected_components
 from palimpsest.session import materialize
 
@@ -42,9 +42,9 @@ class NearDupConfig:
 WORDS = r"[^\p{L}\p{N}\p{M}]+"
 
 
-def _words(texts: list[str]) -> pa.ListArray:
+def _words(texts: list[str], letters: Letters | None = None) -> pa.ListArray:
     """Lower-case words of each text in its consistent form."""
-    arr = pa.array([canonical_text(t) for t in texts], pa.string())
+    arr = pa.array([canonical_text(t, letters) for t in texts], pa.string())
     return pc.split_pattern_regex(pc.utf8_lower(arr), pattern=WORDS)
 
 
@@ -62,12 +62,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _elements(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _elements(texts: list[str], n: int, letters: Letters | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document no, element) of all shingles, sorted, and the number of words of each document.
 
     An element is a 32-bit hash of a shingle and its occurrence number within the document.
     """
-    lists = _words(texts)
+    lists = _words(texts, letters)
     idx, h = _hash_unique(lists.flatten())
     doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     w = h[idx] if len(idx) else np.zeros(0, np.uint64)
@@ -97,20 +97,28 @@ def _elements(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _tokenized(df: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(g, id, cls, elements) of each text with at least min_words words."""
+    """(g, id, cls, elements) of each text with at least min_words words.
+
+    Only the first text of a class in a batch brings its elements, so that many copies of one text stay small.
+    """
+    letters = public_letters(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            doc, element, n_words = _elements(b.column("text").to_pylist(), cfg.words_per_shingle)
+            doc, element, n_words = _elements(b.column("text").to_pylist(), cfg.words_per_shingle, letters)
             ok = n_words >= max(1, cfg.min_words)
             doc, element = doc[ok[doc]], element[ok[doc]]
             sizes = np.bincount(doc, minlength=len(ok))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             raw, rows = element.tobytes(), np.flatnonzero(ok)
             cls = np.fromiter((xxhash.xxh3_64_intdigest(raw[4 * offsets[i] : 4 * offsets[i + 1]]) for i in rows), np.uint64, len(rows))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([offsets[rows], offsets[-1:]]), pa.int32()), pa.array(element.view(np.int32)))
+            first = np.zeros(len(rows), bool)
+            first[np.unique(cls, return_index=True)[1]] = True
+            kept = first[np.repeat(np.arange(len(rows)), sizes[rows])] if len(rows) else np.zeros(0, bool)
+            ends = np.concatenate([[0], np.cumsum(np.where(first, sizes[rows], 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(element[kept].view(np.int32)), mask=pa.array(~first))
             own = [b.column(c).take(pa.array(rows)) for c in ("g", "id")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(cls.view(np.int64)), lists], names=["g", "id", "cls", "elements"])
 
@@ -118,7 +126,11 @@ def _tokenized(df: DataFrame, cfg: NearDupConfig) -> DataFrame:
 
 
 def _document_frequencies(classes: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """Documents per element-hash bucket (2**bits numbers, whatever the corpus) and the number of documents."""
+    """Documents (copies included) per element-hash bucket, 2**bits numbers, and the number of documents.
+
+    Elements that share a bucket share its count, so a bucket count is an upper bound of a frequency; bits must grow
+    with the vocabulary (18 bits hold 260,000 shingles apart, 24 bits 16 million in 64 MB).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(1 << bits, np.int64), 0
@@ -254,12 +266,13 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     """
     rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     rows = rows.where(F.length("text") >= 2 * cfg.min_words - 1)  # a word has a letter and a blank after it
-    first = Window.partitionBy("cls").orderBy("g", "id")
-    tokens = _tokenized(rows, cfg).withColumn("rn", F.row_number().over(first))
-    tokens = materialize(tokens.select("g", "id", "cls", F.when(F.col("rn") == 1, F.col("elements")).alias("elements")), "neardup_tokens")
+    tokens = materialize(_tokenized(rows, cfg), "neardup_tokens")
     members = tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct()
-    classes = tokens.where(F.col("elements").isNotNull())
-    freq, docs = _document_frequencies(classes.withColumn("n", F.lit(1).cast("long")), cfg.df_bits) if cfg.idf_power else (np.zeros(0, np.float32), 0)
+    classes = tokens.where(F.col("elements").isNotNull()).groupBy("cls").agg(F.first("elements").alias("elements"))
+    freq, docs = np.zeros(0, np.float32), 0
+    if cfg.idf_power:
+        rows_of = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+        freq, docs = _document_frequencies(classes.join(rows_of, "cls"), cfg.df_bits)
     bands = _bands(classes, freq, docs, cfg)
     left, right = (bands.select("band", F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     # sets of too different sizes cannot reach the threshold, and those of too different sketches hardly ever
