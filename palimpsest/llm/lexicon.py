@@ -56,6 +56,13 @@ ROLE_WORDS = frozenset(
 # Words that may stand before a role.
 ROLE_LEADS = frozenset("my our your his her their the a an this that new old former account project team product sales tech office".split())
 
+# Last words of names of organisations.
+ORG_WORDS = frozenset("systems robotics foods holdings research studios works partners logistics analytics publishing instruments software labs bank group industries electronics motors airlines media energy".split())
+
+# The most frequent Chinese family names of one character, and of two.
+HAN_SURNAMES = frozenset("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤")
+HAN_COMPOUND = frozenset("欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐".split())
+
 # Endings that tell a company's legal form.
 LEGAL_FORMS = frozenset("ltd limited gmbh corp corporation inc incorporated co company llc plc ag sa sarl bv nv pty lp llp kg oy ab spa srl".split())
 

@@ -1,9 +1,11 @@
 """Variant spellings of names, linked by noisy-channel attribution.
 
-Within a tenant's scope the fuller and more frequent spellings are candidate canonical forms. A spelling is attached
-to the candidate of maximum posterior: the frequency prior of the candidate times the likelihood that it was typed as
-the spelling (typos, initials, short forms, reordered parts, dropped parts, acronyms). Candidates come from shared
-keys (deletion neighbourhoods of the rare name parts, acronym letters), never from all pairs of a scope.
+Within a tenant's scope spellings are ranked as candidate canonical forms by how often they are written and by how
+seldom a canonical form is abbreviated. A spelling is attached to the candidate of maximum posterior: the prior of the
+candidate times the likelihood that it was typed as the spelling (typos, initials, short forms, reordered parts, dropped
+parts, acronyms), unless an entity of its own is likelier. The likelihoods of the channel are estimated from the
+linked spellings by expectation maximization. Candidates come from shared keys (deletion neighbourhoods of the rare
+name part with a letter of the other part, acronym letters), never from all pairs of a scope.
 """
 
 from __future__ import annotations
@@ -15,20 +17,43 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canonical import canonical_text
-from palimpsest.llm.lexicon import LEGAL_FORMS, ROLE_LEADS, ROLE_WORDS, TITLES, nickname_table
+from palimpsest.llm.lexicon import HAN_COMPOUND, LEGAL_FORMS, ORG_WORDS, ROLE_LEADS, ROLE_WORDS, TITLES, nickname_table
 from palimpsest.session import materialize
 
-# Log likelihoods of the channel, and of a spelling being an entity of its own though a candidate is near.
-TYPO, INITIAL, NICKNAME, NO_GIVEN, NO_MIDDLE, REORDER, ACRONYM, CUT_WORD, NO_LEGAL = (math.log(p) for p in (0.03, 0.1, 0.1, 0.02, 0.4, 0.1, 0.05, 0.1, 0.5))
-NEW_ENTITY, LISTED_TOGETHER, IMPOSSIBLE = -14.0, 6.0, -1e9
+# Operations of the channel with their first probabilities; expectation maximization estimates them on the data, but for
+# the last two, which tell entities apart: a known given name for another, and one legal form for another.
+OPS = {
+    "typo": 0.03, "two typos": 0.0002, "initial": 0.1, "initial of a form": 0.03, "nickname": 0.1, "no given name": 0.02, "no middle name": 0.4, "reorder": 0.1, "acronym": 0.05,
+    "cut word": 0.1, "no legal form": 0.5, "other legal form": 0.06, "other given name": 3e-7,
+}
+_FIXED = ("other legal form", "other given name")
+# A sum of operations is one integer with four bits for each: how often each was used.
+TYPO, TYPO2, INITIAL, INITIAL2, NICKNAME, NO_GIVEN, NO_MIDDLE, REORDER, ACRONYM, CUT_WORD, NO_LEGAL, OTHER_LEGAL, OTHER_GIVEN = (1 << 4 * i for i in range(len(OPS)))
+IMPOSSIBLE = -1
+# Log probability of an entity of its own though a candidate is near, and the gain of two spellings given for one mention.
+NEW_ENTITY, LISTED_TOGETHER = -14.0, 6.0
+FIRST = tuple(math.log(p) for p in OPS.values())
 NICKS = nickname_table()
 
 
+@lru_cache(10_000)
+def log_likelihood(ops: int, logs: tuple[float, ...] = FIRST) -> float:
+    return -1e9 if ops < 0 else sum((ops >> 4 * i & 15) * v for i, v in enumerate(logs))
+
+
+def _best(*options: int) -> int:
+    return max(options, key=log_likelihood)
+
+
+def _plus(*ops: int) -> int:
+    return IMPOSSIBLE if min(ops) < 0 else sum(ops)
+
+
 @dataclass(frozen=True)
 class NameForm:
     """A spelling taken apart: parts in natural order; kind 'person', 'org', 'acronym' or '' (no name)."""
@@ -52,6 +77,10 @@ def parse_name(name: str) -> NameForm:
     """Take a spelling apart; roles, product names that end in a number and empty strings give kind ''."""
     text = " ".join((canonical_text(name) or "").split())
     low = fold(text).replace("’", "'")
+    han = low.replace(" ", "").replace("·", "")
+    if len(han) >= 2 and all("一" <= c <= "鿿" for c in han):
+        cut = 2 if han[:2] in HAN_COMPOUND and len(han) > 2 else 1
+        return NameForm("person", (han[cut:], han[:cut])) if len(han) <= 4 else NameForm("org", (han,))
     words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*", low)
     if not words or re.search(r"\d", low) or "@" in low:
         return NameForm("", ())
@@ -82,7 +111,7 @@ def parse_name(name: str) -> NameForm:
         if 2 <= len(bare[0]) <= 5 and (letters.isupper() or legal):
             return NameForm("acronym", (bare[0],), legal=_legal(legal))
     long_parts = [t for t in bare if len(t) > 1]
-    if not titled and (legal or the or len(long_parts) >= 3) and len(long_parts) == len(bare):
+    if not titled and (legal or the or len(long_parts) >= 3 or len(bare) == 2 and bare[1] in ORG_WORDS) and len(long_parts) == len(bare):
         return NameForm("org", tuple(bare), legal=_legal(legal), unsure=bool(comma and second), cut=tuple(t.endswith(".") for t in tokens))
     middle = ""
     if len(bare) >= 3:
@@ -118,23 +147,23 @@ def edits(a: str, b: str, most: int = 2) -> int:
     return min(last[-1], most + 1)
 
 
-def _typed(a: str, b: str) -> float:
-    """Log likelihood that one name part was typed as the other."""
+def _typed(a: str, b: str) -> int:
+    """Operations by which one name part was typed as the other."""
     if a == b:
-        return 0.0
+        return 0
     shorter = min(len(a), len(b))
     if shorter < 3:
         return IMPOSSIBLE
     d = edits(a, b)
     if d == 1 and (shorter >= 4 or len(a) != len(b) and max(len(a), len(b)) >= 4):
         return TYPO
-    return 2.5 * TYPO if d == 2 and shorter >= 6 else IMPOSSIBLE
+    return TYPO2 if d == 2 and shorter >= 6 else IMPOSSIBLE
 
 
 @lru_cache(200_000)
-def _given(v: str, c: str) -> float:
+def _given(v: str, c: str) -> int:
     if v == c:
-        return 0.0
+        return 0
     if not v or not c:
         return NO_GIVEN
     if len(v) == 1 or len(c) == 1:
@@ -143,16 +172,16 @@ def _given(v: str, c: str) -> float:
         i, full = (v, c) if len(v) == 1 else (c, v)
         if full[0] == i:
             return INITIAL
-        return 1.5 * INITIAL if any(f[0] == i for f in NICKS.get(full, ())) else IMPOSSIBLE
+        return INITIAL2 if any(f[0] == i for f in NICKS.get(full, ())) else IMPOSSIBLE
     mine, other = NICKS.get(v, frozenset()), NICKS.get(c, frozenset())
     if mine & other:
         return NICKNAME
-    if v in NICKS and c in NICKS:
-        return IMPOSSIBLE  # two different known names are no typos of each other
     straight = _typed(v, c)
+    if v in NICKS and c in NICKS:  # two different known names are typos of each other only where counts speak for it
+        return OTHER_GIVEN if straight == TYPO else IMPOSSIBLE
     slip, clean = (v, other) if c in NICKS else (c, mine)
     through = [TYPO + NICKNAME for full in clean for form in (full, *_forms(full)) if len(form) >= 4 and edits(slip, form, 1) == 1]
-    return max([straight, *through])
+    return _best(straight, *through)
 
 
 @lru_cache(2000)
@@ -160,23 +189,21 @@ def _forms(full: str) -> tuple[str, ...]:
     return tuple(k for k, v in NICKS.items() if full in v)
 
 
-def _person(v: NameForm, c: NameForm) -> float:
+def _person(v: NameForm, c: NameForm) -> int:
     best = IMPOSSIBLE
-    for pv, cost in ((v.parts, 0.0), (v.parts[::-1], REORDER)) if v.unsure else ((v.parts, 0.0),):
-        for pc, more in ((c.parts, 0.0), (c.parts[::-1], REORDER)) if c.unsure else ((c.parts, 0.0),):
+    for pv, cost in ((v.parts, 0), (v.parts[::-1], REORDER)) if v.unsure else ((v.parts, 0),):
+        for pc, more in ((c.parts, 0), (c.parts[::-1], REORDER)) if c.unsure else ((c.parts, 0),):
             # the same way around on both sides needs no second look
             if cost and more:
                 continue
-            best = max(best, cost + more + _given(pv[0], pc[0]) + _typed(pv[1], pc[1]))
+            best = _best(best, _plus(cost, more, _given(pv[0], pc[0]), _typed(pv[1], pc[1])))
     if v.middle and c.middle:
-        best += 0.0 if v.middle == c.middle else IMPOSSIBLE
-    elif v.middle or c.middle:
-        best += NO_MIDDLE
-    return best
+        return best if v.middle == c.middle else IMPOSSIBLE
+    return _plus(best, NO_MIDDLE) if v.middle or c.middle else best
 
 
-def _org(v: NameForm, c: NameForm) -> float:
-    legal = 0.0 if v.legal == c.legal else NO_LEGAL if not (v.legal and c.legal) else 4 * NO_LEGAL
+def _org(v: NameForm, c: NameForm) -> int:
+    legal = 0 if v.legal == c.legal else NO_LEGAL if not (v.legal and c.legal) else OTHER_LEGAL
     if "acronym" in (v.kind, c.kind):
         if v.kind == c.kind:
             return legal if v.parts == c.parts else IMPOSSIBLE
@@ -188,49 +215,63 @@ def _org(v: NameForm, c: NameForm) -> float:
     best = IMPOSSIBLE
     n = len(v.parts)
     for turn in range(n if v.unsure or c.unsure else 1):
-        total = REORDER if turn else 0.0
+        total = REORDER if turn else 0
         for i, a in enumerate(v.parts):
             b = c.parts[(i + turn) % n]
             cut = (len(a) != len(b)) and ((a.startswith(b) and len(b) >= 2) or (b.startswith(a) and len(a) >= 2)) and (
                 (v.cut and v.cut[i]) or (c.cut and c.cut[(i + turn) % n])
             )
-            total += max(CUT_WORD if cut else IMPOSSIBLE, _typed(a, b))
-        best = max(best, total)
-    return best + legal
+            total = _plus(total, _best(CUT_WORD if cut else IMPOSSIBLE, _typed(a, b)))
+        best = _best(best, total)
+    return _plus(best, legal)
 
 
-def channel(v: NameForm, c: NameForm) -> float:
-    """Log likelihood that the entity written c in full was written v."""
+def channel(v: NameForm, c: NameForm) -> int:
+    """Operations by which the entity written c was written v, or IMPOSSIBLE."""
     if not v.kind or not c.kind:
         return IMPOSSIBLE
     if v.kind == "person" and c.kind == "person":
         return _person(v, c)
-    if {v.kind, c.kind} == {"person", "org"}:  # 'Acme W. Foods' reads like a person with a middle initial
+    if {v.kind, c.kind} == {"person", "org"}:
         p, o = (v, c) if v.kind == "person" else (c, v)
-        if p.middle and not p.titled and len(o.parts) == 3 and o.parts[1][0] == p.middle:
-            return CUT_WORD + _typed(p.parts[0], o.parts[0]) + _typed(p.parts[1], o.parts[2])
+        if p.titled:
+            return IMPOSSIBLE
+        if p.middle and len(o.parts) == 3 and o.parts[1][0] == p.middle:  # 'Acme W. Foods' reads like a person with a middle initial
+            return _plus(CUT_WORD, _typed(p.parts[0], o.parts[0]), _typed(p.parts[1], o.parts[2]))
+        if not p.middle and o.legal and len(o.parts) == 2 and p.parts[0] not in NICKS:  # 'Acme Foods' reads like a person
+            return _org(NameForm("org", p.parts), o)
         return IMPOSSIBLE
     if v.kind != "person" and c.kind != "person":
         return _org(v, c)
     return IMPOSSIBLE
 
 
-def fullness(f: NameForm) -> int:
-    """How much of a name a spelling tells."""
+def form_prior(f: NameForm) -> float:
+    """Log probability that a canonical form has this form: few are abbreviated."""
     if f.kind == "acronym":
-        return 1
+        return -9.0
     if f.kind == "org":
-        return 3 - sum(f.cut) + bool(f.legal)
+        return -4.0 * sum(f.cut) + 0.2 * bool(f.legal)
     given = f.parts[0]
-    return (0 if not given else 1 if len(given) == 1 else 3 if given in NICKS and given in NICKS[given] else 2) + bool(f.middle)
+    return (-11.0 if not given else -8.0 if len(given) == 1 else -4.0 if given in NICKS and given not in NICKS[given] else 0.0) + 0.2 * bool(f.middle)
 
 
 def _deletions(part: str) -> set[str]:
     return {part} | ({part[:i] + part[i + 1 :] for i in range(len(part))} if len(part) >= 4 else set())
 
 
+def _letters(given: str) -> set[str]:
+    """Letters by which spellings of one given name meet: the first two, and the first ones of the full names it stands for."""
+    return set(given[:2]) | {full[0] for full in NICKS.get(given, ())}
+
+
 def block_keys(f: NameForm) -> list[str]:
-    """Keys that spellings of one entity share: deletion neighbourhoods of parts that are no known given name, and acronyms."""
+    """Keys that spellings of one entity share.
+
+    Persons: deletion neighbourhoods of a part that is no known given name, each with a letter of the given name, so that
+    a common family name does not make one block. Spellings without given name meet all others of the family under keys
+    with '*' (theirs begin with '!'), never each other's whole block. Organisations: first word, acronym letters.
+    """
     if f.kind == "acronym":
         return ["#" + f.parts[0]]
     if f.kind == "org":
@@ -240,73 +281,103 @@ def block_keys(f: NameForm) -> list[str]:
         return sorted(keys | {"o" + d for p in (f.parts if f.unsure else f.parts[:1]) for d in _deletions(p)})
     if f.kind == "person":
         given, family = f.parts
-        parts = {family} if family not in NICKS or not f.unsure else set()
-        if f.unsure and given not in NICKS and (len(given) > 1):
-            parts.add(given)
-        keys = {"p" + d for p in parts or {family, given} for d in _deletions(p)}
-        if f.middle and not f.titled and given not in NICKS:
-            keys |= {"o" + d for d in _deletions(given)}
+        if not given:
+            return sorted("!" + d + "*" for d in _deletions(family))
+        ways = [(given, family)] if family not in NICKS or not f.unsure else []
+        if f.unsure and given not in NICKS and len(given) > 1:
+            ways.append((family, given))
+        ways = ways or [(given, family), (family, given)]
+        keys = {"p" + d + x for g, part in ways for d in _deletions(part) for x in (*_letters(g), "*")}
+        if not f.titled and given not in NICKS and len(given) > 1:
+            keys |= {"o" + d for d in _deletions(given)} if f.middle else {"o" + given}
         return sorted(keys)
     return []
 
 
-def link_spellings(spellings: DataFrame, listed: DataFrame, scope_cols: list[str]) -> DataFrame:
+def _typed_as(logs: tuple[float, ...]) -> Column:
+    """Log of the frequency prior of the candidate and of the likelihood that it was typed as the spelling."""
+    total = F.col("together") * F.lit(LISTED_TOGETHER) + F.log("nc")
+    for i, v in enumerate(logs):
+        total = total + F.shiftright("ops", 4 * i).bitwiseAND(F.lit(15)) * F.lit(v)
+    return total
+
+
+def _parents(edges: DataFrame, logs: tuple[float, ...]) -> DataFrame:
+    """(v, up, ops, nv): the maximum-posterior candidate of each spelling that is likelier than an entity of its own."""
+    good = edges.withColumn("score", _typed_as(logs)).where(F.col("score") > F.lit(NEW_ENTITY) + F.log("nv"))
+    best = F.max(F.struct((F.col("score") + F.col("pc")).alias("score"), "c", "ops", "nv")).alias("x")
+    return good.groupBy("v").agg(best).select("v", F.col("x.c").alias("up"), F.col("x.ops").alias("ops"), F.col("x.nv").alias("nv"))
+
+
+def link_spellings(spellings: DataFrame, listed: DataFrame, scope_cols: list[str], em_rounds: int = 2) -> DataFrame:
     """(scope columns, name, entity_key): every spelling that is a name with the canonical spelling of its entity.
 
     ``spellings`` has the scope columns, name and n (how often it is written); ``listed`` pairs (scope columns, a, b)
     of spellings given for one mention. Strings that are no names (roles, products, empty, null) do not come out.
     A spelling like no other is its own canonical form. Repeated rows must be summed in n; empty input, empty result.
+    Pairs travel as 64-bit keys of (scope, name); the probabilities of the channel take em_rounds rounds of estimation,
+    each one aggregate over the linked spellings.
     """
     s1, s2 = scope_cols
-    base = spellings.select(F.coalesce(F.col(s1), F.lit("\x00")).alias("s1"), F.coalesce(F.col(s2), F.lit("\x00")).alias("s2"), "name", "n")
+    z = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
+    base = spellings.select(z(s1).alias("s1"), z(s2).alias("s2"), "name", "n")
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [block_keys(parse_name(x)) for x in b["name"]]
-            yield b.assign(key=keys)[["s1", "s2", "name", "n", "key"]]
-
-    with_keys = base.mapInPandas(keyed, "s1 string, s2 string, name string, n long, key array<string>").where(F.size("key") > 0)
-    with_keys = materialize(with_keys, "name_keys")
-    exploded = with_keys.select("s1", "s2", "name", "n", F.explode("key").alias("key"))
-    left = exploded.select("s1", "s2", "key", F.col("name").alias("a"), F.col("n").alias("na"))
-    right = exploded.select("s1", "s2", "key", F.col("name").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, ["s1", "s2", "key"]).where("a < b").select("s1", "s2", "a", "na", "b", "nb").distinct()
-    pairs = pairs.withColumn("together", F.lit(0))
-    near = listed.select(F.coalesce(F.col(s1), F.lit("\x00")).alias("s1"), F.coalesce(F.col(s2), F.lit("\x00")).alias("s2"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    counts = with_keys.select("s1", "s2", "name", "n")
-    near = near.join(counts.select("s1", "s2", F.col("name").alias("a"), F.col("n").alias("na")), ["s1", "s2", "a"]).join(counts.select("s1", "s2", F.col("name").alias("b"), F.col("n").alias("nb")), ["s1", "s2", "b"])
-    pairs = pairs.unionByName(near.select("s1", "s2", "a", "na", "b", "nb", F.lit(1).alias("together")))
-    pairs = pairs.groupBy("s1", "s2", "a", "na", "b", "nb").agg(F.max("together").alias("together"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forms = [parse_name(x) for x in b.column("name").to_pylist()]
+            keys = pa.array([block_keys(f) for f in forms], pa.list_(pa.string()))
+            prior = pa.array([form_prior(f) if f.kind else 0.0 for f in forms], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, prior, keys], names=["s1", "s2", "name", "n", "prior", "key"])
+
+    nid = F.xxhash64("s1", "s2", "name").alias("nid")
+    names = base.mapInArrow(keyed, "s1 string, s2 string, name string, n long, prior double, key array<string>").where(F.size("key") > 0)
+    lone = F.transform("key", lambda k: F.struct(F.xxhash64("s1", "s2", F.when(F.startswith(k, F.lit("!")), F.concat(F.lit("p"), F.substr(k, F.lit(2)))).otherwise(k)).alias("block"), F.when(F.startswith(k, F.lit("!")), 2).when(F.endswith(k, F.lit("*")), 1).otherwise(0).cast("byte").alias("side")))
+    names = materialize(names.select(nid, "s1", "s2", "name", "n", "prior", lone.alias("keys")), "names")
+    exploded = names.select("nid", F.inline("keys"))
+    a, b = exploded.select("block", F.col("nid").alias("a"), F.col("side").alias("sa")), exploded.select("block", F.col("nid").alias("b"), F.col("side").alias("sb"))
+    # full spellings (1) meet those without given name (2) under '*', not each other
+    met = a.join(b, "block").where((F.col("a") < F.col("b")) & ((F.col("sa") != 1) | (F.col("sb") != 1))).select("a", "b", F.lit(0).alias("together"))
+    la, lb = F.xxhash64("s1", "s2", "a"), F.xxhash64("s1", "s2", "b")
+    near = listed.where("a <> b").select(z(s1).alias("s1"), z(s2).alias("s2"), "a", "b").select(F.least(la, lb).alias("a"), F.greatest(la, lb).alias("b"), F.lit(1).alias("together"))
+    pairs = met.unionByName(near).groupBy("a", "b").agg(F.max("together").alias("together"))
+    of = lambda x: names.select(F.col("nid").alias(x), F.col("name").alias(f"name_{x}"), F.col("n").alias(f"n_{x}"), F.col("prior").alias(f"prior_{x}"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+    pairs = pairs.select("a", "name_a", "n_a", "prior_a", "b", "name_b", "n_b", "prior_b", "together")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in batches:
-            out = []
-            for s, t, a, na, b, nb, together in d.itertuples(index=False, name=None):
-                fa, fb = parse_name(a), parse_name(b)
-                ll = channel(fa, fb)
-                if together and ll <= IMPOSSIBLE / 2 and fa.kind and fb.kind:
-                    ll = 1.5 * NEW_ENTITY
-                ll += LISTED_TOGETHER * together
-                if ll <= NEW_ENTITY:
-                    continue
-                # the fuller spelling, then the more frequent, is the canonical one
-                up = (fullness(fa), na, a) > (fullness(fb), nb, b)
-                v, c, nc = (b, a, na) if up else (a, b, nb)
-                out.append((s, t, v, c, ll + math.log(nc) / 2))
-            yield pd.DataFrame(out, columns=["s1", "s2", "name", "up", "score"])
-
-    scored = pairs.select("s1", "s2", "a", "na", "b", "nb", "together").mapInPandas(score, "s1 string, s2 string, name string, up string, score double")
-    parent = scored.groupBy("s1", "s2", "name").agg(F.max(F.struct("score", "up")).alias("x")).select("s1", "s2", "name", F.col("x.up").alias("up"))
-    roots = counts.join(parent, ["s1", "s2", "name"], "left").select("s1", "s2", "name", F.coalesce("up", "name").alias("up"))
-    roots = materialize(roots, "name_parents")
-    for _ in range(40):  # pointer doubling; chains rise in fullness and frequency, so they end
-        up = roots.select("s1", "s2", F.col("name").alias("up"), F.col("up").alias("upper"))
-        roots = materialize(roots.join(up, ["s1", "s2", "up"]).select("s1", "s2", "name", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")), "name_roots")
+            rows = []
+            for x, na, ka, pa_, y, nb, kb, pb, together in zip(*(c.to_pylist() for c in d.columns)):
+                # the spelling of the greater prior is the candidate
+                if (math.log(ka) + pa_, ka, na) > (math.log(kb) + pb, kb, nb):
+                    x, na, ka, pa_, y, nb, kb, pb = y, nb, kb, pb, x, na, ka, pa_
+                ops = channel(parse_name(na), parse_name(nb))
+                if ops >= 0:
+                    rows.append((x, y, ops, together, ka, kb, pb))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+            columns = zip(*rows) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["v", "c", "ops", "together", "nv", "nc", "pc"])
+
+    edges = materialize(pairs.mapInArrow(score, "v long, c long, ops long, together int, nv long, nc long, pc double"), "name_edges")
+    logs = FIRST
+    written = names.agg(F.sum("n")).first()[0] or 0 if em_rounds else 0
+    for _ in range(em_rounds if written else 0):
+        uses = [F.coalesce(F.sum(F.shiftright("ops", 4 * i).bitwiseAND(F.lit(15)) * F.col("nv")), F.lit(0)).alias(f"u{i}") for i in range(len(OPS))]
+        seen = _parents(edges, logs).agg(*uses).first()
+        logs = tuple(FIRST[i] if name in _FIXED else math.log(min(0.9, (seen[i] + 50 * p) / (written + 50))) for i, (name, p) in enumerate(OPS.items()))
+    parent = _parents(edges, logs).select(F.col("v").alias("nid"), "up")
+    roots = materialize(names.select("nid").join(parent, "nid", "left").select("nid", F.coalesce("up", "nid").alias("up")), "name_parents")
+    for _ in range(40):  # pointer doubling; chains rise in prior, so they end
+        up = roots.select(F.col("nid").alias("up"), F.col("up").alias("upper"))
+        roots = materialize(roots.join(up, "up").select("nid", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")), "name_roots")
         if roots.where("moved").isEmpty():
             break
         roots = roots.drop("moved")
+    else:
+        raise RuntimeError("spellings form a chain of more than 2**40 links")
+    top = names.select(F.col("nid").alias("up"), F.col("name").alias("entity_key"))
     null = lambda c, n: F.when(F.col(c) != "\x00", F.col(c)).alias(n)
-    return roots.select(null("s1", s1), null("s2", s2), "name", F.col("up").alias("entity_key"))
+    return names.select("nid", "s1", "s2", "name").join(roots.select("nid", "up"), "nid").join(top, "up").select(null("s1", s1), null("s2", s2), "name", "entity_key")
 
 
 def name_mentions(items: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:

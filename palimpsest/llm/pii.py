@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.canonical import LOOKALIKES
-from palimpsest.llm.lexicon import GIVEN_NAMES, LEGAL_FORMS, NOT_NAMES, OTHER_GIVEN, RUSSIAN_GIVEN, TECHNICAL, TITLES
+from palimpsest.llm.lexicon import GIVEN_NAMES, HAN_COMPOUND, HAN_SURNAMES, LEGAL_FORMS, NOT_NAMES, OTHER_GIVEN, RUSSIAN_GIVEN, TECHNICAL, TITLES
 
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
@@ -84,9 +84,7 @@ STREET_JOINED = "straße strasse weg gasse platz allee ufer damm ring".split()
 UNITS = "Flat Apt Apartment Unit Suite Room Floor No".split()
 # Small words inside family names and street names.
 PARTICLES = frozenset("de la las los del der den van von zu zum zur da das do dos du des di della le el al bin ibn ben ter ten y e".split())
-# The most frequent Chinese family names, and endings of Russian family names (with their cases).
-HAN_SURNAMES = frozenset("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤")
-HAN_COMPOUND = frozenset("欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐".split())
+# Endings of Russian family names (with their cases).
 RUSSIAN_ENDINGS = tuple("ов ова ову овым овой ове ев ева еву евым евой еве ин ина ину иным иной ёв ёва ский ская скому ского ской ским енко чук ук".split())
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏЀ-ԯ"

@@ -15,8 +15,8 @@ import re
 from bisect import bisect_right
 from functools import lru_cache
 
-from palimpsest.llm.lexicon import GIVEN_NAMES, RUSSIAN_GIVEN, TECHNICAL
-from palimpsest.llm.pii import HAN_SURNAMES, STREET_AFTER, Segment, Span, Tokens, features, lattice, tokens
+from palimpsest.llm.lexicon import GIVEN_NAMES, HAN_SURNAMES, RUSSIAN_GIVEN, TECHNICAL
+from palimpsest.llm.pii import STREET_AFTER, Segment, Span, Tokens, features, lattice, tokens
 
 _ONSETS = "b c d f g h j k l m n p r s t v w z br cl dr fl gr kr pl pr sk sl sp st th tr zw".split()
 _NUCLEI = "a e i o u ai ea ei io oa ou é ö ü ã".split()
