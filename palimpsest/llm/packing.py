@@ -2,11 +2,13 @@
 
 The cost of a sequence is linear in its tokens plus quadratic in the length of each document in it (attention stays
 within a document). Documents, longest first, go to the sequence of the lowest cost that still has room. Packing is
-done in shards of about shard_tokens tokens, drawn by hash, so that tasks stay bounded however large the corpus is.
+done in shards of about shard_tokens tokens, drawn by hash, so that tasks stay bounded however large the corpus is. A
+shard has thousands of sequences, so its last ones hardly weigh: the README gives the fill against one single shard.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,21 +28,31 @@ class PackingConfig:
 
 
 def pack(sizes: np.ndarray, capacity: int, quadratic: float) -> np.ndarray:
-    """Sequence number of each piece (0 < size <= capacity); equal sizes keep their order."""
+    """Sequence number of each piece (0 < size <= capacity); equal sizes keep their order.
+
+    Sequences with room for the size at hand stand in a heap by cost, the others wait in a heap by room until the sizes,
+    which descend, have come down to it. So each piece costs a few steps of a heap.
+    """
     out = np.full(len(sizes), -1, np.int64)
-    opened = max(1, -(-int(sizes.sum()) // capacity)) if len(sizes) else 0
-    room, cost = np.full(opened, capacity, np.int64), np.zeros(opened)
-    for i in np.argsort(-sizes, kind="stable"):
+    opened = -(-int(sizes.sum()) // capacity) if len(sizes) else 0
+    room, ready, waiting = [capacity] * opened, [(0.0, j) for j in range(opened)], []
+    for i in np.argsort(-sizes, kind="stable").tolist():
         size = int(sizes[i])
-        fits = np.flatnonzero(room >= size)
-        if len(fits):
-            j = int(fits[cost[fits].argmin()])
+        while waiting and -waiting[0][0] >= size:
+            _, cost, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (cost, j))
+        if ready:
+            cost, j = heapq.heappop(ready)
         else:
-            j = len(room)
-            room, cost = np.append(room, capacity), np.append(cost, 0.0)
+            cost, j = 0.0, len(room)
+            room.append(capacity)
         out[i] = j
         room[j] -= size
-        cost[j] += size + quadratic * size * size
+        cost += size + quadratic * size * size
+        if room[j] >= size:
+            heapq.heappush(ready, (cost, j))
+        elif room[j]:
+            heapq.heappush(waiting, (-room[j], cost, j))
     return out
 
 

@@ -33,7 +33,7 @@ def with_token_counts(df: DataFrame, keep: list[str], text: str, path: str = TOK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("t").to_pylist()]
+            sizes = [len(x) for x in enc.encode_ordinary_batch([t or "" for t in b.column("t").to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(sizes, pa.int64())], names=[*names, "n_tokens"])
 
     schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "n_tokens long"])
