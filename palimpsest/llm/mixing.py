@@ -3,7 +3,8 @@
 The weight of a source changes over training time t in [0, 1] as share x (1 + ramp x (2t - 1)); ramps are balanced so
 that all weights sum to 1 at any time. Its integral, the cumulative demand share x (t + ramp x (t^2 - t)), is inverted
 at the cumulative tokens of each document, which gives the document's training position; the mix is sorted by range of
-position. Cumulative tokens come from sums per hash bucket, so that no task sees more than one bucket of a source.
+position. Cumulative tokens come from sums per hash bucket, so that no task sees more than one bucket of a source; the
+buckets of a source grow in number with it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ class MixConfig:
     """steepness: how far the most repeatable source rises from half to twice its mean (0: constant weights)."""
 
     steepness: float = 0.6
-    bucket_bits: int = 12
+    bucket_rows: int = 50_000  # documents of a source that one task sums up, about
     seed: int = 5
     total_tokens: int | None = None  # None: as many as the scarcest source allows
 
@@ -31,7 +32,7 @@ def source_plan(sized: DataFrame, targets: DataFrame, cfg: MixConfig) -> list[di
     wanted = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy(F.lower(F.trim("source")).alias("source")).agg(
         F.sum("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats")
     )
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     rows = [r.asDict() for r in wanted.join(have, "source", "left").collect()]
     live = [r for r in rows if r["tokens"] and r["repeats"] > 0]
     whole = sum(r["share"] for r in live)
@@ -63,9 +64,12 @@ def mix_sources(sized: DataFrame, targets: DataFrame, cfg: MixConfig = MixConfig
     sized = sized.where((F.col("n_tokens") > 0) & F.col("doc_id").isNotNull() & F.col("source").isNotNull())
     sized = materialize(sized.select("doc_id", F.lower(F.trim("source")).alias("source"), "n_tokens").dropDuplicates(["doc_id"]), "mix_sizes")
     spark = sized.sparkSession
-    rows = [(r["source"], float(r["want"]), int(r["tokens"]), float(r["ramp"]), -int(-r["want"] // r["tokens"])) for r in source_plan(sized, targets, cfg) if r["want"] > 0]
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, want double, tokens long, ramp double, epochs long"))
-    keyed = sized.join(plan, "source").withColumn("h", F.xxhash64(F.lit(cfg.seed), "doc_id")).withColumn("bucket", F.shiftright("h", 64 - cfg.bucket_bits))
+    # buckets are the first bits of the hash by which documents are ordered, so their number changes no result
+    bits = lambda n: max(1, min(40, (max(1, n // cfg.bucket_rows)).bit_length()))
+    listed = source_plan(sized, targets, cfg)
+    rows = [(r["source"], float(r["want"]), int(r["tokens"]), float(r["ramp"]), -int(-r["want"] // r["tokens"]), 64 - bits(r["documents"])) for r in listed if r["want"] > 0]
+    plan = F.broadcast(spark.createDataFrame(rows, "source string, want double, tokens long, ramp double, epochs long, shift int"))
+    keyed = sized.join(plan, "source").withColumn("h", F.xxhash64(F.lit(cfg.seed), "doc_id")).withColumn("bucket", F.expr("shiftright(h, shift)"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("start", F.coalesce(F.sum("s").over(ahead), F.lit(0))).drop("s")
