@@ -2,34 +2,46 @@
 
 Terms: a sentence model (naive Bayes over one- and two-word terms, refined by expectation maximization, as labels hold
 for documents and are incomplete and partly wrong) says what each sentence is about. Its shares of the document's
-sentences are, with source, language and structure, the features of a chain of logistic classifiers; each link also
-sees the labels before it, which models what occurs together. Probabilities are calibrated for labels left out, and
-beam search decodes the best label combination.
+sentences and the strength of the terms themselves are, with source, language and structure, the features of a chain of
+logistic classifiers; each link also sees the labels before it, which models what occurs together. Probabilities are
+calibrated for labels left out, on halves of the labelled documents that the calibrated model has not seen, and beam
+search decodes the best label combination.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LANGUAGES = ("en", "es", "zh")
-# Small words that tell English and Spanish apart.
-_SMALL = {"en": "the of and is to was for that it you in with not are which".split(), "es": "el la los las que una por con del para se lo está entre según".split()}
+# Languages are told apart by script and small words; terms are fitted for each. "other" holds all remaining scripts.
+LANGUAGES = ("en", "es", "zh", "de", "fr", "pt", "it", "ja", "ko", "ru", "ar", "other")
+# Small words of languages in Latin letters.
+_SMALL = {
+    "en": "the of and is to was for that it you in with not are which".split(), "es": "el la los las que una por con del para se lo está entre según".split(),
+    "de": "der die das und ist nicht ein eine mit für auf den von zu im".split(), "fr": "le les des et est une dans pour que qui sur pas au avec ce".split(),
+    "pt": "o os as um uma não em na no ao com são pelo mais foi".split(), "it": "il gli di che è per non sono della nel anche più alla ma dei".split(),
+}
+# First and last letter of scripts; those of the first kind are written without blanks, letter by letter.
+_SCRIPTS = {"ja": "\u3041\u30ff", "zh": "\u4e00\u9fff", "ko": "\uac00\ud7a3", "ru": "\u0400\u052f", "ar": "\u0600\u06ff"}
+#: Sources reach the chain as one of so many features by hash, however many there are.
+SOURCE_FEATURES = 64
 
 
 @dataclass(frozen=True)
 class SubjectConfig:
-    """max_train_docs bounds the labelled documents that are fitted; everything else covers all documents."""
+    """max_train_docs and max_train_chars bound the labelled documents that are fitted; everything else covers all documents."""
 
     max_train_docs: int = 6_000
+    max_train_chars: int = 40_000_000
     em_rounds: int = 4
     min_count: int = 3
     min_gain: float = 0.7
@@ -49,7 +61,6 @@ class Terms(NamedTuple):
 class SubjectModel:
     subjects: list[str]
     terms: dict[str, Terms]
-    sources: list[str] = field(default_factory=list)
     chain: np.ndarray | None = None
     kept: np.ndarray | None = None  # share of true labels that labellers give: [link, another label before it]
 
@@ -68,8 +79,8 @@ def tokenize(texts: pa.Array) -> Tokens:
     arr = pc.utf8_lower(pc.fill_null(texts, ""))
     arr = pc.replace_substring_regex(arr, pattern=r"(?m)^[ \t]*\[[^\]\n]*\][ \t]*$", replacement="")
     arr = pc.replace_substring_regex(arr, pattern=r"[.!?]+(?:\s|$)|[。！？\n]+", replacement=" \x01 ")
-    arr = pc.replace_substring_regex(arr, pattern=r"([\x{4e00}-\x{9fff}])", replacement=r" \1 ")
-    lists = pc.split_pattern_regex(arr, pattern=r"[^a-z\x{df}-\x{24f}\x{4e00}-\x{9fff}\x01]+")
+    arr = pc.replace_substring_regex(arr, pattern=r"([\x{3041}-\x{30ff}\x{4e00}-\x{9fff}])", replacement=r" \1 ")
+    lists = pc.split_pattern_regex(arr, pattern=r"[^\p{L}\p{M}\x01]+")
     n = len(lists)
     enc = lists.flatten().dictionary_encode()
     code, words = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary.to_pylist()
@@ -85,12 +96,22 @@ def tokenize(texts: pa.Array) -> Tokens:
         sentence = np.cumsum(np.concatenate([[0], sentence[1:] != sentence[:-1]]))
     first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.zeros(0, np.int64)
     count = np.bincount(doc[first], minlength=n)
-    kind = np.zeros(len(words), np.int64)
+    small = {w: LANGUAGES.index(k) for k in reversed(_SMALL) for w in _SMALL[k]}
+    script = np.full(len(words), -1, np.int64)
+    told = np.full(len(words), -1, np.int64)
     for i, w in enumerate(words):
-        kind[i] = 3 if len(w) == 1 and "一" <= w <= "鿿" else 1 if w in _SMALL["en"] else 2 if w in _SMALL["es"] else 0
-    en, es, zh = (np.bincount(doc[kind[code] == k], minlength=n) for k in (1, 2, 3))
+        if w[:1] >= "\u0370":
+            script[i] = next((LANGUAGES.index(k) for k, (lo, hi) in _SCRIPTS.items() if lo <= w[0] <= hi), len(LANGUAGES) - 1)
+        else:
+            told[i] = small.get(w, -1)
     total = np.bincount(doc, minlength=n)
-    lang = np.where(2 * zh > total, 2, np.where(es > en, 1, 0))
+    votes = np.stack([np.bincount(doc[told[code] == k], minlength=n) for k in range(len(LANGUAGES))], 1)
+    lang = votes.argmax(1)  # the first of the list where nothing tells
+    # a document mostly of another script has the language of that script; kana tell Japanese from Chinese
+    of = np.stack([np.bincount(doc[script[code] == k], minlength=n) for k in range(len(LANGUAGES))], 1)
+    foreign = 2 * of.sum(1) > total
+    kana = LANGUAGES.index("ja")
+    lang = np.where(foreign, np.where(10 * of[:, kana] > total, kana, of.argmax(1)), lang)
     return Tokens(code, doc, sentence, words, count, lang)
 
 
@@ -151,12 +172,20 @@ def _fit_terms(t: Tokens, lang: int, labels: list[set[int]], n: int, cfg: Subjec
     )
 
 
-def subject_shares(model: SubjectModel, t: Tokens) -> np.ndarray:
-    """Share of the sentences of each document that each subject holds."""
+class Evidence(NamedTuple):
+    """What the terms of each document say of each subject."""
+
+    shares: np.ndarray  # of its sentences
+    mean: np.ndarray  # gain of its terms per sentence
+    best: np.ndarray  # gain of the best sentence
+
+
+def subject_evidence(model: SubjectModel, t: Tokens) -> Evidence:
+    """Share of the sentences of each document that each subject holds, and the strength of its terms."""
     n, k = len(t.sentences), len(model.subjects)
-    shares = np.zeros((n, k))
+    shares, mean, top = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
     if not len(t.code):
-        return shares
+        return Evidence(shares, mean, top)
     where = {w: i for i, w in enumerate(t.words)}
     sents = int(t.sentence[-1]) + 1
     doc_of = np.zeros(sents, np.int64)
@@ -183,11 +212,14 @@ def subject_shares(model: SubjectModel, t: Tokens) -> np.ndarray:
             sent.append(t.sentence[at[ok]])
         hit, s = np.concatenate(hits), np.concatenate(sent)
         score = np.stack([np.bincount(s, weights=terms.gain[hit, j], minlength=sents) for j in range(k)], 1)
+        np.add.at(mean, doc_of, score)
+        np.maximum.at(top, doc_of, score)
         best = score.argmax(1)
         about = np.where(score[np.arange(sents), best] >= 1.0, best, about)
     told = about >= 0
     np.add.at(shares, (doc_of[told], about[told]), 1)
-    return shares / np.maximum(1, t.sentences)[:, None]
+    each = np.maximum(1, t.sentences)[:, None]
+    return Evidence(shares / each, np.clip(mean / each, -2, 4) / 4, np.clip(top, 0, 12) / 12)
 
 
 # --- the chain --------------------------------------------------------------------------------------------------------
@@ -197,19 +229,24 @@ def _source(values: pd.Series) -> pd.Series:
     return values.fillna("").str.strip().str.lower()
 
 
-def _static(model: SubjectModel, t: Tokens, source: pd.Series) -> np.ndarray:
-    """Source and structure features of each document."""
-    src = _source(source).to_numpy()
-    cols = [np.ones(len(src)), np.log1p(t.sentences) / 5, t.lang == 1, t.lang == 2, *[src == s for s in model.sources]]
-    return np.stack([np.asarray(c, float) for c in cols], 1)
+def _static(t: Tokens, source: pd.Series) -> np.ndarray:
+    """Source and structure features of each document; a missing source is a source of its own."""
+    slot = _source(source).map(lambda x: xxhash.xxh32_intdigest(x) % SOURCE_FEATURES).to_numpy(np.int64)
+    out = np.zeros((len(slot), 2 + len(LANGUAGES) + SOURCE_FEATURES))
+    row = np.arange(len(slot))
+    out[:, 0], out[:, 1] = 1, np.log1p(t.sentences) / 5
+    out[row, 2 + t.lang] = 1
+    out[row, 2 + len(LANGUAGES) + slot] = 1
+    return out
 
 
-def _link(shares: np.ndarray, k: int, static: np.ndarray, before: np.ndarray) -> np.ndarray:
+def _link(e: Evidence, k: int, static: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Features of link k; before: the labels of the links before it, 0 for later ones."""
-    s = shares[:, k]
-    other = np.delete(shares, k, 1).max(1) if shares.shape[1] > 1 else np.zeros(len(s))
+    s = e.shares[:, k]
+    other = np.delete(e.shares, k, 1).max(1) if e.shares.shape[1] > 1 else np.zeros(len(s))
     bends = np.stack([np.clip((s - a) / w, 0, 1) for a, w in ((0.0, 0.15), (0.15, 0.15), (0.28, 0.1), (0.4, 0.2), (0.6, 0.4))], 1)
-    return np.concatenate([static, bends, other[:, None], before, before.sum(1, keepdims=True) > 0], 1)
+    terms = np.stack([e.mean[:, k], e.best[:, k], other], 1)
+    return np.concatenate([static, bends, terms, before, before.sum(1, keepdims=True) > 0], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
@@ -222,41 +259,73 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12
     return w
 
 
+def _take(t: Tokens, docs: np.ndarray) -> Tokens:
+    """The tokens of some documents (a mask), numbered anew."""
+    keep = docs[t.doc]
+    new = np.cumsum(docs) - 1
+    sentence = t.sentence[keep]
+    if len(sentence):
+        sentence = np.cumsum(np.concatenate([[0], sentence[1:] != sentence[:-1]]))
+    return Tokens(t.code[keep], new[t.doc[keep]], sentence, t.words, t.sentences[docs], t.lang[docs])
+
+
+def _rows(e: Evidence, docs: np.ndarray) -> Evidence:
+    return Evidence(*(x[docs] for x in e))
+
+
+def _fit_chain(model: SubjectModel, e: Evidence, static: np.ndarray, y: np.ndarray) -> np.ndarray:
+    # only documents with a subject get labels; what has no sentence on any subject has none, which must be learned too
+    e = Evidence(*(np.concatenate([x, np.zeros_like(x)]) for x in e))
+    static, y = np.tile(static, (2, 1)), np.concatenate([y, np.zeros_like(y)])
+    links = range(len(model.subjects))
+    return np.stack([_logistic(_link(e, k, static, np.where(np.arange(len(links)) < k, y, 0)), y[:, k]) for k in links])
+
+
+def _fit(t: Tokens, static: np.ndarray, have: list[set[int]], y: np.ndarray, subjects: list[str], cfg: SubjectConfig) -> SubjectModel:
+    model = SubjectModel(subjects, {name: _fit_terms(t, i, have, len(subjects), cfg) for i, name in enumerate(LANGUAGES)})
+    model.chain = _fit_chain(model, subject_evidence(model, t), static, y)
+    return model
+
+
 def fit_subjects(texts: pa.Array, source: pd.Series, labels: list[set[str]], subjects: list[str], cfg: SubjectConfig = SubjectConfig()) -> SubjectModel:
-    """Fit terms and chain on labelled documents. Labels may be missing or wrong; unknown subjects are ignored."""
+    """Fit terms and chain on labelled documents. Labels may be missing or wrong; unknown subjects are ignored.
+
+    Calibration: of documents that are clearly about a subject, the mean probability under a model fitted on the other
+    half of the documents is the share of true labels that labellers give.
+    """
     no = {s: i for i, s in enumerate(subjects)}
     have = [{no[s] for s in ls if s in no} for ls in labels]
     t = tokenize(texts)
-    model = SubjectModel(subjects, {name: _fit_terms(t, i, have, len(subjects), cfg) for i, name in enumerate(LANGUAGES)})
-    model.sources = sorted(set(_source(source).value_counts().index[:50]) - {""})
+    static = _static(t, source)
     y = np.zeros((len(have), len(subjects)))
     for d, ls in enumerate(have):
         y[d, list(ls)] = 1
-    shares, static = subject_shares(model, t), _static(model, t, source)
-    # only documents with a subject get labels; what has no sentence on any subject has none, which must be learned too
-    real = len(have)
-    shares, static, y = np.concatenate([shares, np.zeros_like(shares)]), np.tile(static, (2, 1)), np.concatenate([y, np.zeros_like(y)])
-    chain, kept = [], np.ones((len(subjects), 2))
-    for k in range(len(subjects)):
-        before = np.where(np.arange(len(subjects)) < k, y, 0)
-        x = _link(shares, k, static, before)
-        w = _logistic(x, y[:, k])
-        chain.append(w)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        for some in (0, 1):
-            clear = (shares[:, k] >= 0.4) & ((before.sum(1) > 0) == some) & (np.arange(len(y)) < real)
-            kept[k, some] = (p[clear].sum() + 1.6) / (clear.sum() + 2)
-    model.chain, model.kept = np.stack(chain), kept
+    model = _fit(t, static, have, y, subjects, cfg)
+    told, clear_docs = np.full((len(subjects), 2), 1.6), np.full((len(subjects), 2), 2.0)
+    half = np.arange(len(have)) % 2 == 0
+    for seen in (half, ~half):
+        if not seen.any() or seen.all():
+            continue
+        other = _fit(_take(t, seen), static[seen], [x for x, s in zip(have, seen) if s], y[seen], subjects, cfg)
+        e, held = subject_evidence(other, _take(t, ~seen)), y[~seen]
+        for k in range(len(subjects)):
+            before = np.where(np.arange(len(subjects)) < k, held, 0)
+            p = 1 / (1 + np.exp(-np.clip(_link(e, k, static[~seen], before) @ other.chain[k], -30, 30)))
+            for some in (0, 1):
+                clear = (e.shares[:, k] >= 0.4) & ((before.sum(1) > 0) == some)
+                told[k, some] += p[clear].sum()
+                clear_docs[k, some] += clear.sum()
+    model.kept = told / clear_docs
     return model
 
 
-def decode(model: SubjectModel, shares: np.ndarray, static: np.ndarray, beam: int) -> np.ndarray:
+def decode(model: SubjectModel, e: Evidence, static: np.ndarray, beam: int) -> np.ndarray:
     """The likeliest label combination of each document, by beam search along the chain."""
-    n, k = shares.shape
+    n, k = e.shares.shape
     paths, logp = np.zeros((n, 1, k)), np.zeros((n, 1))
     for j in range(k):
         b = paths.shape[1]
-        x = _link(np.repeat(shares, b, 0), j, np.repeat(static, b, 0), paths.reshape(n * b, k))
+        x = _link(Evidence(*(np.repeat(v, b, 0) for v in e)), j, np.repeat(static, b, 0), paths.reshape(n * b, k))
         p = 1 / (1 + np.exp(-np.clip(x @ model.chain[j], -30, 30)))
         some = (paths.reshape(n * b, k).sum(1) > 0).astype(int)
         p = np.clip(p / model.kept[j, some], 1e-6, 1 - 1e-6).reshape(n, b)
@@ -271,7 +340,22 @@ def decode(model: SubjectModel, shares: np.ndarray, static: np.ndarray, beam: in
 
 def predict(model: SubjectModel, texts: pa.Array, source: pd.Series, beam: int = 5) -> np.ndarray:
     t = tokenize(texts)
-    return decode(model, subject_shares(model, t), _static(model, t, source), beam)
+    return decode(model, subject_evidence(model, t), _static(t, source), beam)
+
+
+def _training_sample(documents: DataFrame, given: DataFrame, cfg: SubjectConfig) -> pa.Table:
+    """Texts, sources and labels of the labelled documents that are fitted: the first max_train_docs by hash of their id,
+    as long as their texts stay below max_train_chars together. Ids and lengths are drawn first, then those texts only."""
+    labelled = documents.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n")).join(given.select("doc_id"), "doc_id")
+    drawn = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_train_docs).collect()
+    ids, chars = [], 0
+    for r in drawn:
+        if chars + r.n <= cfg.max_train_chars:
+            ids.append((r.doc_id,))
+            chars += r.n
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long"))  # at most max_train_docs ids
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", "source").join(wanted, "doc_id", "left_semi")
+    return texts.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, cfg: SubjectConfig = SubjectConfig()) -> DataFrame:
@@ -279,13 +363,12 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame,
 
     Null and empty texts are about nothing; documents without labels are decoded like all others. Repeated label rows
     count once, labels of unknown documents or areas not at all. Without any label the result is empty. The whole text
-    counts, whatever its length. At most max_train_docs labelled documents, by hash of their id, are fitted.
+    counts, whatever its length. At most max_train_docs labelled documents, by hash of their id, are fitted; SubjectConfig
+    bounds their texts too.
     """
     subjects = sorted({r.subject for r in areas.select("subject").distinct().collect() if r.subject is not None})
     given = labels.where(F.col("subject").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    train = (
-        documents.where(F.col("text").isNotNull()).select("doc_id", "text", "source").join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_train_docs).toArrow()
-    )
+    train = _training_sample(documents, given, cfg)
     schema = "doc_id long, subject string"
     if not train.num_rows:
         return documents.sparkSession.createDataFrame([], schema)

@@ -46,11 +46,40 @@ def test_pack_takes_the_cheapest_sequence_with_room():
     assert list(pack(np.array([], np.int64), 10, 0.1)) == []
 
 
+def test_pack_equals_a_search_of_all_sequences():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        capacity = int(r.integers(5, 60))
+        sizes = r.integers(1, capacity + 1, int(r.integers(1, 60)))
+        room, cost = [capacity] * -(-int(sizes.sum()) // capacity), {}
+        cost = [0.0] * len(room)
+        want = [0] * len(sizes)
+        for i in np.argsort(-sizes, kind="stable"):
+            n = int(sizes[i])
+            fits = [j for j in range(len(room)) if room[j] >= n]
+            if not fits:
+                fits = [len(room)]
+                room.append(capacity)
+                cost.append(0.0)
+            j = min(fits, key=lambda j: (cost[j], j))
+            want[i] = j
+            room[j] -= n
+            cost[j] += n + 0.01 * n * n
+        assert list(pack(sizes, capacity, 0.01)) == want
+
+
+def test_number_of_buckets_changes_no_mix(spark):
+    df = spark.range(2000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', 'b') source", "1 + id % 70 n_tokens")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 1)], "source string, target_share double, max_repeats int")
+    one, many = ([tuple(r) for r in mix_sources(df, targets, MixConfig(bucket_rows=n)).collect()] for n in (10_000, 20))
+    assert one == many
+
+
 def test_mix_reaches_shares_and_caps_repeats(spark):
     df = spark.range(3000).selectExpr("id doc_id", "case when id % 30 = 0 then ' Rare ' when id % 3 = 0 then 'HOT' else 'other' end source", "1 + id % 50 n_tokens")
     df = df.unionByName(spark.createDataFrame([(9000, None, 5), (9001, "rare", 0), (9002, "unlisted", 5)], "doc_id long, source string, n_tokens long"))
     targets = spark.createDataFrame([("rare", 0.3, 2), ("hot", 0.5, 1), ("other", 0.1, 1), ("missing", 0.1, 4)], "source string, target_share double, max_repeats int")
-    out = mix_sources(df, targets, MixConfig(bucket_bits=4))
+    out = mix_sources(df, targets, MixConfig(bucket_rows=300))
     rep = {r.source: r for r in mix_report(out, targets).collect()}
     for s, share in (("rare", 3 / 9), ("hot", 5 / 9), ("other", 1 / 9)):
         assert rep[s].reached_share == pytest.approx(share, abs=0.02)
