@@ -16,7 +16,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import materialize
 
-FANOUT_BITS = 4
+FANOUT_BITS = 6
+#: Keys that share a leaf, about; leaves must hold few keys, or each differs in every snapshot and nothing is pruned.
+KEYS_PER_LEAF = 16
+
+
+def leaf_bits_for(rows: DataFrame, keys: list[str]) -> int:
+    """Bits of the leaf numbers of a tree over these keys, in whole levels; from an approximate count of the keys."""
+    n = rows.agg(F.approx_count_distinct(F.xxhash64(*keys), 0.05)).first()[0] or 0
+    levels = -(-max(1, n // KEYS_PER_LEAF).bit_length() // FANOUT_BITS)
+    return FANOUT_BITS * max(1, levels)
 
 
 def _mark(c: str) -> Column:
@@ -24,7 +33,7 @@ def _mark(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("x"))
 
 
-def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: str, leaf_bits: int = 12) -> DataFrame:
+def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: str, leaf_bits: int) -> DataFrame:
     """(snap, leaf) whose digest differs from that of the snapshot before it.
 
     ``rows`` has the columns leaf and _chunk and is already partitioned by them, so that its groups need no shuffle. A
@@ -59,12 +68,8 @@ def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: st
     return found.join(F.broadcast(order), "_no").select(snap, F.col("node").alias("leaf"))
 
 
-#: Changed leaves up to this number are broadcast to the rows; more are joined by shuffle.
-BROADCAST_LEAVES = 2_000_000
-
-
 def version_history(
-    df: DataFrame, keys: list[str], value: Column, at: Column, tie: Column, snap: Column, chunk: Column | None = None, pick: Column | None = None, leaf_bits: int = 12
+    df: DataFrame, keys: list[str], value: Column, at: Column, tie: Column, snap: Column, chunk: Column | None = None, pick: Column | None = None, leaf_bits: int | None = None
 ) -> DataFrame:
     """Rows (keys, held_value, from_at, to_at): one row per version, to_at null while it holds.
 
@@ -73,7 +78,8 @@ def version_history(
     pick counts of a key and time. ``snap`` names the snapshot or update period of a row and must grow with ``at``;
     ``chunk`` is snap or coarser and spreads a hot key over tasks. Without a chunk a key is one group, which suits
     keys of one row per snapshot. Rows whose ``at`` is null do not count. Null key values form a key of their own.
-    Repeated rows change nothing. An empty input gives an empty result.
+    Repeated rows change nothing. An empty input gives an empty result. The number of leaves follows from that of the
+    keys unless leaf_bits is given.
 
     One shuffle by (leaf, chunk) serves the duplicates, the tree and the diff, as all of them group by more than that.
     """
@@ -83,6 +89,7 @@ def version_history(
         *[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("_val"), at.alias("_at"), tie.alias("_tie"), snap.alias("_snap"),
         (chunk if stitched else F.lit(0)).alias("_chunk"), (pick if pick is not None else F.lit(0)).alias("_pick"),
     ).where(F.col("_at").isNotNull())
+    leaf_bits = leaf_bits or leaf_bits_for(rows, names)
     rows = rows.withColumn("leaf", F.pmod(F.xxhash64(*names), F.lit(1 << leaf_bits))).repartition("leaf", "_chunk")
     own = ["leaf", "_chunk", *names, "_snap", "_at"]
     if pick is not None:
@@ -90,8 +97,6 @@ def version_history(
     else:
         rows = rows.groupBy(*own, "_val").agg(F.min("_tie").alias("_tie"))
     changed = merkle_changed_leaves(rows, names, "_snap", "_val", leaf_bits)
-    if changed.count() <= BROADCAST_LEAVES:
-        changed = F.broadcast(changed)
     rows = rows.join(changed, ["_snap", "leaf"], "left_semi")
     order = [F.col("_at"), F.col("_tie"), _mark("_val")]
     in_chunk = Window.partitionBy("leaf", "_chunk", *names).orderBy(*order)
