@@ -47,6 +47,16 @@ def test_periods_match_brute_force(spark, rows):
     assert got == want
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", None]), st.integers(0, 40), st.one_of(st.none(), st.integers(0, 60))), max_size=30))
+def test_periods_are_stitched_over_many_slices(spark, rows):
+    rows = [(k, a * 24, None if b is None else b * 24) for k, a, b in rows]
+    df = spark.createDataFrame([(k, at(a), at(b), "x") for k, a, b in rows], "k string, f timestamp, t timestamp, period_from string")
+    secs = lambda h: -1 if h == float("inf") else int((T0 + dt.timedelta(hours=h)).replace(tzinfo=dt.timezone.utc).timestamp())
+    want = sorted([(k, p, secs(a), secs(b)) for k, p, a, b in brute_periods(rows)], key=str)
+    assert sorted([tuple(r) for r in periods_and_gaps(df, ["k"], "f", "t", slice_days=3).collect()], key=str) == want
+
+
 def test_hot_key_and_repeats_merge_into_one_period(spark):
     df = spark.range(4000).selectExpr("'hot' k", "timestamp'2020-01-01' + make_interval(0,0,0,0,id) f", "timestamp'2020-01-01' + make_interval(0,0,0,0,id+1) t")
     out = merge_intervals(df.unionByName(df), ["k"], "f", "t").collect()
