@@ -268,7 +268,8 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     rows = rows.where(F.length("text") >= 2 * cfg.min_words - 1)  # a word has a letter and a blank after it
     tokens = materialize(_tokenized(rows, cfg), "neardup_tokens")
     members = tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct()
-    classes = tokens.where(F.col("elements").isNotNull()).groupBy("cls").agg(F.first("elements").alias("elements"))
+    # one shuffle of the elements serves the bands and both sides of the verification
+    classes = tokens.where(F.col("elements").isNotNull()).select("cls", "elements").repartition("cls").groupBy("cls").agg(F.max("elements").alias("elements"))
     freq, docs = np.zeros(0, np.float32), 0
     if cfg.idf_power:
         rows_of = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
