@@ -22,10 +22,9 @@ KEYS_PER_LEAF = 16
 
 
 def leaf_bits_for(rows: DataFrame, keys: list[str]) -> int:
-    """Bits of the leaf numbers of a tree over these keys, in whole levels; from an approximate count of the keys."""
+    """Bits of the leaf numbers of a tree over these keys, from an approximate count of the keys."""
     n = rows.agg(F.approx_count_distinct(F.xxhash64(*keys), 0.05)).first()[0] or 0
-    levels = -(-max(1, n // KEYS_PER_LEAF).bit_length() // FANOUT_BITS)
-    return FANOUT_BITS * max(1, levels)
+    return max(1, (n // KEYS_PER_LEAF).bit_length())
 
 
 def _mark(c: str) -> Column:
@@ -64,8 +63,8 @@ def merkle_changed_leaves(rows: DataFrame, keys: list[str], snap: str, value: st
         up = parents.select("_no", F.col("node").alias("_up"))
         return differing(children).withColumn("_up", F.shiftright("node", FANOUT_BITS)).join(up, ["_no", "_up"], "left_semi").select("_no", "node")
 
-    found = materialize(reduce(descend, reversed(levels[:-1]), differing(levels[-1])), "merkle_changed")
-    return found.join(F.broadcast(order), "_no").select(snap, F.col("node").alias("leaf"))
+    found = reduce(descend, reversed(levels[:-1]), differing(levels[-1]))
+    return materialize(found.join(F.broadcast(order), "_no").select(snap, F.col("node").alias("leaf")), "merkle_changed")
 
 
 def version_history(
