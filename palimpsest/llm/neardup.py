@@ -219,7 +219,8 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                     for column in v:
                         least = np.minimum.reduceat(column.take(inv), starts)
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least.view(np.uint32).astype(np.uint64))
-                    keys[:, j] = key
+                    # 48 bits are enough: 15 billion rows meet by chance in less than a million pairs, which are verified
+                    keys[:, j] = key >> np.uint64(16)
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
                 size = pa.array(np.repeat(sizes, cfg.bands).astype(np.int32))
                 sketch = pa.array(np.repeat(_sketches(uniq, inv, starts, cfg.seed).view(np.int64), cfg.bands))
@@ -269,7 +270,7 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     tokens = materialize(_tokenized(rows, cfg), "neardup_tokens")
     members = tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct()
     # one shuffle of the elements serves the bands and both sides of the verification
-    classes = tokens.where(F.col("elements").isNotNull()).select("cls", "elements").repartition("cls").groupBy("cls").agg(F.max("elements").alias("elements"))
+    classes = tokens.where(F.col("elements").isNotNull() & F.col("cls").isNotNull()).select("cls", "elements").repartition("cls").groupBy("cls").agg(F.max("elements").alias("elements"))
     freq, docs = np.zeros(0, np.float32), 0
     if cfg.idf_power:
         rows_of = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
@@ -279,8 +280,8 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     # sets of too different sizes cannot reach the threshold, and those of too different sketches hardly ever
     pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9)))
     pairs = pairs.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= _sketch_limit(cfg.threshold))
-    # shuffled by a once, for the distinct pairs and for the join with a's elements
-    pairs = pairs.select("a", "b").repartition("a").dropDuplicates(["a", "b"])
+    # similar classes meet in many bands, so most of their repeats go before the shuffle
+    pairs = pairs.select("a", "b").dropDuplicates(["a", "b"])
     return members, _verified(pairs, classes, cfg)
 
 
