@@ -196,7 +196,11 @@ def _sketch_limit(threshold: float) -> int:
 
 
 def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
-    """(band, cls, size, sketch): for each class and band a hash of the band's number and samples; its elements and sketch."""
+    """(band, cls, sketch): for each class and band 48 bits of a hash of the band's number and samples, then 16 bits of its size.
+
+    48 bits are enough: 15 billion rows meet by chance in less than a million pairs, which are verified. Sizes from
+    65,535 elements on count as that.
+    """
     shift = np.uint32(32 - cfg.df_bits)
     shared = classes.sparkSession.sparkContext.broadcast(freq) if cfg.idf_power else None
 
@@ -219,16 +223,14 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                     for column in v:
                         least = np.minimum.reduceat(column.take(inv), starts)
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least.view(np.uint32).astype(np.uint64))
-                    # 48 bits are enough: 15 billion rows meet by chance in less than a million pairs, which are verified
-                    keys[:, j] = key >> np.uint64(16)
+                    keys[:, j] = (key & ~np.uint64(0xFFFF)) | np.minimum(sizes, 0xFFFF).astype(np.uint64)
                 cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
-                size = pa.array(np.repeat(sizes, cfg.bands).astype(np.int32))
                 sketch = pa.array(np.repeat(_sketches(uniq, inv, starts, cfg.seed).view(np.int64), cfg.bands))
-                out = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), size, sketch], names=["band", "cls", "size", "sketch"])
+                out = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), sketch], names=["band", "cls", "sketch"])
                 for at in range(0, out.num_rows, 100_000):  # the JVM holds one batch at a time
                     yield out.slice(at, 100_000)
 
-    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, size int, sketch long")
+    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, sketch long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -276,9 +278,11 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
         rows_of = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
         freq, docs = _document_frequencies(classes.join(rows_of, "cls"), cfg.df_bits)
     bands = _bands(classes, freq, docs, cfg)
-    left, right = (bands.select("band", F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    left, right = (bands.select(F.col("band").alias(f"k{c}"), F.col("cls").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    na, nb = (F.col(f"k{c}").bitwiseAND(F.lit(0xFFFF)) for c in "ab")
     # sets of too different sizes cannot reach the threshold, and those of too different sketches hardly ever
-    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9)))
+    pairs = left.join(right, F.shiftright("ka", 16) == F.shiftright("kb", 16))
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.least(na, nb) >= F.lit(cfg.threshold) * F.greatest(na, nb) - F.lit(1e-9)))
     pairs = pairs.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= _sketch_limit(cfg.threshold))
     # similar classes meet in many bands, so most of their repeats go before the shuffle
     pairs = pairs.select("a", "b").dropDuplicates(["a", "b"])
