@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.session import materialize
 
 # Trust by source, half-life in days by kind, and the weights of the write gate.
 SOURCE_TRUST = {"user": 0.95, "user_correction": 0.99, "verified_tool": 0.90, "tool": 0.72, "imported": 0.62, "assistant_inference": 0.46, "unknown": 0.40}
@@ -40,6 +41,28 @@ def decayed(df: DataFrame, now: Column, mass: str = "mass", confidence: str = "c
     return df.withColumns({mass: F.when(moved, F.greatest(F.lit(0.03), F.col(mass) * f)).otherwise(F.col(mass)), confidence: F.when(moved, F.greatest(F.lit(0.05), F.col(confidence) * F.sqrt(f))).otherwise(F.col(confidence))})
 
 
+def nearest_earlier(rows: DataFrame, id_col: str, part: str, at: str, tokens: str, block: int = 512) -> DataFrame:
+    """(id, near): the greatest Jaccard similarity of a row's tokens to those of any earlier row of its part.
+
+    ``part`` is one string per scope. Rows of a part are numbered by time and id and cut into blocks; a block meets the
+    blocks before it, one pair of blocks in a task, so that a part of any size is spread over many tasks. All earlier
+    rows count: the work is quadratic in a part. The first row of a part has none; equal times go by id.
+    """
+    order = Window.partitionBy(part).orderBy(at, id_col)
+    t = rows.select(F.col(id_col).alias("i"), F.xxhash64(part).alias("p"), F.transform(tokens, lambda x: F.xxhash64(x)).alias("t"), F.row_number().over(order).alias("n"))
+    t = materialize(t.withColumn("b", F.floor(F.col("n") / block)), "nearest_earlier")
+    groups = t.groupBy("p", "b").agg(F.collect_list(F.struct("n", "t")).alias("held"))  # at most ``block`` rows in a cell
+    groups = groups.withColumn("last", F.max("b").over(Window.partitionBy("p")))
+    sent = groups.withColumn("to", F.explode(F.sequence("b", "last"))).select("p", F.col("to").alias("b"), "held")
+
+    def similarity(row: Column) -> Column:
+        both = F.size(F.array_intersect(F.col("t"), row["t"]))
+        return F.when((F.size("t") == 0) | (F.size(row["t"]) == 0) | (row["n"] >= F.col("n")), F.lit(0.0)).otherwise(both / (F.size("t") + F.size(row["t"]) - both))
+
+    near = t.join(sent, ["p", "b"]).select("i", F.aggregate("held", F.lit(0.0), lambda best, row: F.greatest(best, similarity(row))).alias("s"))
+    return near.groupBy(F.col("i").alias(id_col)).agg(F.max("s").alias("near"))
+
+
 def write_features(df: DataFrame, text: str, source: str, importance: str, entities: str, nearest: Column) -> DataFrame:
     """Nine features of a write and the gate's probability; nearest is the greatest similarity to what is stored."""
     df = df.withColumn("_tokens", T.memory_tokens(text))  # cut once for all cues

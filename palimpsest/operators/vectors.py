@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialize
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double precision; 0 where lengths differ or a vector is missing."""
@@ -92,3 +94,45 @@ def sign_neighbours(vectors: DataFrame, id_col: str, vec: str, dim: int, every:
 def max_sim(pairs: DataFrame, query: str, doc: str) -> Column:
     """Late interaction of two arrays of token vectors: for each query token its best document token, summed."""
     return F.aggregate(F.transform(F.col(query), lambda q: F.array_max(F.transform(F.col(doc), lambda d: dot(q, d)))), F.lit(0.0), lambda a, x: a + x)
+
+
+#: Centroids go to the executors as one array if they have no more numbers than this (16 MB); more are joined by blocks.
+MOST_CENTROID_NUMBERS = 2_000_000
+
+
+def centroid_table(rows: DataFrame, cluster: str, vector: str, weight: Column | None = None) -> DataFrame:
+    """(cluster, centre): unit centroid of each cluster as one array."""
+    c = weighted_centroids(rows, cluster, vector, F.lit(1.0) if weight is None else weight)
+    return c.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("centre"))
+
+
+def against_centroids(rows: DataFrame, vector: str, centres: DataFrame, name: str) -> DataFrame:
+    """Every row with every centroid as (columns of rows but the vector, name, score); no join where the centroids are few.
+
+    ``centres`` has the cluster and its centre. Up to MOST_CENTROID_NUMBERS numbers they are one literal of the plan, so
+    that rows are only projected; beyond, rows and centroids meet in blocks of 256 centroids.
+    """
+    cluster = centres.columns[0]
+    centres = materialize(centres, "centroids")
+    size = centres.agg(F.sum(F.size("centre"))).first()[0] or 0
+    keep = [c for c in rows.columns if c != vector]
+    score = lambda c: F.round(dot(F.col(vector), c), 5)
+    if size <= MOST_CENTROID_NUMBERS:
+        found = centres.orderBy(cluster).collect()
+        kind = centres.schema[cluster].dataType
+        if not found:
+            return rows.select(*keep, F.lit(None).cast(kind).alias(name), F.lit(None).cast("double").alias("score")).limit(0)
+        pairs = [F.struct(F.lit(r[0]).cast(kind).alias(name), score(F.lit([float(x) for x in r[1]])).alias("score")) for r in found]
+        return rows.select(*keep, F.inline(F.array(*pairs)))
+    block = F.pmod(F.xxhash64(cluster), F.lit(-(-size // 65536)))
+    blocks = centres.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col(cluster).alias(name), F.col("centre"))).alias("_c"))
+    wide = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-size // 65536) - 1).cast("long")))).join(blocks, "_b")
+    return wide.select(*keep, F.inline(F.transform("_c", lambda x: F.struct(x[name].alias(name), score(x["centre"]).alias("score")))))
+
+
+def best_centroid(rows: DataFrame, vector: str, centres: DataFrame, name: str) -> DataFrame:
+    """(columns of rows but the vector, name, score): the best centroid of each row, ties to the lesser one."""
+    keep = [c for c in rows.columns if c != vector]
+    all_of = against_centroids(rows, vector, centres, name)
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col(name))).alias("_b")
+    return all_of.groupBy(*keep).agg(best).select(*keep, f"_b.{name}", (-F.col("_b.s")).alias("score"))

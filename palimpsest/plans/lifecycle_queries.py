@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import lifecycle as C
 from palimpsest.operators import vectors as V
-from palimpsest.session import materialize, read_table
+from palimpsest.session import read_table
 
 NOW = "2026-03-01 00:00:00"
 
@@ -33,12 +33,9 @@ def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """For each vector the label whose centroid is nearest, by cosine; the few centroids are broadcast."""
-    e = read_table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", "embedding")
-    c = V.weighted_centroids(e, "label", "embedding", F.lit(1.0)).groupBy(F.col("label").alias("star")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("centre"))
-    s = e.join(F.broadcast(c), F.lit(True)).withColumn("score", F.round(V.dot(F.col("embedding"), F.col("centre")), 5))
-    best = s.groupBy("vec_id").agg(F.max_by(F.struct("star", "score"), F.struct("score", -F.col("star"))).alias("b"))
-    return best.select("vec_id", F.col("b.star").alias("star"), F.col("b.score").alias("score"))
+    """For each vector the label whose centroid is nearest, by cosine; rows are projected, not shuffled."""
+    e = read_table(spark, d, "embeddings").where("embedding is not null and label is not null").select("vec_id", "label", "embedding")
+    return V.best_centroid(e.select("vec_id", "embedding"), "embedding", V.centroid_table(e, "label", "embedding"), "star")
 
 
 def sign_hash_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -57,16 +54,18 @@ def text_entities(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "memory_writes").where("text is not null").select("write_id", F.concat_ws("|", T.text_entities("text", "entities")).alias("entities")).distinct()
 
 
+def first_deliveries(writes: DataFrame) -> DataFrame:
+    """One whole row per write_id: the delivery received first (unknown times come first), ties by the whole row."""
+    rest = [c for c in writes.columns if c not in ("write_id", "received_at")]
+    best = F.min(F.struct("received_at", *rest)).alias("_d")
+    return writes.where("write_id is not null").groupBy("write_id").agg(best).select("write_id", "_d.*")
+
+
 def write_gate(spark: SparkSession, d: str) -> DataFrame:
     """Gate probability of every write, with the greatest token overlap to any earlier write of its scope as similarity."""
-    w = read_table(spark, d, "memory_writes").where("text is not null and write_id is not null")
-    w = w.groupBy("write_id").agg(*[F.min(c).alias(c) for c in ("tenant_id", "scope", "text", "source", "explicit_importance", "entities", "written_at")])
-    order = Window.partitionBy("tenant_id", "scope").orderBy("written_at", "write_id")
-    t = w.select("tenant_id", "scope", "write_id", F.transform(F.array_distinct(T.memory_tokens("text")), lambda x: F.xxhash64(x)).alias("tok"), F.row_number().over(order).alias("ord"))
-    t = materialize(t, "gate_tokens")
-    a, b = (t.toDF(*[f"{c}_{s}" for c in t.columns]) for s in "ab")
-    pairs = a.join(b, F.col("tenant_id_a").eqNullSafe(F.col("tenant_id_b")) & F.col("scope_a").eqNullSafe(F.col("scope_b")) & (F.col("ord_b") < F.col("ord_a")))
-    near = pairs.groupBy(F.col("write_id_a").alias("write_id")).agg(F.max(T.jaccard(F.col("tok_a"), F.col("tok_b"))).alias("near"))
+    w = first_deliveries(read_table(spark, d, "memory_writes").where("text is not null").select("write_id", "received_at", "tenant_id", "scope", "text", "source", "explicit_importance", "entities", "written_at"))
+    t = w.select("write_id", F.concat_ws("\x01", F.coalesce("tenant_id", F.lit("\x02")), F.coalesce("scope", F.lit("\x02"))).alias("part"), F.array_distinct(T.memory_tokens("text")).alias("tok"), "written_at")
+    near = C.nearest_earlier(t, "write_id", "part", "written_at", "tok")
     w = w.join(near, "write_id", "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
     return C.write_features(w, "text", "source", "explicit_importance", "entities", F.col("near")).select("write_id", F.round("near", 6).alias("redundancy"), F.round("probability", 6).alias("probability"))
 
@@ -146,9 +145,10 @@ SQL = {
     "injection_risk": f"SELECT DISTINCT write_id, round({T.sql_injection_risk('text')}, 6) AS risk FROM memory_writes WHERE text IS NOT NULL",
     "memory_kind": f"SELECT DISTINCT write_id, {T.sql_memory_kind('text', 'lower(trim(kind))')} AS kind FROM memory_writes WHERE text IS NOT NULL",
     "text_entities": f"SELECT DISTINCT write_id, array_to_string({T.sql_text_entities('text', 'entities')}, '|') AS entities FROM memory_writes WHERE text IS NOT NULL",
-    "write_gate": f"""WITH w AS (SELECT write_id, min(tenant_id) AS tenant_id, min(scope) AS scope, min(text) AS text, min(source) AS source, min(explicit_importance) AS imp, min(entities) AS entities, min(written_at) AS written_at FROM memory_writes WHERE text IS NOT NULL AND write_id IS NOT NULL GROUP BY write_id),
-t AS (SELECT *, list_distinct({T.sql_memory_tokens('text')}) AS tok FROM w), p AS (SELECT *, lag(tok) OVER (PARTITION BY tenant_id, scope ORDER BY written_at NULLS FIRST, write_id) AS prev FROM t),
-n AS (SELECT *, CASE WHEN prev IS NULL OR len(prev) = 0 OR len(tok) = 0 THEN 0.0e0 ELSE len(list_intersect(tok, prev)) / len(list_distinct(list_concat(tok, prev)))::DOUBLE END AS near FROM p),
+    "write_gate": f"""WITH w AS (SELECT write_id, tenant_id, scope, text, source, explicit_importance AS imp, entities, written_at FROM (SELECT *, row_number() OVER (PARTITION BY write_id ORDER BY received_at NULLS FIRST, tenant_id NULLS FIRST, scope NULLS FIRST, text NULLS FIRST, source NULLS FIRST, explicit_importance NULLS FIRST) AS rn FROM memory_writes WHERE text IS NOT NULL AND write_id IS NOT NULL) WHERE rn = 1),
+t AS (SELECT *, list_distinct({T.sql_memory_tokens('text')}) AS tok, row_number() OVER (PARTITION BY tenant_id, scope ORDER BY written_at NULLS FIRST, write_id) AS ord FROM w),
+b AS (SELECT a.write_id, max(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0.0e0 ELSE len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok)))::DOUBLE END) AS near FROM t a JOIN t b ON a.tenant_id IS NOT DISTINCT FROM b.tenant_id AND a.scope IS NOT DISTINCT FROM b.scope AND b.ord < a.ord GROUP BY a.write_id),
+n AS (SELECT t.*, coalesce(near, 0.0e0) AS near FROM t LEFT JOIN b USING (write_id)),
 f AS (SELECT write_id, near, -0.85e0 + 1.8e0 * greatest(0.0e0, least(1.0e0, coalesce(imp, 0.0e0))) + 0.65e0 * (1.0e0 - near) + 1.1e0 * CASE WHEN {T.sql_has_cue('text', T.FUTURE_CUES)} THEN 0.55e0 ELSE 0 END + 1.35e0 * CASE WHEN {T.sql_has_cue('text', T.CORRECTION_CUES)} THEN 1.0e0 ELSE 0 END
  + {_CASE('lower(trim(source))', C.SOURCE_TRUST, 0.4)} + 0.35e0 * least(1.0e0, len({T.sql_text_entities('text', 'entities')}) / 5.0e0) + 0.75e0 * least(1.0e0, 0.35e0 * ({_ACTIONS})) - 0.55e0 * near - 3.2e0 * {T.sql_injection_risk('text')} AS z FROM n)
 SELECT write_id, round(near, 6) AS redundancy, round(1.0e0 / (1.0e0 + exp(-greatest(-30.0e0, least(30.0e0, z)))), 6) AS probability FROM f""",

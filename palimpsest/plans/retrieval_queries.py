@@ -17,7 +17,8 @@ NOW = "2026-03-01 00:00:00"
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     f = read_table(spark, d, "fact_frames").where("evidence is not null and memory_id is not null and fact_id % 20 = 0")
-    return f.groupBy("fact_id").agg(F.min("memory_id").alias("home"), F.min("evidence").alias("query"), F.min("tenant_id").alias("tenant_id"))
+    first = f.groupBy("fact_id").agg(F.min(F.struct("recorded_at", "memory_id", "evidence", "tenant_id")).alias("x"))
+    return first.select("fact_id", F.col("x.memory_id").alias("home"), F.col("x.evidence").alias("query"), F.col("x.tenant_id").alias("tenant_id"))
 
 
 def hybrid_force(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +102,8 @@ def sealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def versioned_fields(spark: SparkSession, d: str) -> DataFrame:
     """Facts as field rows with their state: tombstone (negative), superseded (a later fact of the key) or current."""
     f = read_table(spark, d, "fact_frames").where("subject is not null and asserted_at is not null")
-    f = f.groupBy("tenant_id", "scope", "subject", "predicate", "fact_id", "asserted_at").agg(F.min("object_value").alias("value"), F.min("polarity").alias("polarity"))
+    f = f.groupBy("tenant_id", "scope", "subject", "predicate", "fact_id", "asserted_at").agg(F.min(F.struct("recorded_at", F.col("object_value").alias("value"), "polarity")).alias("x"))
+    f = f.select("tenant_id", "scope", "subject", "predicate", "fact_id", "asserted_at", "x.value", "x.polarity")
     nxt = F.lead("fact_id").over(Window.partitionBy("tenant_id", "scope", "subject", "predicate").orderBy("asserted_at", "fact_id"))
     state = F.when(F.col("polarity") < 0, "tombstone").when(nxt.isNotNull(), "superseded").otherwise("current")
     return f.select("fact_id", "value", state.alias("state"))
@@ -141,7 +143,7 @@ e AS (SELECT scope, subject, object_value, 1.0e0 AS w FROM (SELECT *, row_number
 
 
 SQL = {
-    "hybrid_force": f"""WITH q AS (SELECT fact_id, min(tenant_id) AS tenant_id, min(evidence) AS query FROM fact_frames WHERE evidence IS NOT NULL AND memory_id IS NOT NULL AND fact_id % 20 = 0 GROUP BY fact_id),
+    "hybrid_force": f"""WITH q AS (SELECT fact_id, tenant_id, evidence AS query FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY recorded_at NULLS FIRST, memory_id, evidence, tenant_id NULLS FIRST) AS rn FROM fact_frames WHERE evidence IS NOT NULL AND memory_id IS NOT NULL AND fact_id % 20 = 0) WHERE rn = 1),
 qq AS (SELECT fact_id, tenant_id, list_distinct({_TOK('query')}) AS q, {_ITEMS('query')} AS qi FROM q), m AS (SELECT tenant_id, memory_id, list_distinct({_TOK('text')}) AS tok, {_ITEMS('text')} AS items, mass, updated_at FROM memories WHERE text IS NOT NULL AND updated_at IS NOT NULL),
 s AS (SELECT fact_id, memory_id, 0.34e0 * ({_JAC.format(a='q', b='tok')}) + 0.22e0 * (len(list_intersect(q, tok)) / greatest(1, len(q))::DOUBLE) + 0.08e0 * (len(list_intersect(qi, items)) / greatest(1, len(qi))::DOUBLE) + 0.06e0 * exp(-greatest(0.0e0, (epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(updated_at)) / 86400000000.0e0) / 365.0e0) + 0.06e0 * coalesce(mass, 0) AS score FROM qq JOIN m USING (tenant_id) WHERE list_has_any(q, tok))
 SELECT fact_id, memory_id, score, rank FROM (SELECT fact_id, memory_id, round(score, 6) AS score, row_number() OVER (PARTITION BY fact_id ORDER BY round(score, 6) DESC, memory_id)::INT AS rank FROM s) WHERE rank <= 5""",
@@ -150,8 +152,8 @@ SELECT fact_id, memory_id, score, rank FROM (SELECT fact_id, memory_id, round(sc
     "grounded_evidence": f"SELECT DISTINCT fact_id, CASE WHEN coalesce(s, '') = '' THEN 'related_to' ELSE s END AS predicate, round(greatest(0.0e0, least(1.0e0, coalesce(confidence, 0.0e0))), 6) AS confidence, CASE WHEN polarity < 0 THEN -1 ELSE 1 END AS polarity FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(predicate)), '[^a-z0-9_㐀-鿿]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM fact_frames) WHERE fact_id IS NOT NULL AND trim(object_value) <> '' AND contains({_FLAT('evidence')}, {_FLAT('object_value')})",
     "statement_closure": _closure(),
     "chunk_overlaps": "WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0), a AS (SELECT doc_id, s AS start, least(s + 1200, n) AS e FROM (SELECT doc_id, n, unnest(range(0, n, 1000)) AS s FROM d)), b AS (SELECT doc_id, s AS r_start, least(s + 700, n) AS f FROM (SELECT doc_id, n, unnest(range(0, n, 700)) AS s FROM d)) SELECT doc_id, start::INT AS start, r_start::INT AS r_start, (least(e, f) - greatest(start, r_start))::INT AS shared FROM a JOIN b USING (doc_id) WHERE r_start < e AND start < f",
-    "consolidation_pairs": f"WITH m AS (SELECT scope, memory_id, mass, text, {_TOK('text')} AS w FROM memories WHERE text IS NOT NULL AND scope IS NOT NULL AND mass IS NOT NULL), n AS (SELECT *, list_filter(w, lambda v, i: list_position(w, v) = i) AS tok FROM m), k AS (SELECT *, array_to_string(tok[1:3], ' ') AS k FROM n WHERE len(tok) >= 3) SELECT a.scope, CASE WHEN a.mass >= b.mass THEN a.memory_id ELSE b.memory_id END AS kept, CASE WHEN a.mass >= b.mass THEN b.memory_id ELSE a.memory_id END AS merged FROM k a JOIN k b ON a.scope = b.scope AND a.k = b.k AND a.memory_id < b.memory_id WHERE {_JAC.format(a='a.tok', b='b.tok')} >= 0.8 AND NOT ({T.sql_has_cue('a.text', T.NEGATIONS)} <> {T.sql_has_cue('b.text', T.NEGATIONS)} OR (len({_NUM.format(x='a.text')}) > 0 AND len({_NUM.format(x='b.text')}) > 0 AND NOT list_has_any({_NUM.format(x='a.text')}, {_NUM.format(x='b.text')})))",
+    "consolidation_pairs": f"WITH m AS (SELECT scope, memory_id, mass, text, list_distinct({_TOK('text')}) AS tok FROM memories WHERE text IS NOT NULL AND scope IS NOT NULL AND mass IS NOT NULL) SELECT a.scope, CASE WHEN a.mass >= b.mass THEN a.memory_id ELSE b.memory_id END AS kept, CASE WHEN a.mass >= b.mass THEN b.memory_id ELSE a.memory_id END AS merged FROM m a JOIN m b ON a.scope = b.scope AND a.memory_id < b.memory_id WHERE {_JAC.format(a='a.tok', b='b.tok')} >= 0.8 AND NOT ({T.sql_has_cue('a.text', T.NEGATIONS)} <> {T.sql_has_cue('b.text', T.NEGATIONS)} OR (len({_NUM.format(x='a.text')}) > 0 AND len({_NUM.format(x='b.text')}) > 0 AND NOT list_has_any({_NUM.format(x='a.text')}, {_NUM.format(x='b.text')})))",
     "sealed_round_trip": "SELECT tenant_id, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM memories WHERE text IS NOT NULL AND tenant_id IS NOT NULL GROUP BY tenant_id",
-    "versioned_fields": "WITH f AS (SELECT tenant_id, scope, subject, predicate, fact_id, asserted_at, min(object_value) AS value, min(polarity) AS polarity FROM fact_frames WHERE subject IS NOT NULL AND asserted_at IS NOT NULL GROUP BY ALL) SELECT fact_id, value, CASE WHEN polarity < 0 THEN 'tombstone' WHEN lead(fact_id) OVER (PARTITION BY tenant_id, scope, subject, predicate ORDER BY asserted_at, fact_id) IS NOT NULL THEN 'superseded' ELSE 'current' END AS state FROM f",
+    "versioned_fields": "WITH f AS (SELECT tenant_id, scope, subject, predicate, fact_id, asserted_at, object_value AS value, polarity FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, scope, subject, predicate, fact_id, asserted_at ORDER BY recorded_at NULLS FIRST, object_value NULLS FIRST, polarity NULLS FIRST) AS rn FROM fact_frames WHERE subject IS NOT NULL AND asserted_at IS NOT NULL) WHERE rn = 1) SELECT fact_id, value, CASE WHEN polarity < 0 THEN 'tombstone' WHEN lead(fact_id) OVER (PARTITION BY tenant_id, scope, subject, predicate ORDER BY asserted_at, fact_id) IS NOT NULL THEN 'superseded' ELSE 'current' END AS state FROM f",
     "source_quorum": "SELECT scope, subject, predicate, lower(trim(object_value)) AS value, count(DISTINCT memory_id) AS sources, round(avg(confidence), 6) AS confidence FROM fact_frames WHERE subject IS NOT NULL AND object_value IS NOT NULL AND memory_id IS NOT NULL AND polarity > 0 GROUP BY ALL HAVING count(DISTINCT memory_id) >= 2",
 }

@@ -66,13 +66,11 @@ def date_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_encoder_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest subject gloss of each memory by the hashing encoder; the few glosses are one block."""
+    """Nearest subject gloss of each memory by the hashing encoder; rows are projected, not joined."""
     enc = hash_encoder(384)
-    areas = read_table(spark, d, "subject_areas").select("subject", enc(F.concat_ws(" ", "subject", "gloss")).alias("g"))
+    areas = read_table(spark, d, "subject_areas").where("subject is not null").select("subject", enc(F.concat_ws(" ", "subject", "gloss")).alias("centre"))
     m = read_table(spark, d, "memories").where("text is not null").select("memory_id", enc(F.col("text")).alias("v"))
-    s = m.join(F.broadcast(areas), F.lit(True)).select("memory_id", "subject", F.round(V.dot(F.col("v"), F.col("g")), 6).alias("score"))
-    best = s.groupBy("memory_id").agg(F.max_by(F.struct("subject", "score"), F.struct("score", "subject")).alias("b"))
-    return best.select("memory_id", "b.subject", "b.score")
+    return V.best_centroid(m, "v", areas, "subject")
 
 
 def late_interaction(spark: SparkSession, d: str) -> DataFrame:
