@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import modes as M
 from palimpsest.functions import text as T
 
 # Words that say that something no longer holds, or still does.
@@ -34,10 +35,20 @@ def says_positive(text: Column | str) -> Column:
     return _says(text, POSITIVE_STATE, POSITIVE_PHRASES)
 
 
-def state_adjustment(text: Column | str) -> Column:
-    """Signed mass of a text for questions about the current state: -0.18, 0.08, -0.04 for both, else 0."""
+def state_adjustment(text: Column | str, query: Column | None = None) -> Column:
+    """Signed mass of a text: -0.18 for an ended state, 0.08 for a present one, -0.04 for both, else 0.
+
+    It counts for questions about the current state only: 0 where ``query`` is about the past or not about the present.
+    """
     neg, pos = says_negative(text), says_positive(text)
-    return F.when(neg & ~pos, -0.18).when(pos & ~neg, 0.08).when(neg & pos, -0.04).otherwise(0.0)
+    own = F.when(neg & ~pos, -0.18).when(pos & ~neg, 0.08).when(neg & pos, -0.04).otherwise(0.0)
+    if query is None:
+        return own
+    return F.when(M.matches(query, "current_words") & ~M.matches(query, "historical"), own).otherwise(0.0)
+
+
+def state_field(force: Column, adjustment: Column) -> Column:
+    return F.greatest(F.lit(0.0), force + adjustment)
 
 
 def window_capsules(df: DataFrame, group: list[str], order: list[str], id_col: str, size: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import lexical as L
-from palimpsest.session import read_table
+from palimpsest.session import materialize, read_table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +79,13 @@ def score_norms(spark: SparkSession, d: str) -> DataFrame:
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Any, full and micro recall at 10 and reciprocal rank of the first gold document, over all queries."""
     gold = read_table(spark, d, "subject_labels").select("subject", "doc_id").where("subject is not null").distinct()
-    ranked = L.top_k(_bm25(spark, d), "subject", "doc_id", "score", 1000000)
-    joined = gold.join(ranked, ["subject", "doc_id"], "left")
-    per = joined.groupBy("subject").agg(F.count(F.lit(1)).alias("gold"), F.count_if(F.col("rank") <= 10).alias("hit"), F.min("rank").alias("first"))
+    scores = materialize(_bm25(spark, d).select("subject", "doc_id", F.round("score", 6).alias("score")), "recall_scores")
+    found = gold.join(scores, ["subject", "doc_id"])
+    hits = L.top_k(scores, "subject", "doc_id", "score", 10).join(gold, ["subject", "doc_id"], "left_semi").groupBy("subject").agg(F.count(F.lit(1)).alias("hit"))
+    best = found.groupBy("subject").agg(F.max(F.struct("score", -F.col("doc_id"))).alias("b")).select("subject", F.col("b.score").alias("s"), (-F.col("b.col2")).alias("i"))
+    above = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc_id") < F.col("i")))
+    first = scores.join(F.broadcast(best), "subject").groupBy("subject").agg((F.count_if(above) + 1).alias("first"))  # best has one row per question
+    per = gold.groupBy("subject").agg(F.count(F.lit(1)).alias("gold")).join(hits, "subject", "left").join(first, "subject", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
     return per.agg(
         F.count(F.lit(1)).alias("queries"), mean((F.col("hit") > 0).cast("double"), "any_at_10"), mean((F.col("hit") == F.col("gold")).cast("double"), "full_at_10"),
@@ -91,8 +95,8 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbour_flux(spark: SparkSession, d: str) -> DataFrame:
     """Mass of a memory spread to its neighbours in time within its scope, over the scope's greatest."""
-    m = read_table(spark, d, "memories").where("scope is not null and mass is not null and created_at is not null").select("scope", "memory_id", "mass")
-    flux = m.withColumn("flux", L.neighbour_max("mass", "scope", "memory_id"))
+    m = read_table(spark, d, "memories").where("scope is not null and mass is not null and created_at is not null").select("scope", "memory_id", "mass", F.struct("created_at", "memory_id").alias("at"))
+    flux = m.withColumn("flux", L.neighbour_max("mass", "scope", "at"))
     return flux.select("scope", "memory_id", F.round(L.unit_max("flux", "scope"), 6).alias("flux"))
 
 
@@ -174,8 +178,8 @@ SQL = {
     "bm25_memory_max": f"WITH {_Q}, {_memory('memories', 'memory_id', 'text', 'm')}, {_memory('q', 'subject', 'query', 'qm')}, {_bm25_sql('m', 'm', 'qm', 'memory_id', 1.45)}, u AS (SELECT subject, memory_id, score / max(score) OVER (PARTITION BY subject) AS score FROM ms) SELECT * FROM {_top('u', 'memory_id', 10)}",
     "rank_fusion": f"{_BOTH}, f AS (SELECT subject, doc_id, sum(p) AS score FROM (SELECT subject, doc_id, 1.0e0 / (60 + rank) AS p FROM {_top('ws', 'doc_id', 50)} UNION ALL SELECT subject, doc_id, 0.72e0 * (1.0e0 / (60 + rank)) FROM {_top('cs', 'doc_id', 50)}) GROUP BY ALL) SELECT * FROM {_top('f', 'doc_id', 10, 9)}",
     "score_norms": f"{_WORDS}, t AS (SELECT * FROM {_top('ws', 'doc_id', 20)}), x AS (SELECT *, max(score) OVER (PARTITION BY subject) AS hi, min(score) OVER (PARTITION BY subject) AS lo FROM t) SELECT subject, doc_id, round(CASE WHEN hi > 0 THEN score / hi ELSE 0 END, 6) AS over_max, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END, 6) AS min_max FROM x",
-    "recall_at_k": f"{_WORDS}, g AS (SELECT DISTINCT subject, doc_id FROM subject_labels WHERE subject IS NOT NULL), p AS (SELECT subject, count(*) AS gold, count(*) FILTER (rank <= 10) AS hit, min(rank) AS first FROM g LEFT JOIN {_top('ws', 'doc_id', 1000000)} r USING (subject, doc_id) GROUP BY subject) SELECT count(*) AS queries, round(avg((hit > 0)::INT), 6) AS any_at_10, round(avg((hit = gold)::INT), 6) AS full_at_10, round(sum(hit) / sum(gold)::DOUBLE, 6) AS micro_at_10, round(avg(coalesce(1.0e0 / first, 0)), 6) AS mrr FROM p",
-    "neighbour_flux": "WITH f AS (SELECT scope, memory_id, max(mass) OVER (PARTITION BY scope ORDER BY memory_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM memories WHERE scope IS NOT NULL AND mass IS NOT NULL AND created_at IS NOT NULL) SELECT scope, memory_id, round(CASE WHEN max(x) OVER (PARTITION BY scope) > 0 THEN x / max(x) OVER (PARTITION BY scope) ELSE 0 END, 6) AS flux FROM f",
+    "recall_at_k": f"{_WORDS}, g AS (SELECT DISTINCT subject, doc_id FROM subject_labels WHERE subject IS NOT NULL), p AS (SELECT subject, count(*) AS gold, count(*) FILTER (rank <= 10) AS hit, min(rank) AS first FROM g LEFT JOIN {_top('ws', 'doc_id', 9000000000000)} r USING (subject, doc_id) GROUP BY subject) SELECT count(*) AS queries, round(avg((hit > 0)::INT), 6) AS any_at_10, round(avg((hit = gold)::INT), 6) AS full_at_10, round(sum(hit) / sum(gold)::DOUBLE, 6) AS micro_at_10, round(avg(coalesce(1.0e0 / first, 0)), 6) AS mrr FROM p",
+    "neighbour_flux": "WITH f AS (SELECT scope, memory_id, max(mass) OVER (PARTITION BY scope ORDER BY created_at, memory_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM memories WHERE scope IS NOT NULL AND mass IS NOT NULL AND created_at IS NOT NULL) SELECT scope, memory_id, round(CASE WHEN max(x) OVER (PARTITION BY scope) > 0 THEN x / max(x) OVER (PARTITION BY scope) ELSE 0 END, 6) AS flux FROM f",
     "entity_resonance": f"WITH f AS (SELECT DISTINCT fact_id, memory_id, evidence FROM fact_frames WHERE evidence IS NOT NULL AND memory_id IS NOT NULL), j AS (SELECT fact_id, {T.sql_value_items('evidence')} AS q, {T.sql_value_items('text')} AS x FROM f JOIN memories USING (memory_id) WHERE text IS NOT NULL) SELECT fact_id, round(max(len(list_intersect(q, x)) / greatest(1, len(q))::DOUBLE), 6) AS resonance FROM j GROUP BY fact_id",
     "date_ramp": "SELECT doc_id, round((row_number() OVER (PARTITION BY source ORDER BY created_at, doc_id) - 1) / greatest(1, count(*) OVER (PARTITION BY source) - 1)::DOUBLE, 6) AS ramp FROM documents WHERE created_at IS NOT NULL AND source IS NOT NULL",
     "cooccurring_terms": f"""WITH {_Q}, d AS (SELECT DISTINCT doc_id, unnest({T.sql_content_words('text')}) AS term FROM documents WHERE text IS NOT NULL),

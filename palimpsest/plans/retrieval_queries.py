@@ -10,6 +10,7 @@ from palimpsest.operators import graph as G
 from palimpsest.operators import lexical as L
 from palimpsest.operators import lifecycle as C
 from palimpsest.operators import retrieval as R
+from palimpsest.functions.patterns import sql_says
 from palimpsest.session import read_table
 
 NOW = "2026-03-01 00:00:00"
@@ -122,8 +123,8 @@ QUERIES = {
 }
 
 _TOK, _ITEMS = T.sql_memory_tokens, T.sql_value_items
-_HAS = lambda p: f"regexp_matches(lower(text), '(?:^|[^a-z])(?:{p.replace(chr(39), chr(39) * 2)})(?:[^a-z]|$)')"
-_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{w}') THEN '{n}'" for n, w in R.FAMILIES.items()) + f" WHEN len({_TOK('text')}) > 0 THEN 'topic:' || array_to_string(({_TOK('text')})[1:2], '_') ELSE 'general' END"
+_TOPIC = f"list_filter({_TOK('text')}, lambda w: w NOT IN ({', '.join(repr(w) for w in R.NO_TOPIC)}))[1:2]"
+_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{n}'" for n, w in R.FAMILIES.items()) + f" WHEN len({_TOPIC}) > 0 THEN 'topic:' || array_to_string({_TOPIC}, '_') ELSE 'general' END"
 _FLAT = lambda c: f"lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
 _NUM = "list_distinct(regexp_extract_all({x}, '[0-9]+(?:[.][0-9]+)?'))"
 _JAC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0e0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END"
@@ -147,7 +148,7 @@ SQL = {
 qq AS (SELECT fact_id, tenant_id, list_distinct({_TOK('query')}) AS q, {_ITEMS('query')} AS qi FROM q), m AS (SELECT tenant_id, memory_id, list_distinct({_TOK('text')}) AS tok, {_ITEMS('text')} AS items, mass, updated_at FROM memories WHERE text IS NOT NULL AND updated_at IS NOT NULL),
 s AS (SELECT fact_id, memory_id, 0.34e0 * ({_JAC.format(a='q', b='tok')}) + 0.22e0 * (len(list_intersect(q, tok)) / greatest(1, len(q))::DOUBLE) + 0.08e0 * (len(list_intersect(qi, items)) / greatest(1, len(qi))::DOUBLE) + 0.06e0 * exp(-greatest(0.0e0, (epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(updated_at)) / 86400000000.0e0) / 365.0e0) + 0.06e0 * coalesce(mass, 0) AS score FROM qq JOIN m USING (tenant_id) WHERE list_has_any(q, tok))
 SELECT fact_id, memory_id, score, rank FROM (SELECT fact_id, memory_id, round(score, 6) AS score, row_number() OVER (PARTITION BY fact_id ORDER BY round(score, 6) DESC, memory_id)::INT AS rank FROM s) WHERE rank <= 5""",
-    "directive_latest": f"WITH w AS (SELECT DISTINCT write_id, scope, written_at, CASE WHEN lower(trim(kind)) IN ('instruction', 'preference') THEN lower(trim(kind)) WHEN {_HAS(R.PREFERENCE)} THEN 'preference' WHEN {_HAS(R.INSTRUCTION)} THEN 'instruction' END AS role, {_FAMILY} AS family FROM memory_writes WHERE text IS NOT NULL AND scope IS NOT NULL AND written_at IS NOT NULL), r AS (SELECT scope, role, family, write_id, row_number() OVER (PARTITION BY scope, role, family ORDER BY written_at DESC, write_id DESC)::INT AS place FROM w WHERE role IS NOT NULL) SELECT * FROM r WHERE place <= 2",
+    "directive_latest": f"WITH w AS (SELECT DISTINCT write_id, scope, written_at, CASE WHEN lower(trim(kind)) IN ('instruction', 'preference') THEN lower(trim(kind)) WHEN {sql_says('text', R.PREFERENCE)} THEN 'preference' WHEN {sql_says('text', R.INSTRUCTION)} THEN 'instruction' END AS role, {_FAMILY} AS family FROM memory_writes WHERE text IS NOT NULL AND scope IS NOT NULL AND written_at IS NOT NULL), r AS (SELECT scope, role, family, write_id, row_number() OVER (PARTITION BY scope, role, family ORDER BY written_at DESC, write_id DESC)::INT AS place FROM w WHERE role IS NOT NULL) SELECT * FROM r WHERE place <= 2",
     "episode_neighbours": "WITH m AS (SELECT scope, memory_id, mass, row_number() OVER (PARTITION BY scope ORDER BY created_at, memory_id)::INT AS ord, row_number() OVER (PARTITION BY scope ORDER BY mass DESC, memory_id) AS r FROM memories WHERE scope IS NOT NULL AND mass IS NOT NULL AND created_at IS NOT NULL) SELECT DISTINCT m.scope, m.memory_id, m.ord FROM m JOIN m t ON m.scope = t.scope AND t.r <= 3 AND abs(m.ord - t.ord) <= 2",
     "grounded_evidence": f"SELECT DISTINCT fact_id, CASE WHEN coalesce(s, '') = '' THEN 'related_to' ELSE s END AS predicate, round(greatest(0.0e0, least(1.0e0, coalesce(confidence, 0.0e0))), 6) AS confidence, CASE WHEN polarity < 0 THEN -1 ELSE 1 END AS polarity FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(predicate)), '[^a-z0-9_㐀-鿿]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM fact_frames) WHERE fact_id IS NOT NULL AND trim(object_value) <> '' AND contains({_FLAT('evidence')}, {_FLAT('object_value')})",
     "statement_closure": _closure(),

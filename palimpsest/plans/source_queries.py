@@ -170,13 +170,13 @@ QUERIES = {
 
 _VALUES = "q(id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS)) + ")"
 _m = lambda n: M.sql_matches("query", n)
-_SCALE = {"temporal": f"CASE WHEN {_m('time_words')} THEN 1.9e0 ELSE 1 END", "graph": f"CASE WHEN {_m('graph_words')} THEN 1.8e0 ELSE 1 END", "entity": f"CASE WHEN {_m('graph_words')} THEN 1.35e0 ELSE 1 END", "bm25": f"CASE WHEN {_m('exact')} THEN 1.7e0 ELSE 1 END"}
+_SCALE = {"temporal": f"CASE WHEN {_m('time_words')} OR {_m('years')} THEN 1.9e0 ELSE 1 END", "graph": f"CASE WHEN {_m('graph_words')} THEN 1.8e0 ELSE 1 END", "entity": f"CASE WHEN {_m('graph_words')} THEN 1.35e0 ELSE 1 END", "bm25": f"CASE WHEN {_m('exact')} THEN 1.7e0 ELSE 1 END"}
 _RAW = {k: f"{w}e0 * {_SCALE.get(k, '1')}" for k, w in M.SIGNAL_WEIGHTS.items()}
 _TRIP = " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS rows, sum(fact_id)::BIGINT AS ids, sum(length(object_value))::BIGINT AS chars, count(subject) AS subjects FROM fact_frames" for k in ("jsonl", "csv", "parquet", "orc"))
 
 
 def _score(c: str) -> str:
-    hit = lambda p, w: f"{w} * regexp_matches(lower({c}), '{p}')::INT"
+    hit = lambda p, w: f"{w} * regexp_matches(lower({c}), '{p.replace(chr(39), chr(39) * 2)}')::INT"
     return f"({hit(K.FACT, 3)} + {hit(K.STATE, 2)} + {hit(K.EVENT, 2)} + {hit(K.NUMBER, 1)} - {hit(K.REQUEST, 3)})"
 
 
