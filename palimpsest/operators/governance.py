@@ -75,3 +75,16 @@ def chained_digests(df: DataFrame, group: str, at: str, content: Column) -> Data
     so_far = F.transform(F.array_sort(F.collect_list(F.struct("day", "digest")).over(Window.partitionBy(group).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))), lambda x: x["digest"])
     chain = F.aggregate(so_far, F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x), 256))
     return days.select(group, "day", "digest", chain.alias("chain"))
+
+
+def _tenant_key(tenant: Column, master: str) -> Column:
+    return F.unhex(F.sha2(F.concat(F.lit(f"{master}|"), tenant), 256))
+
+
+def sealed(text: Column, tenant: Column, master: str) -> Column:
+    """AES-GCM under a key derived per tenant; the tenant is authenticated with it. Null stays null."""
+    return F.aes_encrypt(text, _tenant_key(tenant, master), F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), tenant)
+
+
+def opened(data: Column, tenant: Column, master: str) -> Column:
+    return F.aes_decrypt(data, _tenant_key(tenant, master), F.lit("GCM"), F.lit("DEFAULT"), tenant).cast("string")

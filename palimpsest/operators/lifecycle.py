@@ -34,6 +34,12 @@ def decay_factor(kind: Column, days: Column) -> Column:
     return F.exp(-F.log(F.lit(2.0)) * days / lookup(kind, HALF_LIFE_DAYS, DEFAULT_HALF_LIFE))
 
 
+def expiry(created: Column, kind: Column, half_lives: float) -> Column:
+    """When a row has lived so many half-lives of its kind."""
+    span = (F.lit(half_lives) * lookup(kind, HALF_LIFE_DAYS, DEFAULT_HALF_LIFE) * F.lit(86_400_000_000.0)).cast("long")
+    return F.timestamp_micros(F.unix_micros(created) + span)
+
+
 def decayed(df: DataFrame, now: Column, mass: str = "mass", confidence: str = "confidence", since: str = "updated_at") -> DataFrame:
     """Mass and confidence after the half-life of the kind; pinned rows and rows from the future keep theirs."""
     f = F.when(F.coalesce(F.col("pinned"), F.lit(False)), F.lit(1.0)).otherwise(decay_factor(F.lower(F.trim("kind")), F.coalesce(age_days(now, F.col(since)), F.lit(0.0))))
