@@ -68,13 +68,17 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 def chained_digests(df: DataFrame, group: str, at: str, content: Column) -> DataFrame:
     """(group, day, digest, chain): digest of each day's rows, and the chain of digests from the first day on.
 
-    A day's digest covers the sorted digests of its rows; the chain folds one string per day, which is bounded.
+    The digests of a day's rows are combined in 256 parts by their first byte, sorted within each, and the parts in
+    order, so that no cell holds a whole day. The chain is one fold over the days of a group, one string per day.
     """
     rows = df.select(group, F.to_date(at).alias("day"), F.sha2(content, 256).alias("h")).where("day is not null and h is not null")
-    days = rows.groupBy(group, "day").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
-    so_far = F.transform(F.array_sort(F.collect_list(F.struct("day", "digest")).over(Window.partitionBy(group).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))), lambda x: x["digest"])
-    chain = F.aggregate(so_far, F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x), 256))
-    return days.select(group, "day", "digest", chain.alias("chain"))
+    parts = rows.groupBy(group, "day", F.left("h", F.lit(2)).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    sorted_by = lambda k, v: F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda x: x[v])
+    days = parts.groupBy(group, "day").agg(F.sha2(F.array_join(sorted_by("p", "d"), ""), 256).alias("digest"))
+    whole = days.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("day", "digest"))).alias("l"))
+    empty = F.array().cast("array<string>")
+    chain = F.aggregate("l", empty, lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), x["digest"]), 256))))
+    return whole.withColumn("c", chain).select(group, F.inline(F.arrays_zip("l", "c"))).select(group, "l.day", "l.digest", F.col("c").alias("chain"))
 
 
 def _tenant_key(tenant: Column, master: str) -> Column:

@@ -47,25 +47,27 @@ def argmax_period(df: DataFrame, group: list[str], period: str, value: str) -> D
     return s.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*group, period, F.col("_s").alias(value))
 
 
-def json_leaves(df: DataFrame, id_col: str, json: str, depth: int = 4) -> DataFrame:
+def json_leaves(df: DataFrame, id_col: str, json: str, depth: int | None = None) -> DataFrame:
     """(id, path, value): the leaves of a JSON column with dotted, indexed paths; null and empty leaves do not count.
 
-    Variants are opened level by level in the JVM, down to ``depth`` levels of objects and arrays; what lies deeper
-    comes out as JSON text. Text that is no JSON has no leaves.
+    Variants are opened level by level in the JVM until nothing is nested, or down to ``depth`` levels; what lies deeper
+    then comes out as JSON text. Text that is no JSON has no leaves.
     """
     view = f"leaves_{id(df)}"
     df.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null").createOrReplaceTempView(view)
     spark = df.sparkSession
-    level, out = spark.sql(f"SELECT id, '' AS path, v FROM {view}"), None
-    for i in range(depth + 1):
+    level, out, i = spark.sql(f"SELECT id, '' AS path, v FROM {view}"), None, 0
+    while True:
         name = f"{view}_{i}"
         level.selectExpr("id", "path", "v", "schema_of_variant(v) AS kind").createOrReplaceTempView(name)
-        nested = "(kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%')" if i < depth else "false"
+        nested = "(kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%')" if depth is None or i < depth else "false"
         leaf = spark.sql(f"SELECT id, path, try_variant_get(v, '$', 'string') AS value FROM {name} WHERE NOT {nested}")
         out = leaf if out is None else out.unionByName(leaf)
-        if i < depth:
-            level = spark.sql(
-                f"SELECT id, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END AS path, e.value AS v"
-                f" FROM {name}, LATERAL variant_explode(v) e WHERE {nested}"
-            )
+        if nested == "false" or spark.sql(f"SELECT 1 FROM {name} WHERE {nested}").isEmpty():
+            break
+        level = spark.sql(
+            f"SELECT id, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END AS path, e.value AS v"
+            f" FROM {name}, LATERAL variant_explode(v) e WHERE {nested}"
+        )
+        i += 1
     return out.where(F.col("value").isNotNull() & (F.col("value") != "")).select(F.col("id").alias(id_col), "path", "value")

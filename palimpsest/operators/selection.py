@@ -45,7 +45,10 @@ def running_budget(df: DataFrame, group: str, order: list[Column], size: Column,
     return df.withColumn("_used", F.sum(size).over(w)).where((F.col("_used") <= budget) | (F.col("_used") == size)).drop("_used")
 
 
-def _pool(df: DataFrame, group: str, score: str, id_col: str, pool: int) -> DataFrame:
+def _pool(df: DataFrame, group: str, score: str, id_col: str, pool: int | None) -> DataFrame:
+    """The best rows of each group that the greedy rule looks at; None takes all of them."""
+    if pool is None:
+        return df
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), id_col)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool).drop("_r")
 
@@ -66,7 +69,7 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def mmr(df: DataFrame, group: str, id_col: str, score: str, tokens: str, k: int = 10, trade: float = 0.82, pool: int = 192, size: str | None = None, budget: int | None = None) -> DataFrame:
+def mmr(df: DataFrame, group: str, id_col: str, score: str, tokens: str, k: int = 10, trade: float = 0.82, pool: int | None = 192, size: str | None = None, budget: int | None = None) -> DataFrame:
     """Maximal marginal relevance: trade x score - (1 - trade) x greatest token overlap with what is chosen.
 
     With size and budget, rows that no longer fit are passed over once something is chosen. Ties go to the lower id.
@@ -91,7 +94,7 @@ def mmr(df: DataFrame, group: str, id_col: str, score: str, tokens: str, k: int
     return _per_group(_pool(df, group, score, id_col, pool), group, id_col, choose)
 
 
-def coverage(df: DataFrame, group: str, id_col: str, base: str, tokens: str, session: str, k: int = 48, pool: int = 192) -> DataFrame:
+def coverage(df: DataFrame, group: str, id_col: str, base: str, tokens: str, session: str, k: int = 48, pool: int | None = 192) -> DataFrame:
     """Greedy marginal coverage: base + 0.07 new session + 0.08 share of new tokens - 0.13 redundancy with what is covered."""
 
     def choose(p: pd.DataFrame) -> list[tuple[int, float]]:
@@ -115,7 +118,7 @@ def coverage(df: DataFrame, group: str, id_col: str, base: str, tokens: str, ses
     return _per_group(_pool(df, group, base, id_col, pool), group, id_col, choose)
 
 
-def knapsack(df: DataFrame, group: str, id_col: str, score: str, size: str, budget: int, pool: int = 256, least: int = 32) -> DataFrame:
+def knapsack(df: DataFrame, group: str, id_col: str, score: str, size: str, budget: int, pool: int | None = 256, least: int = 32) -> DataFrame:
     """Greedy by score per size, skipping what does not fit and going on; a running sum would stop there instead."""
 
     def choose(p: pd.DataFrame) -> list[tuple[int, float]]:
@@ -130,7 +133,7 @@ def knapsack(df: DataFrame, group: str, id_col: str, score: str, size: str, budg
     return _per_group(_pool(df, group, score, id_col, pool), group, id_col, choose)
 
 
-def beam_bridge(df: DataFrame, group: str, id_col: str, score: str, tokens: str, width: int = 24, branch: int = 36, members: int = 4) -> DataFrame:
+def beam_bridge(df: DataFrame, group: str, id_col: str, score: str, tokens: str, width: int = 24, branch: int | None = 36, members: int = 4) -> DataFrame:
     """The best set of up to ``members`` rows: mean score + 0.18 x weakest best overlap - 0.18 x mean overlap beyond it.
 
     A beam keeps the ``width`` best sets of each size over the ``branch`` best rows; place is the order within the set.
@@ -158,3 +161,61 @@ def beam_bridge(df: DataFrame, group: str, id_col: str, score: str, tokens: str,
         return [(i, best[1]) for i in best[0]]
 
     return _per_group(_pool(df, group, score, id_col, branch), group, id_col, choose)
+
+
+def capsules(df: DataFrame, group: str, id_col: str, relevance: str, goals: str, entities: str, times: str, sources: str, trust: str, k: int = 10, pool: int | None = 192, floor: float = 0.18, share: float = 0.72) -> DataFrame:
+    """Greedy choice of capsules that reach ``floor`` and ``share`` of the best relevance: place and gain.
+
+    The gain of a capsule is its relevance with 0.18 of new goals, 0.14 of new entities, 0.12 for a new time, 0.08 of new
+    sources, less 0.16 of sources already taken and 0.12 of missing trust. Ties go to the lower id.
+    """
+
+    def choose(p: pd.DataFrame) -> list[tuple[int, float]]:
+        rel, known = p[relevance].to_numpy(float), p[trust].to_numpy(float)
+        own = {c: [frozenset(x) if x is not None else frozenset() for x in p[c]] for c in (goals, entities, times, sources)}
+        seen = {c: set() for c in own}
+        gate = max(floor, share * rel.max()) if len(rel) else 0.0
+        left, out = [i for i in range(len(p)) if rel[i] >= gate], []
+        fresh = lambda c, i: len(own[c][i] - seen[c])
+
+        def gain(i: int) -> float:
+            n = max(1, len(own[sources][i]))
+            new = 0.18 * fresh(goals, i) / max(1, len(own[goals][i])) + 0.14 * fresh(entities, i) / max(1, len(own[entities][i])) + 0.12 * bool(fresh(times, i)) + 0.08 * fresh(sources, i) / 4
+            return rel[i] + new - 0.16 * (n - fresh(sources, i)) / n - 0.12 * (1 - known[i])
+
+        while left and len(out) < k:
+            best = max(left, key=lambda i: (round(gain(i), 9), -i))
+            out.append((best, float(gain(best))))
+            left.remove(best)
+            for c in own:
+                seen[c] |= own[c][best]
+        return out
+
+    return _per_group(_pool(df, group, relevance, id_col, pool), group, id_col, choose)
+
+
+def anchored(df: DataFrame, group: str, anchor: str, id_col: str, own: str, mean: str, sources: str, anchors: int = 10, episodic: str | None = None) -> DataFrame:
+    """For each of the first anchors of a question the capsule of most 0.58 x own + 0.22 x mean + 0.20 density - 0.18 overlap.
+
+    ``df`` has one row per (group, anchor place, capsule). Density is the share of a capsule's four places in use, overlap
+    that of its sources already taken. Capsules of more than two sources count for episodic questions only.
+    """
+
+    def choose(p: pd.DataFrame) -> list[tuple[int, float]]:
+        sets = [frozenset(x) for x in p[sources]]
+        long = p[episodic].to_numpy(bool) if episodic else np.ones(len(p), bool)
+        taken: set = set()
+        out: list[tuple[int, float]] = []
+        chosen: set = set()
+        for a in sorted(set(p[anchor]))[:anchors]:
+            rows = [i for i in range(len(p)) if p[anchor].iloc[i] == a and i not in chosen and (len(sets[i]) <= 2 or long[i]) and not any(sets[i] == sets[j] for j, _ in out)]
+            if not rows:
+                continue
+            value = lambda i: 0.58 * p[own].iloc[i] + 0.22 * p[mean].iloc[i] + 0.20 * len(sets[i]) / 4 - 0.18 * len(sets[i] & taken) / max(1, len(sets[i]))
+            best = max(rows, key=lambda i: (round(value(i), 9), -i))
+            out.append((best, float(value(best))))
+            chosen.add(best)
+            taken |= sets[best]
+        return out
+
+    return _per_group(df, group, id_col, choose)

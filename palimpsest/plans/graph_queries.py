@@ -215,7 +215,7 @@ SQL = {
     "sliding_quota": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS used FROM events",
     "delivery_replays": "SELECT write_id, count(*) AS deliveries, min(coalesce(text, '')) <> max(coalesce(text, '')) AS conflict FROM memory_writes GROUP BY write_id HAVING count(*) > 1",
     "cold_search": f"WITH h AS (SELECT memory_id, updated_at, len(list_intersect({_TOK('text')}, ['review', 'march', 'cache', 'deadline', 'policy']))::INT AS matches FROM memories WHERE text IS NOT NULL AND updated_at IS NOT NULL) SELECT memory_id, matches FROM h WHERE matches > 0 ORDER BY matches DESC, updated_at DESC, memory_id LIMIT 100",
-    "digest_chain": "WITH d AS (SELECT tenant_id, created_at::DATE AS day, sha256(string_agg(sha256(memory_id || '|' || coalesce(text, '')), '' ORDER BY sha256(memory_id || '|' || coalesce(text, '')))) AS digest FROM memories WHERE tenant_id IS NOT NULL AND created_at IS NOT NULL GROUP BY ALL), l AS (SELECT *, list(digest) OVER (PARTITION BY tenant_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS so FROM d) SELECT tenant_id, day::VARCHAR AS day, digest, list_reduce(list_prepend('', so), lambda a, x: sha256(a || x)) AS chain FROM l",
+    "digest_chain": "WITH h AS (SELECT tenant_id, created_at::DATE AS day, sha256(memory_id || '|' || coalesce(text, '')) AS h FROM memories WHERE tenant_id IS NOT NULL AND created_at IS NOT NULL), p AS (SELECT tenant_id, day, left(h, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY ALL), d AS (SELECT tenant_id, day, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM p GROUP BY ALL), l AS (SELECT *, list(digest) OVER (PARTITION BY tenant_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS so FROM d) SELECT tenant_id, day::VARCHAR AS day, digest, list_reduce(list_prepend('', so), lambda a, x: sha256(a || x)) AS chain FROM l",
     "evidence_token_f1": f"WITH f AS (SELECT DISTINCT fact_id, {_TOK('object_value')} AS p, {_TOK('evidence')} AS r FROM fact_frames WHERE evidence IS NOT NULL AND object_value IS NOT NULL), g AS (SELECT *, row_number() OVER () AS k FROM f), a AS (SELECT k, w, count(*) AS c FROM (SELECT k, unnest(p) AS w FROM g) GROUP BY ALL), b AS (SELECT k, w, count(*) AS c FROM (SELECT k, unnest(r) AS w FROM g) GROUP BY ALL), s AS (SELECT k, sum(least(a.c, b.c)) AS same FROM a JOIN b USING (k, w) GROUP BY k) SELECT fact_id, round(max(CASE WHEN len(p) + len(r) = 0 THEN 1.0e0 ELSE 2.0e0 * coalesce(same, 0) / (len(p) + len(r)) END), 6) AS f1 FROM g LEFT JOIN s USING (k) GROUP BY fact_id",
     "gate_report": "WITH m AS (SELECT lower(trim(kind)) AS kind, access_count > 2 AS y, mass >= 0.5 AS p FROM memories WHERE mass IS NOT NULL AND access_count IS NOT NULL AND kind IS NOT NULL), c AS (SELECT kind, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM m GROUP BY kind), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END AS pr, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END AS rc FROM c) SELECT kind, tp, fp, fn, tn, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1, round(CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn)::DOUBLE END, 6) AS fpr FROM r",
     "temperature_grid": "WITH m AS (SELECT 4.0e0 * mass - 2.0e0 AS z, (access_count > 2)::INT AS y, unnest([0.5e0, 0.75e0, 1.0e0, 1.5e0, 2.0e0, 3.0e0, 5.0e0]) AS temperature FROM memories WHERE mass IS NOT NULL AND access_count IS NOT NULL) SELECT temperature, round(b, 6) AS brier FROM (SELECT temperature, round(avg((1 / (1 + exp(-z / temperature)) - y) ** 2), 9) AS b FROM m GROUP BY temperature) ORDER BY b, temperature LIMIT 1",
