@@ -93,25 +93,34 @@ def similar_sets(rows: DataFrame, part: str, tokens: str, least: float, left: st
     return side("_kx", left).join(links, [part, "_kx"]).join(side("_ky", right), [part, "_ky"]).select(part, left, right)
 
 
-def connected_components(edges: DataFrame, part: str, src: str, dst: str, rounds: int = 40) -> DataFrame:
-    """(part, node, component): the least node reachable, by alternating neighbour and pointer steps.
+def connected_components(edges: DataFrame, part: str, src: str, dst: str) -> DataFrame:
+    """(part, node, component): the least node reachable.
 
-    Every round is written to the shared folder; it ends when nothing changes. A long chain may need a round per hop;
-    running out of rounds is an error, never a split component. No component is gathered in one task.
+    Each round hooks every component onto its least neighbour, flattens the chains of hooks by pointer doubling and
+    contracts the edges to those between different components. Components with a neighbour at least halve in number, so
+    rounds are logarithmic even for a long chain, and finished components are not looked at again. Every round is written
+    to the shared folder; no component is gathered in one task.
     """
-    both = edges.select(part, F.col(src).alias("u"), F.col(dst).alias("v")).unionByName(edges.select(part, F.col(dst).alias("u"), F.col(src).alias("v"))).where("u <> v").distinct()
+    named = lambda df, a, b: df.select(F.col(part).alias("p"), F.col(a).alias("u"), F.col(b).alias("v"))
+    both = named(edges, src, dst).unionByName(named(edges, dst, src)).where("u <> v").distinct()
     both = materialize(both, "cc_edges")
-    label = materialize(both.groupBy(part, F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "cc_label")
-    for _ in range(rounds):
-        near = both.join(label.select(part, F.col("node").alias("v"), "component"), [part, "v"]).groupBy(part, F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(near, [part, "node"]).select(part, "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = step.select(part, F.col("node").alias("component"), F.col("component").alias("up"))
-        step = step.join(up, [part, "component"], "left").select(part, "node", "old", F.least(F.col("component"), F.coalesce("up", F.col("component"))).alias("component"))
-        step = materialize(step, "cc_round")
-        label = step.drop("old")
-        if step.where("old <> component").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    label = both.select("p", F.col("u").alias("node"), F.col("u").alias("c")).distinct()
+    while True:
+        hooks = both.groupBy("p", "u").agg(F.min("v").alias("to")).where("to < u")
+        hooks = materialize(hooks, "cc_hooks")
+        if hooks.isEmpty():
+            return label.select(F.col("p").alias(part), "node", F.col("c").alias("component"))
+        while True:
+            up = hooks.select("p", F.col("u").alias("to"), F.col("to").alias("higher"))
+            step = hooks.join(up, ["p", "to"], "left").select("p", "u", F.coalesce("higher", "to").alias("to"), F.col("higher").isNotNull().alias("moved"))
+            step = materialize(step, "cc_hooks")
+            hooks = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        at = lambda c: hooks.select("p", F.col("u").alias(c), F.col("to").alias(f"{c}_to"))
+        label = materialize(label.join(at("c"), ["p", "c"], "left").select("p", "node", F.coalesce("c_to", "c").alias("c")), "cc_label")
+        moved = both.join(at("u"), ["p", "u"], "left").join(at("v"), ["p", "v"], "left").select("p", F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v"))
+        both = materialize(moved.where("u <> v").distinct(), "cc_edges")
 
 
 def label_propagation(edges: DataFrame, part: str, src: str, dst: str, weight: str, rounds: int = 6) -> DataFrame:

@@ -78,3 +78,39 @@ def fuse_ranks(rankings: list[tuple[DataFrame, float]], query_id: str, id_col: s
 def neighbour_max(value: str, group: str, order: str) -> Column:
     """Greatest value of a row and the rows next to it in its group."""
     return F.max(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(-1, 1))
+
+
+def positions(df: DataFrame, group: str, order: list[str], bucket: Column) -> DataFrame:
+    """Adds position (from 0) of a row in the order of its group, and the group's size.
+
+    ``bucket`` grows with the order: rows are numbered inside (group, bucket) and moved by the sizes of the buckets before,
+    so a group of a third of all rows is not sorted in one task.
+    """
+    rows = df.withColumn("_b", bucket)
+    sizes = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(group).orderBy("_b")
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy(group))})
+    s = sizes.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), "_before", "size")
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy(*order)) - 1
+    numbered = rows.withColumn("_i", inside).join(s, F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c")))
+    return numbered.withColumn("position", F.col("_before") + F.col("_i")).drop("_b", "_i", "_g", "_c", "_before")
+
+
+def rare_bridge(uses: DataFrame, seeds: DataFrame, query_id: str, id_col: str, least: int = 2, most: int = 12, terms: int = 64) -> DataFrame:
+    """(query, id, bridge): rows that the rare terms of a question's best rows lead to, over the question's greatest.
+
+    ``uses`` has id, term and tf of all rows, ``seeds`` the ranked seeds of each question (query, id, rank) and its own
+    terms (own, an array). A term of four letters or more that ``least`` to ``most`` rows hold leads on, the ``terms``
+    rarest of each seed; each row gets idf x min(2, tf) / rank of the seed. Frequent terms never enter, so the join is
+    bounded by ``most``.
+    """
+    n = uses.agg(F.countDistinct(id_col).alias("n"))
+    df = uses.groupBy("term").agg(F.countDistinct(id_col).alias("df")).where(F.col("df").between(least, most))
+    rare = uses.join(df, "term").crossJoin(F.broadcast(n))  # one row
+    rare = rare.withColumn("idf", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select(id_col, "term", "tf", "idf")
+    led = seeds.join(rare, id_col).where((F.length("term") >= 4) & ~F.array_contains("own", F.col("term")))
+    w = Window.partitionBy(query_id, id_col).orderBy(F.col("idf").desc(), F.col("term").desc())
+    led = led.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= terms).select(query_id, F.col(id_col).alias("_seed"), "rank", "term")
+    to = led.join(rare, "term").where(F.col(id_col) != F.col("_seed"))
+    s = to.groupBy(query_id, id_col).agg(F.sum(F.col("idf") * F.least(F.lit(2), F.col("tf")) / F.col("rank")).alias("s"))
+    return s.select(query_id, id_col, (F.col("s") / F.max("s").over(Window.partitionBy(query_id))).alias("bridge"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.patterns import says
+from palimpsest.session import materialize
 
 # Shares of the seven fields of the fused force.
 FORCE = {"semantic": 0.34, "lexical": 0.22, "planar": 0.16, "char": 0.08, "entity": 0.08, "temporal": 0.06, "graph": 0.06}
@@ -84,3 +85,45 @@ def feedback_weights(weights: dict[str, float], useful: dict[str, float], reject
     """Weights moved towards the useful row's fields and away from the mean of the rejected ones, each within 0.01 to 0.60."""
     mean = {k: sum(r.get(k, 0.0) for r in rejected) / len(rejected) if rejected else 0.0 for k in weights}
     return {k: min(0.60, max(0.01, w + rate * (useful.get(k, 0.0) - mean[k]))) for k, w in weights.items()}
+
+
+def cold_candidates(pairs: DataFrame, query_id: str, id_col: str, lexical: Column, entity: Column, state: Column, historical: Column, hot: DataFrame, k: int = 64) -> DataFrame:
+    """(query, id, score): the best inactive rows of each question: archived ones, invalidated ones for questions about the past.
+
+    ``pairs`` are questions with the inactive rows they may want, ``hot`` the ids that are active and left out.
+    """
+    old = state == "invalidated"
+    rows = pairs.where((state == "archived") | (old & historical)).join(hot.select(id_col).distinct(), id_col, "left_anti")
+    s = F.round(0.62 * lexical + 0.28 * entity + 0.10 * (historical & old).cast("double"), 6)
+    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
+    return rows.withColumn("score", s).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(query_id, id_col, "score")
+
+
+def identity_matches(names: DataFrame, part: str, id_col: str, name: str, kind: str, vector: str, accept: float = 0.86, margin: float = 0.08, near: float = 0.81) -> tuple[DataFrame, DataFrame]:
+    """(merged, open): names that are another name of their part, and those too close to two of them to tell.
+
+    Score: 0.58 cosine, 0.22 overlap of trigrams, 0.14 for fitting kinds (empty or unknown ones fit all), 0.06 where one name
+    contains the other. A name merges into the lesser id it fits best if it reaches ``accept`` and leads by ``margin``;
+    from ``near`` on it is open otherwise. Candidates share a rare trigram (the three rarest of each name), not a part.
+    """
+    from palimpsest.functions.answers import normalized_text, trigrams
+    from palimpsest.operators.vectors import dot
+
+    rows = materialize(names.where(F.col(name).isNotNull()).select(F.col(part).alias("p"), F.col(id_col).alias("i"), F.col(name).alias("n"), F.coalesce(F.lower(kind), F.lit("")).alias("k"), F.col(vector).alias("v"), trigrams(name).alias("g"), normalized_text(name).alias("t")), "identities")
+    grams = rows.select("p", "i", F.explode("g").alias("x"))
+    df = grams.groupBy("p", "x").agg(F.count(F.lit(1)).alias("d"))
+    w = Window.partitionBy("p", "i").orderBy("d", "x")
+    keys = grams.join(df, ["p", "x"]).withColumn("r", F.row_number().over(w)).where("r <= 3").select("p", "i", "x")
+    pairs = keys.join(grams.withColumnRenamed("i", "j"), ["p", "x"]).where("j < i").select("p", "i", "j").distinct()
+    a, b = rows.toDF("p", "i", "na", "ka", "va", "ga", "ta"), rows.toDF("p", "j", "nb", "kb", "vb", "gb", "tb")
+    j = pairs.join(a, ["p", "i"]).join(b, ["p", "j"])
+    fits = (F.col("ka").isin("", "unknown")) | (F.col("kb").isin("", "unknown")) | (F.col("ka") == F.col("kb"))
+    inside = F.contains("ta", F.col("tb")) | F.contains("tb", F.col("ta"))
+    s = 0.58 * F.greatest(F.lit(0.0), dot(F.col("va"), F.col("vb"))) + 0.22 * T.jaccard(F.col("ga"), F.col("gb")) + 0.14 * fits.cast("double") + 0.06 * inside.cast("double")
+    top = j.select("p", "i", "j", F.round(s, 6).alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("p", "i").orderBy(F.col("s").desc(), "j"))).where("r <= 2")
+    g = top.groupBy("p", "i").agg(F.max(F.when(F.col("r") == 1, F.struct("s", "j"))).alias("b"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("s"))), F.lit(0.0)).alias("s2"))
+    exact = F.col("b.s") >= 1.0 - 1e-9  # the same name and kind needs no lead
+    ok = (F.col("b.s") >= accept) & ((F.col("b.s") - F.col("s2") >= margin) | exact)
+    out = g.select(F.col("p").alias(part), F.col("i").alias(id_col), F.col("b.j").alias("same_as"), F.col("b.s").alias("score"), ok.alias("ok"))
+    out = materialize(out, "identity_scores")
+    return out.where("ok").drop("ok"), out.where(f"not ok and score >= {near}").drop("ok")

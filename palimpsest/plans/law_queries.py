@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import modes as M
 from palimpsest.functions import text as T
+from palimpsest.functions.encoders import hash_encoder
 from palimpsest.functions.patterns import sql_says
 from palimpsest.operators import capsules as K
 from palimpsest.operators import laws as W
@@ -99,7 +100,23 @@ def capsule_relevance(spark: SparkSession, d: str) -> DataFrame:
     return L.top_k(r, "fact_id", "capsule", "relevance", 3)
 
 
-QUERIES = {f.__name__: f for f in (planetary_retrieval, cognitive_retrieval, gravity_capture, directive_bonus, capsule_relevance)}
+def cold_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten archived memories for each question, with invalidated ones where it is about the past."""
+    r = read_table(spark, d, "memory_records").where("snapshot_at is not null and memory_id is not null")
+    last = r.groupBy("memory_id").agg(F.max(F.struct("snapshot_at", "loaded_at", F.lower(F.trim("state")).alias("state"), "active")).alias("x")).select("memory_id", "x.state", "x.active")
+    j, f = _pairs(spark, d).join(last.select("memory_id", "state"), "memory_id"), _fields()
+    hot = last.where("active = 1 and state in ('stable', 'provisional')").select("memory_id")
+    return R.cold_candidates(j, "fact_id", "memory_id", f["lexical"], f["entity"], F.coalesce("state", F.lit("")), M.matches(F.col("query"), "historical"), hot, 10)
+
+
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    """Entity mentions that are another spelling of an earlier one of their scope, by names, kinds and hashed vectors."""
+    e = read_table(spark, d, "entity_items").where("scope is not null and name is not null and item_id is not null").groupBy("scope", "name").agg(F.min("item_id").alias("item_id"), F.min(F.lower(F.trim("entity_type"))).alias("kind"))
+    merged, _ = R.identity_matches(e.withColumn("v", hash_encoder(128)(F.col("name"))), "scope", "item_id", "name", "kind", "v")
+    return merged
+
+
+QUERIES = {f.__name__: f for f in (planetary_retrieval, cognitive_retrieval, gravity_capture, directive_bonus, capsule_relevance, cold_retrieval, identities)}
 
 _TOK, _ITEMS = T.sql_memory_tokens, T.sql_value_items
 _NUM = "list_distinct(regexp_extract_all({x}, '[0-9]+(?:[.][0-9]+)?'))"
@@ -127,4 +144,7 @@ SELECT fact_id, memory_id, force, rank, round(1.0e0 / (0.05e0 + force), 5) AS ra
 x AS (SELECT *, unnest([{', '.join(repr(q) for q in _QUESTIONS)}]) AS question FROM w WHERE role IS NOT NULL), y AS (SELECT *, {_MATCH} AS hit, len(list_intersect({_CONTENT('question')}, {_CONTENT('text')})) / greatest(1, len({_CONTENT('question')}))::DOUBLE AS lex FROM x),
 z AS (SELECT *, 0.24e0 + 0.14e0 * least(1.0e0, greatest(CASE role WHEN 'instruction' THEN 0.45e0 ELSE 0.30e0 END, 0.58e0 * lex + 0.42e0 * hit::INT)) AS b FROM y WHERE ((role = 'instruction' AND ({_mq('task')} OR {_mq('contradiction')})) OR (role = 'preference' AND ({_mq('preference')} OR {_mq('task')} OR {_mq('contradiction')}) AND {sql_says('question', W.USUAL)})) AND NOT {sql_says('question', W.LOOKUP)} AND NOT {sql_says('question', W.MANY_SOURCES)} AND (hit OR lex >= 0.15))
 SELECT write_id, question, max(round(b, 6)) AS bonus FROM z GROUP BY ALL""",
+    "cold_retrieval": f"""WITH {_J}, l AS (SELECT memory_id, state, active FROM (SELECT memory_id, lower(trim(state)) AS state, active, row_number() OVER (PARTITION BY memory_id ORDER BY snapshot_at DESC, loaded_at DESC NULLS LAST, lower(trim(state)) DESC NULLS LAST, active DESC NULLS LAST) AS rn FROM memory_records WHERE snapshot_at IS NOT NULL AND memory_id IS NOT NULL) WHERE rn = 1),
+c AS (SELECT fact_id, memory_id, lexical, entity, state, {M.sql_matches('query', 'historical')} AS past FROM j JOIN l USING (memory_id) WHERE memory_id NOT IN (SELECT memory_id FROM l WHERE active = 1 AND state IN ('stable', 'provisional'))),
+s AS (SELECT fact_id, memory_id, round(0.62e0 * lexical + 0.28e0 * entity + 0.10e0 * (past AND state = 'invalidated')::INT, 6) AS score FROM c WHERE state = 'archived' OR (state = 'invalidated' AND past)) SELECT fact_id, memory_id, score FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, memory_id) AS rn FROM s) WHERE rn <= 10""",
 }

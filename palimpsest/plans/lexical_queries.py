@@ -111,9 +111,8 @@ def entity_resonance(spark: SparkSession, d: str) -> DataFrame:
 def date_ramp(spark: SparkSession, d: str) -> DataFrame:
     """Weak recency of each document among those of its source: its position from the oldest (0) to the newest (1)."""
     docs = read_table(spark, d, "documents").where("created_at is not null and source is not null").select("source", "doc_id", "created_at")
-    w = Window.partitionBy("source")
-    pos, n = F.row_number().over(w.orderBy("created_at", "doc_id")) - 1, F.count(F.lit(1)).over(w)
-    return docs.select("doc_id", F.round(pos / F.greatest(F.lit(1), n - 1), 6).alias("ramp"))
+    docs = L.positions(docs, "source", ["created_at", "doc_id"], F.to_date("created_at"))
+    return docs.select("doc_id", F.round(F.col("position") / F.greatest(F.lit(1), F.col("size") - 1), 6).alias("ramp"))
 
 
 def cooccurring_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_scratch: dict[int, str] = {}
+_scratch: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application below the shared checkpoint folder, removed when the application ends."""
     sc = spark.sparkContext
-    key = id(sc)
+    key = sc.applicationId
     if key not in _scratch:
         root = sc.getConf().get("spark.checkpoint.dir", None)
         if not root:
@@ -56,11 +56,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(df_path_owner: SparkSession) -> None:
-    """Remove this application's scratch tables before it ends."""
-    path = _scratch.pop(id(df_path_owner.sparkContext), None)
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables of results that are written by now; later ones get a new folder."""
+    path = _scratch.pop(spark.sparkContext.applicationId, None)
     if path:
-        _drop(df_path_owner, path)
+        _drop(spark, path)
 
 
 def text_key(col: str, seed: int = 0):

@@ -1,12 +1,34 @@
-"""Components that do not settle are an error."""
+"""Connected components of long chains and random graphs, against a plain search."""
 
-import pytest
+import random
 
-from palimpsest.operators import graph
+from palimpsest.operators.graph import connected_components
 
 
-def test_running_out_of_rounds_is_an_error(spark):
-    chain = spark.createDataFrame([(0, i, i + 1) for i in range(1, 8)] + [(0, 8, 0)], "p int, a int, b int")
-    with pytest.raises(RuntimeError):
-        graph.connected_components(chain, "p", "a", "b", rounds=1)
-    assert {r.component for r in graph.connected_components(chain, "p", "a", "b").collect()} == {0}
+def plain(edges):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(up)}
+
+
+def test_components(spark):
+    r = random.Random(4)
+    chain = [(i, i + 1) for i in range(300)] + [(300, -1)]
+    wild = [(1000 + r.randrange(80), 1000 + r.randrange(80)) for _ in range(60)]
+    for edges in (chain, [e for e in wild if e[0] != e[1]]):
+        df = spark.createDataFrame([("p", *e) for e in edges], "p string, a long, b long")
+        assert {x.node: x.component for x in connected_components(df, "p", "a", "b").collect()} == plain(edges)
+    assert connected_components(df.limit(0), "p", "a", "b").count() == 0
+
+
+def test_parts_stay_apart(spark):
+    df = spark.createDataFrame([("p", 1, 2), ("q", 2, 3), ("q", 3, 3)], "p string, a long, b long")
+    assert sorted((x.p, x.node, x.component) for x in connected_components(df, "p", "a", "b").collect()) == [("p", 1, 1), ("p", 2, 1), ("q", 2, 2), ("q", 3, 2)]
