@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.session import materialize
 
 K1, B = 1.35, 0.72
 
 
-#: Query terms up to this number are broadcast to the scan of the documents; more are joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: Query terms up to this number are a hash set within the scan of the documents; more are joined to all terms.
+SET_TERMS = 5_000
 
 
 def bm25_scores(docs: DataFrame, id_col: str, terms: Column, queries: DataFrame, query_id: str, query_terms: Column, k1: float = K1, b: float = B) -> DataFrame:
     """(query, id, score) of all documents that share a term with a query.
 
     Document frequency, mean length and number of documents count all rows of ``docs``, empty ones included; ids are
-    unique. Texts are read and cut into terms once: of each document only its counts of query terms, and of all its
-    other terms together, leave that stage.
+    unique. Texts are read and cut into terms once: of each document only its length and its query terms leave that stage.
     """
     q = materialize(queries.select(query_id, F.explode(query_terms).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")), "bm25_query")
-    wanted = q.select("term").distinct().withColumn("hit", F.col("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    uses = docs.select(F.col(id_col), F.explode_outer(terms).alias("term")).join(wanted, "term", "left")
-    uses = materialize(uses.groupBy(id_col, "hit").agg(F.count("term").alias("tf")), "bm25_uses")
-    lengths = uses.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+    wanted = [r.term for r in q.select("term").distinct().limit(SET_TERMS + 1).collect()]
+    if len(wanted) <= SET_TERMS:
+        # a document is cut into terms once; only its length and its hits leave the scan
+        cut = T._once(terms, lambda t: F.struct(F.greatest(F.size(t), F.lit(0)).alias("dl"), F.filter(t, lambda w: w.isin(wanted)).alias("hits")))
+        cut = materialize(docs.select(F.col(id_col), cut.alias("x")).select(id_col, F.coalesce("x.dl", F.lit(0)).alias("dl"), "x.hits"), "bm25_cut")
+        lengths = cut.select(id_col, "dl")
+        hits = cut.select(id_col, F.explode("hits").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        uses = docs.select(F.col(id_col), F.explode_outer(terms).alias("term")).join(q.select("term").distinct().withColumn("hit", F.col("term")), "term", "left")
+        uses = materialize(uses.groupBy(id_col, "hit").agg(F.count("term").alias("tf")), "bm25_uses")
+        lengths = uses.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+        hits = uses.where("hit is not null").withColumnRenamed("hit", "term")
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    hits = uses.where("hit is not null").withColumnRenamed("hit", "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(lengths, id_col).join(df, "term").join(q, "term").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
