@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.answers import word_form
+from palimpsest.functions.text import _once
 from palimpsest.session import materialize
 
 # Sentences and the relations they tell, in the order in which they are tried; {s} and {o} stand for names.
@@ -125,16 +126,29 @@ def _rules(table: str) -> list[tuple[list[str], str]]:
     return out
 
 
+def _template(words: str) -> str:
+    """Pattern of a sentence; both names hold more than blanks and dots."""
+    some = r"(.*?[^\s.].*?)"
+    return "^" + re.escape(words).replace(r"\ ", " ").replace(r"\{s\}", some).replace(r"\{o\}", some) + r"\.?$"
+
+
 def parsed_statement(sentence: Column | str) -> Column:
-    """struct(subject, relation, object) by the first template that fits; null where none does."""
+    """struct(subject, relation, object) by the first template that fits; null where none does.
+
+    The template is found first, by its number, so that names are cut out once.
+    """
     s = F.col(sentence) if isinstance(sentence, str) else sentence
-    out = F.when(F.lit(False), F.struct(F.lit("").alias("subject"), F.lit("").alias("relation"), F.lit("").alias("object")))
-    for relation, words in TEMPLATES:
-        pattern = "^" + re.escape(words).replace(r"\ ", " ").replace(r"\{s\}", "(.+?)").replace(r"\{o\}", "(.+?)") + r"\.?$"
-        part = lambda i: F.regexp_replace(F.trim(F.regexp_extract(s, pattern, i)), r"\.+$", "")  # noqa: E731, B023
-        fits = F.rlike(s, F.lit(pattern)) & (part(1) != "") & (part(2) != "")
-        out = out.when(fits, F.struct(part(1).alias("subject"), F.lit(relation).alias("relation"), part(2).alias("object")))
-    return out
+    number = F.when(F.lit(False), F.lit(0))
+    for i, (_, words) in enumerate(TEMPLATES, 1):
+        number = number.when(F.rlike(s, F.lit(_template(words))), i)
+    rules = F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(_template(w)).alias("pattern")) for r, w in TEMPLATES])
+
+    def cut(n: Column) -> Column:
+        rule = F.element_at(rules, n)
+        part = lambda i: F.regexp_replace(F.trim(F.call_function("regexp_extract", s, rule["pattern"], F.lit(i))), r"\.+$", "")
+        return F.when(n.isNotNull(), F.struct(part(1).alias("subject"), rule["relation"].alias("relation"), part(2).alias("object")))
+
+    return _once(number, cut)
 
 
 def statement_facts(sources: DataFrame, corpus: str, ord_col: str, text: str) -> DataFrame:

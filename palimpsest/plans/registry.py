@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["history_queries", "lexical_queries", "lifecycle_queries", "capsule_queries", "graph_queries", "source_queries", "retrieval_queries", "formula_queries", "answer_queries", "upkeep_queries", "law_queries", "learning_queries"]
+_MODULES = ["history_queries", "lexical_queries", "lifecycle_queries", "capsule_queries", "graph_queries", "source_queries", "retrieval_queries", "formula_queries", "answer_queries", "upkeep_queries", "law_queries", "learning_queries", "statement_queries"]
 
 
 def _collect(attribute: str) -> dict:
