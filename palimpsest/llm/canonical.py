@@ -100,7 +100,7 @@ def _public(jvm_id: int, spark: SparkSession) -> Letters:
         for a, b in zip(ours, other):
             classes[a][script] = b
     listed = {ch for forms in classes.values() for ch in forms.values()}
-    for (ch, script), look in zip(found, looks[len(latin) :]):
+    for (ch, script), look in zip(found, looks[len(latin) :], strict=True):
         a = plain.get((look, case(ch, look)))
         if a and ch not in listed and ch not in _OTHER_LOOK and unicodedata.normalize("NFD", ch) == ch:
             classes[a].setdefault(script, ch)
@@ -110,11 +110,12 @@ def _public(jvm_id: int, spark: SparkSession) -> Letters:
 def public_letters(spark: SparkSession) -> Letters:
     """All look-alikes of Latin letters by the public confusables data (the ICU library that comes with Spark), with the
     base list where both name a letter. Letters of which only part of the look agrees are left out. The table has a few
-    hundred letters and goes to the executors with the function that uses it."""
+    hundred letters and goes to the executors with the function that uses it. If the library gives no whole answer, that
+    is an error: forms by the base list alone would look like a result and leave out equal texts."""
     try:
         return _public(id(spark._jvm), spark)
-    except Exception:  # no such library: the base list
-        return base_letters()
+    except Exception as e:
+        raise RuntimeError("the look-alike letters cannot be read from the ICU library of the session's JVM") from e
 
 
 @lru_cache(100_000)
