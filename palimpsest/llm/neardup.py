@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.canonical import Letters, canonical_text, public_letters
 from palimpsest.operators.graph import connected_components
-from palimpsest.session import materialize
+from palimpsest.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,14 @@ class NearDupConfig:
     seed: int = 20240
 
 
+#: Bits of the sketch that goes with each row of a band, and the turns in which the bands meet.
+SKETCH_BITS, TURNS = 256, 8
+#: Up to so many classes all bands meet in one turn.
+ONE_TURN = 5_000
+#: Elements from which on a text counts as long where least values are taken.
+LONG_TEXT = 256
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
 WORDS = r"[^\p{L}\p{N}\p{M}]+"
 
 
@@ -180,29 +189,72 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _sketches(element: np.ndarray, inv: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
-    """64 bits per document, one of each of 64 least hashes: two documents differ in a bit with chance (1 - similarity) / 2."""
-    out = np.zeros(len(starts), np.uint64)
-    for j in range(64):
-        h = (_mix(element * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed + 104729 * (j + 1))) >> np.uint64(32)).astype(np.uint32)
-        out |= (np.minimum.reduceat(h.take(inv), starts) & np.uint32(1)).astype(np.uint64) << np.uint64(j)
+class _Least:
+    """Least value of each document's elements, for several columns of values at once.
+
+    Documents are sorted by length and met position by position, so that one read of an element's row serves all
+    columns; long ones, of which few share a position, go one column at a time."""
+
+    def __init__(self, inv: np.ndarray, sizes: np.ndarray) -> None:
+        starts = np.cumsum(sizes) - sizes
+        self.n, self.long = len(sizes), np.flatnonzero(sizes > LONG_TEXT)
+        short = np.flatnonzero(sizes <= LONG_TEXT)
+        self.order = short[np.argsort(-sizes[short], kind="stable")]
+        lengths = -sizes[self.order]
+        self.at = [inv.take(starts[self.order[: np.searchsorted(lengths, -p)]] + p) for p in range(-lengths[0] if len(short) else 0)]
+        self.rest = inv[np.repeat(sizes > LONG_TEXT, sizes)]
+        self.rest_starts = np.cumsum(sizes[self.long]) - sizes[self.long]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """values: a row per different element; the result has a row per document."""
+        out = np.empty((self.n, values.shape[1]), values.dtype)
+        if self.at:
+            least = values.take(self.at[0], axis=0)
+            for at in self.at[1:]:
+                np.minimum(least[: len(at)], values.take(at, axis=0), out=least[: len(at)])
+            out[self.order] = least
+        if len(self.long):
+            for i in range(values.shape[1]):
+                out[self.long, i] = np.minimum.reduceat(values[:, i].take(self.rest), self.rest_starts)
+        return out
+
+
+def _sketches(element: np.ndarray, least: _Least, seed: int) -> np.ndarray:
+    """SKETCH_BITS bits per document, one of each of so many least hashes: two documents differ in a bit with chance (1 - similarity) / 2."""
+    out = np.zeros((least.n, len(SKETCH)), np.uint64)
+    for j in range(0, SKETCH_BITS, 8):
+        salts = np.uint64(seed) + np.uint64(104729) * np.arange(j + 1, j + 9, dtype=np.uint64)
+        h = (_mix(element[:, None] * np.uint64(0xD6E8FEB86659FD93) + salts[None, :]) >> np.uint64(32)).astype(np.uint32)
+        for i, bit in enumerate((least(h) & np.uint32(1)).astype(np.uint64).T, j):
+            out[:, i >> 6] |= bit << np.uint64(i & 63)
     return out
 
 
 def _sketch_limit(threshold: float) -> int:
-    """Differing bits of 64 that a pair at the threshold exceeds with a chance of about 0.0003."""
+    """Differing bits that a pair at the threshold exceeds with a chance of about 0.0003."""
     p = (1 - threshold) / 2
-    return int(64 * p + 3.7 * (64 * p * (1 - p)) ** 0.5)
+    return int(SKETCH_BITS * p + 3.7 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+
 
+def _turns(cfg: NearDupConfig) -> list[tuple[int, int]]:
+    """First band and the one after the last of each turn."""
+    n = min(TURNS, cfg.bands)
+    ends = [cfg.bands * t // n for t in range(n + 1)]
+    return list(zip(ends[:-1], ends[1:]))
 
-def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
-    """(band, cls, sketch): for each class and band 48 bits of a hash of the band's number and samples, then 16 bits of its size.
 
-    48 bits are enough: 15 billion rows meet by chance in less than a million pairs, which are verified. Sizes from
-    65,535 elements on count as that.
+def _keyed(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig) -> DataFrame:
+    """(cls, elements, sketch, k0, k1, ...): for each class a list of the keys of its bands for each turn.
+
+    A key is 48 bits of a hash of the band's number and samples, then 16 bits of the class's size. 48 bits are enough:
+    15 billion keys meet by chance in less than a million pairs, which are verified. Sizes from 65,535 elements on count
+    as that. With equal weights a sample is a least hash, so that its bits serve the sketch as well; samples by weight
+    don't tell the similarity that is verified, hence the sketch has hashes of its own there.
     """
     shift = np.uint32(32 - cfg.df_bits)
     shared = classes.sparkSession.sparkContext.broadcast(freq) if cfg.idf_power else None
+    turns = _turns(cfg)
+    own_sketch = bool(cfg.idf_power) or cfg.bands * cfg.rows_per_band < SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _joined(batches, 20_000):
@@ -210,27 +262,51 @@ def _bands(classes: DataFrame, freq: np.ndarray, docs: int, cfg: NearDupConfig)
                 el = b.column("elements").flatten().to_numpy().view(np.uint32)
                 sizes = np.diff(b.column("elements").offsets.to_numpy())
                 uniq, inv = np.unique(el, return_inverse=True)
-                inv = inv.astype(np.int32)
+                least = _Least(inv, sizes)
                 weight = np.ones(len(uniq), np.float32)
                 if shared:
                     weight = ((1 + np.log((1 + docs) / (1 + shared.value[uniq >> shift]))) ** cfg.idf_power).astype(np.float32)
                 uniq = uniq.astype(np.uint64)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 keys = np.empty((len(sizes), cfg.bands), np.uint64)
+                sketch = _sketches(uniq, least, cfg.seed) if own_sketch else np.zeros((len(sizes), len(SKETCH)), np.uint64)
                 for j in range(cfg.bands):  # samples of one band at a time bound the memory
-                    v = np.ascontiguousarray(_sample_values(uniq, weight, cfg.rows_per_band, cfg.seed + 7919 * j).T)
+                    samples = least(_sample_values(uniq, weight, cfg.rows_per_band, cfg.seed + 7919 * j)).view(np.uint32).astype(np.uint64)
                     key = np.full(len(sizes), j + 1, np.uint64)
-                    for column in v:
-                        least = np.minimum.reduceat(column.take(inv), starts)
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least.view(np.uint32).astype(np.uint64))
+                    for no, sample in enumerate(samples.T, j * cfg.rows_per_band):
+                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sample)
+                        if not own_sketch and no < SKETCH_BITS:
+                            sketch[:, no >> 6] |= (_mix(sample + np.uint64(no + 1)) & np.uint64(1)) << np.uint64(no & 63)
                     keys[:, j] = (key & ~np.uint64(0xFFFF)) | np.minimum(sizes, 0xFFFF).astype(np.uint64)
-                cls = np.repeat(b.column("cls").to_numpy(), cfg.bands)
-                sketch = pa.array(np.repeat(_sketches(uniq, inv, starts, cfg.seed).view(np.int64), cfg.bands))
-                out = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cls), sketch], names=["band", "cls", "sketch"])
-                for at in range(0, out.num_rows, 100_000):  # the JVM holds one batch at a time
-                    yield out.slice(at, 100_000)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (to - at)), pa.array(keys[:, at:to].ravel().view(np.int64))) for at, to in turns]
+                bits = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T]
+                out = pa.RecordBatch.from_arrays([b.column("cls"), b.column("elements"), *bits, *lists], names=["cls", "elements", *SKETCH, *(f"k{t}" for t in range(len(turns)))])
+                for at in range(0, out.num_rows, 4_000):  # the JVM holds one batch at a time
+                    yield out.slice(at, 4_000)
+
+    columns = ["cls long", "elements array<int>", *(f"{c} long" for c in SKETCH), *(f"k{t} array<long>" for t in range(len(turns)))]
+    return classes.select("cls", "elements").mapInArrow(run, ", ".join(columns))
 
-    return classes.select("cls", "elements").mapInArrow(run, "band long, cls long, sketch long")
+
+def _candidates(keyed: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Different pairs (a, b), a < b, of classes that meet in a band and may reach the threshold by size and sketch.
+
+    The rows of the bands are many times the input, so bands meet in turns and each turn's shuffle files go before the
+    next: what lies on disk at a time is one turn. The sketch is wide, as unlike texts that meet by chance grow as the
+    square of the corpus: hardly one below a similarity of 0.4 comes out of its turn.
+    """
+    columns = [f"k{t}" for t in range(len(_turns(cfg)))]
+    found = []
+    for turn in [[c] for c in columns] if keyed.count() > ONE_TURN else [columns]:
+        bands = keyed.select(F.explode(F.concat(*turn)).alias("band"), "cls", *SKETCH)
+        left, right = (bands.select(F.col("band").alias(f"k{c}"), F.col("cls").alias(c), *(F.col(s).alias(f"{s}{c}") for s in SKETCH)) for c in "ab")
+        na, nb = (F.col(f"k{c}").bitwiseAND(F.lit(0xFFFF)) for c in "ab")
+        # sets of too different sizes cannot reach the threshold, and those of too different sketches hardly ever
+        pairs = left.join(right, F.shiftright("ka", 16) == F.shiftright("kb", 16))
+        pairs = pairs.where((F.col("a") < F.col("b")) & (F.least(na, nb) >= F.lit(cfg.threshold) * F.greatest(na, nb) - F.lit(1e-9)))
+        pairs = pairs.where(sum(F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in SKETCH) <= _sketch_limit(cfg.threshold))
+        # similar classes meet in many bands, so most of their repeats go before the shuffle
+        found.append(materialize(pairs.select("a", "b").dropDuplicates(["a", "b"]), "neardup_pairs", keep_shuffles=False))
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -270,29 +346,21 @@ def near_duplicate_classes(df: DataFrame, group: str, id_col: str, text: str, cf
     rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     rows = rows.where(F.length("text") >= 2 * cfg.min_words - 1)  # a word has a letter and a blank after it
     tokens = materialize(_tokenized(rows, cfg), "neardup_tokens")
-    members = tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct()
-    # one shuffle of the elements serves the bands and both sides of the verification
+    members = materialize(tokens.select(F.col("g").alias(group), F.col("id").alias(id_col), "cls").distinct(), "neardup_members", keep_shuffles=False)
     classes = tokens.where(F.col("elements").isNotNull() & F.col("cls").isNotNull()).select("cls", "elements").repartition("cls").groupBy("cls").agg(F.max("elements").alias("elements"))
     freq, docs = np.zeros(0, np.float32), 0
     if cfg.idf_power:
         rows_of = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
         freq, docs = _document_frequencies(classes.join(rows_of, "cls"), cfg.df_bits)
-    bands = _bands(classes, freq, docs, cfg)
-    left, right = (bands.select(F.col("band").alias(f"k{c}"), F.col("cls").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    na, nb = (F.col(f"k{c}").bitwiseAND(F.lit(0xFFFF)) for c in "ab")
-    # sets of too different sizes cannot reach the threshold, and those of too different sketches hardly ever
-    pairs = left.join(right, F.shiftright("ka", 16) == F.shiftright("kb", 16))
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.least(na, nb) >= F.lit(cfg.threshold) * F.greatest(na, nb) - F.lit(1e-9)))
-    pairs = pairs.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= _sketch_limit(cfg.threshold))
-    # similar classes meet in many bands, so most of their repeats go before the shuffle
-    pairs = pairs.select("a", "b").dropDuplicates(["a", "b"])
-    return members, _verified(pairs, classes, cfg)
+    keyed = materialize(_keyed(classes, freq, docs, cfg), "neardup_classes", keep_shuffles=False)
+    discard(tokens)
+    return members, _verified(_candidates(keyed, cfg), keyed, cfg)
 
 
 def near_duplicate_pairs(df: DataFrame, group: str, id_col: str, text: str, cfg: NearDupConfig) -> DataFrame:
     """Pairs (group, id_a, id_b), id_a < id_b, of different rows of one group that are near or exact copies."""
     members, links = near_duplicate_classes(df, group, id_col, text, cfg)
-    links = materialize(links.select("a", "b"), "neardup_links")
+    links = materialize(links.select("a", "b"), "neardup_links", keep_shuffles=False)
     a = members.select(group, F.col("cls").alias("a"), F.col(id_col).alias("_ia"))
     b = members.select(group, F.col("cls").alias("b"), F.col(id_col).alias("_ib"))
     between = a.join(links, "a").join(b, [group, "b"]).where(F.col("_ia") != F.col("_ib"))
@@ -309,7 +377,7 @@ def near_duplicate_groups(df: DataFrame, group: str, id_col: str, text: str, cfg
     similar to. Components are found in rounds over tables in the shared folder.
     """
     members, links = near_duplicate_classes(df, group, id_col, text, cfg)
-    links = materialize(links.select(F.lit(0).alias("p"), "a", "b"), "neardup_links")
+    links = materialize(links.select(F.lit(0).alias("p"), "a", "b"), "neardup_links", keep_shuffles=False)
     comps = connected_components(links, "p", "a", "b").select(F.col("node").alias("cls"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     out = members.join(comps, "cls", "left").join(degree, "cls", "left")
