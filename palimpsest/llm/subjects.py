@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -74,26 +75,84 @@ class Tokens(NamedTuple):
     lang: np.ndarray
 
 
+# Kinds of characters: a letter or mark, a letter that is a word by itself, an end of a sentence, an end of one before a blank.
+_LETTER, _ALONE, _END, _DOT, _UNKNOWN = 1, 2, 3, 4, 255
+_BLANK = np.isin(np.arange(256), list(b" \t\n\f\r"))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Kind of each code point; those beyond ASCII are unknown until they occur."""
+    kinds = np.full(0x110000, _UNKNOWN, np.uint8)
+    kinds[:128] = 0
+    for chars, kind in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", _LETTER), ("\n", _END), (".!?", _DOT)):
+        kinds[[ord(c) for c in chars]] = kind
+    return kinds
+
+
+def _kind(points: np.ndarray) -> np.ndarray:
+    kinds = _kinds()
+    out = kinds[points]
+    if (out == _UNKNOWN).any():
+        new = np.zeros(len(kinds), bool)
+        new[points[out == _UNKNOWN]] = True
+        new = np.flatnonzero(new)
+        chars = pa.array([chr(c) for c in new])
+        like = lambda pattern: pc.match_substring_regex(chars, pattern=pattern).to_numpy(zero_copy_only=False)
+        kind = np.where(like(r"[\p{L}\p{M}]"), np.where(like(r"[\x{3041}-\x{30ff}\x{4e00}-\x{9fff}]"), _ALONE, _LETTER), 0)
+        kinds[new] = np.where(like("[。！？]"), _END, kind)
+        out = kinds[points]
+    return out
+
+
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Kind of the character that each byte of UTF-8 belongs to."""
+    kind = _kinds()[data]
+    first = np.flatnonzero(data >= 0xC0)
+    if len(first):
+        more = 1 + (data[first] >= 0xE0) + (data[first] >= 0xF0)  # bytes after the first
+        point = data[first].astype(np.int64) & np.array([0, 0x1F, 0x0F, 0x07])[more]
+        for i in (1, 2, 3):
+            at = first[more >= i] + i
+            point[more >= i] = point[more >= i] << 6 | data[at] & 0x3F
+        of = _kind(point)
+        kind[first] = of
+        for i in (1, 2, 3):
+            kind[first[more >= i] + i] = of[more >= i]
+    return kind
+
+
 def tokenize(texts: pa.Array) -> Tokens:
     """Words (single characters in Chinese) of whole texts, by sentence; headers, speaker marks and digits are left out."""
     arr = pc.utf8_lower(pc.fill_null(texts, ""))
-    arr = pc.replace_substring_regex(arr, pattern=r"(?m)^[ \t]*\[[^\]\n]*\][ \t]*$", replacement="")
-    arr = pc.replace_substring_regex(arr, pattern=r"[.!?]+(?:\s|$)|[。！？\n]+", replacement=" \x01 ")
-    arr = pc.replace_substring_regex(arr, pattern=r"([\x{3041}-\x{30ff}\x{4e00}-\x{9fff}])", replacement=r" \1 ")
-    lists = pc.split_pattern_regex(arr, pattern=r"[^\p{L}\p{M}\x01]+")
-    n = len(lists)
-    enc = lists.flatten().dictionary_encode()
+    if pc.any(headed := pc.match_substring(arr, "[")).as_py():
+        bare = pc.replace_substring_regex(arr.filter(headed), pattern=r"(?m)^[ \t]*\[[^\]\n]*\][ \t]*$", replacement="")
+        arr = pc.replace_with_mask(arr, headed, bare)
+    n, arr = len(arr), arr.cast(pa.large_string())
+    begin = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
+    begin = begin - begin[0]
+    kind = _characters(data)
+    stop = kind == _END
+    dot = np.flatnonzero(kind == _DOT)
+    stop[dot] = _BLANK[data[np.minimum(dot + 1, len(data) - 1)]]
+    last = begin[1:][begin[1:] > begin[:-1]] - 1
+    stop[last] |= kind[last] == _DOT
+    letter = (kind == _LETTER) | (kind == _ALONE)
+    start = letter.copy()
+    start[1:] &= (kind[1:] != _LETTER) | (kind[:-1] != _LETTER)
+    text = begin[:-1][begin[1:] > begin[:-1]]
+    start[text] = letter[text]
+    start &= data & 0xC0 != 0x80
+    offsets = np.append(np.flatnonzero(start[letter]), np.count_nonzero(letter))
+    enc = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[letter])]).dictionary_encode()
     code, words = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary.to_pylist()
-    doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-    where = {w: i for i, w in enumerate(words)}
-    stop, empty = where.get("\x01", -1), where.get("", -1)
-    new = code == stop
-    new[1:] |= doc[1:] != doc[:-1]
-    sentence = np.cumsum(new)
-    word = (code != stop) & (code != empty)
-    code, doc, sentence = code[word], doc[word], sentence[word]
+    marks = np.flatnonzero(start | stop)
+    stops = stop[marks]
+    doc = np.repeat(np.arange(n), np.diff(np.searchsorted(marks[~stops], begin)))
+    sentence = np.cumsum(stops)[~stops]
     if len(sentence):  # numbers without holes
-        sentence = np.cumsum(np.concatenate([[0], sentence[1:] != sentence[:-1]]))
+        sentence = np.cumsum(np.concatenate([[0], (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])]))
     first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.zeros(0, np.int64)
     count = np.bincount(doc[first], minlength=n)
     small = {w: LANGUAGES.index(k) for k in reversed(_SMALL) for w in _SMALL[k]}
@@ -105,20 +164,30 @@ def tokenize(texts: pa.Array) -> Tokens:
         else:
             told[i] = small.get(w, -1)
     total = np.bincount(doc, minlength=n)
-    votes = np.stack([np.bincount(doc[told[code] == k], minlength=n) for k in range(len(LANGUAGES))], 1)
+    votes, of = (_table(doc, x[code], n, len(LANGUAGES)) for x in (told, script))
     lang = votes.argmax(1)  # the first of the list where nothing tells
     # a document mostly of another script has the language of that script; kana tell Japanese from Chinese
-    of = np.stack([np.bincount(doc[script[code] == k], minlength=n) for k in range(len(LANGUAGES))], 1)
     foreign = 2 * of.sum(1) > total
     kana = LANGUAGES.index("ja")
     lang = np.where(foreign, np.where(10 * of[:, kana] > total, kana, of.argmax(1)), lang)
     return Tokens(code, doc, sentence, words, count, lang)
 
 
-def _pairs(t: Tokens, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each two-word term within a sentence, and the position of its first word."""
-    at = np.flatnonzero(mask[:-1] & mask[1:] & (t.sentence[1:] == t.sentence[:-1])) if len(mask) > 1 else np.zeros(0, np.int64)
-    return t.code[at] * len(t.words) + t.code[at + 1], at
+def _table(row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """How often each row meets each column; columns below 0 do not count."""
+    some = column >= 0
+    return np.bincount(row[some] * columns + column[some], minlength=rows * columns).reshape(rows, columns)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by sorting; without an inverse it hashes numbers, which took far longer on the terms of 6,000 documents."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _pairs(t: Tokens, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Position of the first word of each two-word term within a sentence; one, two: which tokens may be its words."""
+    return np.flatnonzero(one[:-1] & two[1:] & (t.sentence[1:] == t.sentence[:-1])) if len(one) > 1 else np.zeros(0, np.int64)
 
 
 def _fit_terms(t: Tokens, lang: int, labels: list[set[int]], n: int, cfg: SubjectConfig) -> Terms:
@@ -127,21 +196,22 @@ def _fit_terms(t: Tokens, lang: int, labels: list[set[int]], n: int, cfg: Subjec
     Counts of a class are shrunk towards the whole language, so that a class of few labelled documents claims little.
     """
     mask = t.lang[t.doc] == lang
-    key, at = _pairs(t, mask)
+    at = _pairs(t, mask, mask)
     one = np.flatnonzero(mask)
-    keys = np.concatenate([t.code[one], key + len(t.words)])
+    keys = np.concatenate([t.code[one], (t.code[at] + 1) * len(t.words) + t.code[at + 1]])
     sentence, doc = np.concatenate([t.sentence[one], t.sentence[at]]), np.concatenate([t.doc[one], t.doc[at]])
     if not len(keys):
         return Terms([], [], np.zeros((0, n), np.float32))
     uniq, ids = np.unique(keys, return_inverse=True)
-    once = np.unique(ids * np.int64(len(labels)) + doc)
+    once = _distinct(ids * np.int64(len(labels)) + doc)
     frequent = np.bincount(once // len(labels), minlength=len(uniq)) >= cfg.min_count
-    occurrence = np.unique(ids[frequent[ids]] * np.int64(t.sentence[-1] + 1) + sentence[frequent[ids]])  # once per sentence
+    occurrence = _distinct(ids[frequent[ids]] * np.int64(t.sentence[-1] + 1) + sentence[frequent[ids]])  # once per sentence
     ids, sent = occurrence // (t.sentence[-1] + 1), occurrence % (t.sentence[-1] + 1)
     doc_of = np.zeros(t.sentence[-1] + 1, np.int64)
     doc_of[t.sentence] = t.doc
     renum = np.cumsum(frequent) - 1
     ids, uniq = renum[ids], uniq[frequent]
+    by_sentence = np.sort(sent * np.int64(len(uniq)) + ids) % max(1, len(uniq))  # terms; sent has the sentences by term
     if not len(uniq):
         return Terms([], [], np.zeros((0, n), np.float32))
     weight = 1 / np.sqrt(np.maximum(1, t.sentences))[doc_of]  # long documents must not drown the others
@@ -153,15 +223,17 @@ def _fit_terms(t: Tokens, lang: int, labels: list[set[int]], n: int, cfg: Subjec
     allowed /= allowed.sum(1, keepdims=True)
     prior = np.log(allowed[doc_of])
     post = allowed[doc_of]
-    ratio = np.zeros((len(uniq), n + 1))
-    whole = np.bincount(ids, weights=weight[sent], minlength=len(uniq))
+    ratio = np.zeros((len(uniq), n + 1), order="F")
+    of_term, of_sentence = np.bincount(ids), np.bincount(sent, minlength=len(prior))
+    # sums go over the other order, which adds to another place each time: that is faster, and the same terms in the same order
+    whole = np.bincount(by_sentence, weights=np.repeat(weight, of_sentence), minlength=len(uniq))
     whole /= whole.sum()
     for _ in range(cfg.em_rounds):
-        score = prior.copy()
+        score = prior.copy(order="F")
         for k in range(n + 1):
-            c = np.bincount(ids, weights=(post[:, k] * weight)[sent], minlength=len(uniq))
+            c = np.bincount(by_sentence, weights=np.repeat(post[:, k] * weight, of_sentence), minlength=len(uniq))
             ratio[:, k] = np.log((c + cfg.shrink * whole) / (c.sum() + cfg.shrink) / whole)
-            score[:, k] += np.bincount(sent, weights=ratio[ids, k], minlength=len(prior))
+            score[:, k] += np.bincount(sent, weights=np.repeat(ratio[:, k], of_term), minlength=len(prior))
         post = np.exp(score - score.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
     keep = np.flatnonzero(ratio[:, :n].max(1) >= cfg.min_gain)
@@ -183,43 +255,48 @@ class Evidence(NamedTuple):
 def subject_evidence(model: SubjectModel, t: Tokens) -> Evidence:
     """Share of the sentences of each document that each subject holds, and the strength of its terms."""
     n, k = len(t.sentences), len(model.subjects)
-    shares, mean, top = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
     if not len(t.code):
-        return Evidence(shares, mean, top)
+        return Evidence(*np.zeros((3, n, k)))
     where = {w: i for i, w in enumerate(t.words)}
     sents = int(t.sentence[-1]) + 1
     doc_of = np.zeros(sents, np.int64)
     doc_of[t.sentence] = t.doc
-    about = np.full(sents, -1)
-    for lang, name in enumerate(LANGUAGES):
-        terms = model.terms.get(name)
-        mask = t.lang[t.doc] == lang
-        if terms is None or not len(terms.gain) or not mask.any():
-            continue
-        row = np.full(len(t.words), -1)
-        for i, w in enumerate(terms.one):
-            if (j := where.get(w)) is not None:
-                row[j] = i
-        known = sorted((where[a] * len(t.words) + where[b], i) for i, (a, b) in enumerate(terms.two, len(terms.one)) if a in where and b in where)
-        one = np.flatnonzero(mask & (row[t.code] >= 0))
-        hits, sent = [row[t.code[one]]], [t.sentence[one]]
-        if known:
-            keys, rows = (np.array(x, np.int64) for x in zip(*known))
-            key, at = _pairs(t, mask)
-            pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            ok = keys[pos] == key
-            hits.append(rows[pos[ok]])
-            sent.append(t.sentence[at[ok]])
-        hit, s = np.concatenate(hits), np.concatenate(sent)
-        score = np.stack([np.bincount(s, weights=terms.gain[hit, j], minlength=sents) for j in range(k)], 1)
-        np.add.at(mean, doc_of, score)
-        np.maximum.at(top, doc_of, score)
-        best = score.argmax(1)
-        about = np.where(score[np.arange(sents), best] >= 1.0, best, about)
-    told = about >= 0
-    np.add.at(shares, (doc_of[told], about[told]), 1)
+    # a document has one language: its words stand at the slot of that, and those of a language without terms at the last
+    names = [name for lang in np.unique(t.lang) if (name := LANGUAGES[lang]) in model.terms and len(model.terms[name].gain)]
+    v = len(t.words)
+    row, known, gains = np.full((len(names) + 1) * v, -1), [], [np.zeros((0, k))]
+    slot = np.full(len(LANGUAGES), len(names) * v)
+    for i, name in enumerate(names):
+        terms, before = model.terms[name], sum(map(len, gains))
+        gains.append(terms.gain)
+        slot[LANGUAGES.index(name)] = i * v
+        for j, w in enumerate(terms.one, before):
+            if w in where:
+                row[i * v + where[w]] = j
+        known += [((i * v + where[a]) * v + where[b], j) for j, (a, b) in enumerate(terms.two, before + len(terms.one)) if a in where and b in where]
+    code = slot[t.lang][t.doc] + t.code
+    found = row[code]
+    one = np.flatnonzero(found >= 0)
+    hit, s = found[one], t.sentence[one]
+    if known:
+        keys, rows = np.array(sorted(known), np.int64).T
+        ends = np.zeros((2, len(row)), bool)
+        ends[0, keys // v] = ends[1, keys % v] = True
+        at = _pairs(t, ends[0, code], ends[1, t.code])
+        key = code[at] * v + t.code[at + 1]
+        pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ok = keys[pos] == key
+        hit, s = np.concatenate([hit, rows[pos[ok]]]), np.concatenate([s, t.sentence[at[ok]]])
+    gain = np.concatenate(gains).astype(float).T.copy()
+    score = np.stack([np.bincount(s, weights=g[hit], minlength=sents) for g in gain], 1)
+    mean, top = np.zeros((n, k)), np.zeros((n, k))
+    for j in range(k):
+        mean[:, j] = np.bincount(doc_of, weights=score[:, j], minlength=n)
+    first = np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
+    top[doc_of[first]] = np.maximum.reduceat(score, first, axis=0)
+    about = np.where(score.max(1) >= 1.0, score.argmax(1), -1)
     each = np.maximum(1, t.sentences)[:, None]
-    return Evidence(shares / each, np.clip(mean / each, -2, 4) / 4, np.clip(top, 0, 12) / 12)
+    return Evidence(_table(doc_of, about, n, k) / each, np.clip(mean / each, -2, 4) / 4, np.clip(top, 0, 12) / 12)
 
 
 # --- the chain --------------------------------------------------------------------------------------------------------
@@ -249,13 +326,17 @@ def _link(e: Evidence, k: int, static: np.ndarray, before: np.ndarray) -> np.nda
     return np.concatenate([static, bends, terms, before, before.sum(1, keepdims=True) > 0], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """times: how often each row counts."""
     w = np.zeros(x.shape[1])
     pull = ridge * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * np.maximum(p * (1 - p), 1e-5)[:, None]).T @ x + pull
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (times * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ x + pull
+        step = np.linalg.solve(h, x.T @ (times * (y - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:  # steps shrink by their square: the next one is below rounding
+            break
     return w
 
 
@@ -275,10 +356,12 @@ def _rows(e: Evidence, docs: np.ndarray) -> Evidence:
 
 def _fit_chain(model: SubjectModel, e: Evidence, static: np.ndarray, y: np.ndarray) -> np.ndarray:
     # only documents with a subject get labels; what has no sentence on any subject has none, which must be learned too
-    e = Evidence(*(np.concatenate([x, np.zeros_like(x)]) for x in e))
-    static, y = np.tile(static, (2, 1)), np.concatenate([y, np.zeros_like(y)])
+    rows, times = np.unique(static, axis=0, return_counts=True)
+    none = np.zeros((len(rows), y.shape[1]))
+    e = Evidence(*(np.concatenate([x, none]) for x in e))
+    static, y, times = np.concatenate([static, rows]), np.concatenate([y, none]), np.concatenate([np.ones(len(y)), times])
     links = range(len(model.subjects))
-    return np.stack([_logistic(_link(e, k, static, np.where(np.arange(len(links)) < k, y, 0)), y[:, k]) for k in links])
+    return np.stack([_logistic(_link(e, k, static, np.where(np.arange(len(links)) < k, y, 0)), y[:, k], times) for k in links])
 
 
 def _fit(t: Tokens, static: np.ndarray, have: list[set[int]], y: np.ndarray, subjects: list[str], cfg: SubjectConfig) -> SubjectModel:
@@ -324,11 +407,11 @@ def decode(model: SubjectModel, e: Evidence, static: np.ndarray, beam: int) -> n
     n, k = e.shares.shape
     paths, logp = np.zeros((n, 1, k)), np.zeros((n, 1))
     for j in range(k):
-        b = paths.shape[1]
-        x = _link(Evidence(*(np.repeat(v, b, 0) for v in e)), j, np.repeat(static, b, 0), paths.reshape(n * b, k))
-        p = 1 / (1 + np.exp(-np.clip(x @ model.chain[j], -30, 30)))
-        some = (paths.reshape(n * b, k).sum(1) > 0).astype(int)
-        p = np.clip(p / model.kept[j, some], 1e-6, 1 - 1e-6).reshape(n, b)
+        some = (paths.sum(2) > 0).astype(int)
+        # the labels before are the last features of a link; all others are the same on each path
+        x = (_link(e, j, static, np.zeros((n, k))) @ model.chain[j])[:, None] + paths @ model.chain[j][-k - 1 : -1] + some * model.chain[j][-1]
+        p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        p = np.clip(p / model.kept[j, some], 1e-6, 1 - 1e-6)
         yes = paths.copy()
         yes[:, :, j] = 1
         paths, logp = np.concatenate([paths, yes], 1), np.concatenate([logp + np.log1p(-p), logp + np.log(p)], 1)
