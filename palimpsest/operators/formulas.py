@@ -149,12 +149,15 @@ def activation_spread(edges: DataFrame, start: DataFrame, weights: dict[str, flo
     """(node, activation) after some steps of spreading along typed edges.
 
     ``edges`` has src, dst, kind and weight; each kind is normalized by itself per source, so that many weak edges of one
-    kind do not drown a strong one of another; a negative kind weight inhibits. ``start`` has node and base. Each step is
+    kind do not drown a strong one of another; a negative kind weight inhibits. Weights of a kind that sum up to 0 have
+    no shares: NaN goes where an active source sends them. ``start`` has node and base. Each step is
     a sparse product, one join and one sum; activations below 0 are cut.
     """
     by = Window.partitionBy("src", "kind")
     theta = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], F.lit(kv[1])), weights.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(0.0))
-    flow = materialize(edges.select("src", "dst", (theta * F.col("weight") / F.sum("weight").over(by)).alias("p")).where("p <> 0"), "flow")
+    own, total = theta * F.col("weight"), F.sum("weight").over(by)
+    share = F.coalesce(F.try_divide(own, total), own * float("inf"))  # 0 / 0 is NaN, as in SQL, and no error
+    flow = materialize(edges.select("src", "dst", share.alias("p")).where("p <> 0"), "flow")
     base = materialize(start.groupBy("node").agg(F.sum("base").alias("base")), "spread_base")
     now = base.select("node", F.col("base").alias("a"))
     for _ in range(steps):

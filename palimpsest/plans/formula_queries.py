@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import formulas as P
 from palimpsest.operators import vectors as V
+from palimpsest.operators.pairing import rounded_column
 from palimpsest.session import read_table
 
 
@@ -98,7 +99,7 @@ def spread_activation(spark: SparkSession, d: str) -> DataFrame:
     e = r.groupBy(F.col("subject").alias("src"), F.col("object_value").alias("dst"), F.col("predicate").alias("kind")).agg(F.max(F.coalesce("confidence", F.lit(0.5))).alias("weight"))
     start = e.where("kind = 'reports to'").select(F.col("src").alias("node")).distinct().withColumn("base", F.lit(1.0))
     a = P.activation_spread(e, start, {"reports to": 1.0, "works at": 0.5, "member of": 0.12, "depends on": -0.55}, 0.3, 2)
-    return a.select("node", F.round("activation", 5).alias("activation"))
+    return a.select("node", rounded_column(F.col("activation"), 5).alias("activation"))
 
 
 QUERIES = {f.__name__: f for f in (mass_updates, merge_candidates, consolidation_gate, formation_gate, skill_ranking, crowding, memberships, attachment_quality, split_scores, storage_estimate, spread_activation)}
