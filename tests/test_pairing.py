@@ -44,7 +44,7 @@ def test_halves_are_rounded_as_in_sql(spark):
     assert [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(P.rounded_column(F.col("x"), 5)).collect()] == want
 
 
-@pytest.mark.parametrize("name", ["planetary_retrieval"])
+@pytest.mark.parametrize("name", ["planetary_retrieval", "cognitive_retrieval"])
 def test_no_join_carries_pairs(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("test tables are not there")
